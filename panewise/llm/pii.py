@@ -1,0 +1,259 @@
+"""Personal data by weak supervision, in DataFrame functions only.
+
+Base spans come from fixed patterns and always stay. Looser patterns propose further spans. Labelers vote on every span, base
+or proposed: its pattern's strict form, a gazetteer of cue words in the text before it, its boundary, and its shape. Each may
+say yes (1), no (-1) or nothing (0). Expectation-maximisation estimates from the votes how reliable each labeler is, and the
+probability that a span is personal data; a logistic classifier is trained on these probabilities, and proposals it accepts
+are added. Spark counts the vote patterns over all documents; only that table reaches the driver, and its size is bounded by
+the number of patterns there can be (len(KINDS) * 2 * 3 ** 4 rows), whatever the corpus.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from panewise.llm._common import written
+from panewise.llm.quality import let
+
+# The base patterns. Possessive quantifiers and look-behinds find the same matches as the plain forms without
+# going back over long runs.
+_RUN = "[A-Za-z0-9._%+-]"
+EMAIL = rf"(?:(?<!{_RUN})|\G){_RUN}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
+CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
+PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+# The patterns of proposals.
+OBSCURED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,8}"
+NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+LOCAL = r"(?<![0-9+.)( -])(?<![0-9+.)(-][ ])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])(?![ .-][0-9])"
+SECRET = r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])"
+
+BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+PROPOSED = {"email_obscured": OBSCURED, "national_id": NATIONAL, "phone_local": LOCAL, "secret": SECRET}
+#: All kinds in the order of the results.
+KINDS = [*BASE, *PROPOSED]
+#: Cue words that the gazetteer knows for each kind.
+CUES = {
+    "email": "mail|contact|write to|address|e-mail|correo|courriel", "ip": "ip|host|server|address|from|login|client",
+    "card": "card|visa|master|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|cell|ruf|whatsapp",
+    "email_obscured": "mail|contact|write to|address|e-mail|correo|courriel", "national_id": "ssn|social|security|national|passport|id",
+    "phone_local": "phone|tel|call|fax|mobile|cell|ruf|whatsapp", "secret": "token|key|secret|password|passwd|bearer|auth|api",
+}
+#: Characters before a span that the gazetteer reads.
+CONTEXT = 32
+_OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string>"
+
+
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]+", "")
+
+
+def luhn(value: Column) -> Column:
+    """The digits of value pass Luhn's test."""
+    digits = F.transform(F.reverse(F.split(_digits(value), "")), lambda d: d.cast("int"))
+    twice = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    return F.aggregate(digits, F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum")), lambda a, d: F.struct((a["i"] + 1).alias("i"), (a["sum"] + F.when(a["i"] % 2 == 1, twice(d)).otherwise(d)).alias("sum")), lambda a: a["sum"] % 10 == 0)
+
+
+def _holds(kind: str, value: Column) -> Column:
+    """The test that a base kind's matches must pass."""
+    if kind == "ip":
+        return value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    if kind == "card":
+        return F.length(_digits(value)).between(16, 19) & luhn(value)
+    if kind == "phone":
+        return F.length(_digits(value)).between(8, 15)
+    return F.lit(True)
+
+
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """Array of SPAN: the pattern's matches from left to right, places in code points.
+
+    The pieces between the matches give the places: Spark's functions return matches without them.
+    """
+
+    def placed(pieces: Column, found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+        def step(a: Column, i: Column) -> Column:
+            piece, value = F.get(pieces, i), F.get(found, i)
+            first = a["at"] + F.length(piece)
+            span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), (first + F.length(value)).alias("end"), value.alias("value"), F.substring(piece, -CONTEXT, CONTEXT).alias("left"), F.substring(F.get(pieces, i + 1), 1, 1).alias("right"))
+            return F.struct((first + F.length(value)).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+
+    found = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: placed(p, m)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def base_spans(text: Column) -> Column:
+    """Array of SPAN: the base spans in the order of kinds, then start."""
+    hint = {"email": "@", "phone": "+"}
+    found = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        spans = _kept(matches(text, pattern, k), kind)
+        found.append(F.when(F.contains(text, F.lit(hint[kind])), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if kind in hint else spans)
+    return F.concat(*found)
+
+
+def _kept(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: _holds(kind, s["value"]))
+
+
+def proposed_spans(text: Column) -> Column:
+    """Array of SPAN: what the looser patterns find."""
+    none = F.array().cast(f"array<{SPAN}>")
+    found = [matches(text, pattern, len(BASE) + k) for k, pattern in enumerate(PROPOSED.values())]
+    return F.concat(F.when(F.contains(text, F.lit("at")), found[0]).otherwise(none), F.when(text.rlike("[0-9]{3}"), F.concat(*found[1:])).otherwise(none))
+
+
+def _by_kind(kind: Column, of: dict[str, Column]) -> Column:
+    out = F.lit(0)
+    for k, name in enumerate(KINDS):
+        if name in of:
+            out = F.when(kind == k, of[name]).otherwise(out)
+    return out
+
+
+def votes(span: Column) -> list[Column]:
+    """The labelers' votes on a SPAN: pattern, gazetteer, boundary, shape."""
+    say = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    value, digits = span["value"], _digits(span["value"])
+    strict = _by_kind(span["kind"], {
+        **{k: F.lit(1) for k in BASE},
+        "email_obscured": say(value.rlike(r"(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,12}$"), value.rlike(" ")),
+        "national_id": say(~value.rlike("^(?:000|666|9)|-00-|0000$"), F.lit(True)),
+        "phone_local": say(F.length(digits).between(9, 11), ~F.length(digits).between(8, 12)),
+        "secret": say(F.length(value).isin(32, 40, 64), F.lit(False)),
+    })
+    cue = _by_kind(span["kind"], {k: say(F.lower(span["left"]).rlike(f"\\b(?:{words})"), F.lit(False)) for k, words in CUES.items()})
+    edge = say((span["left"].rlike(r"[\s\"'(<:;=,]$") | (span["left"] == "")) & (span["right"].rlike(r"[\s\"')>;,.!?]") | (F.coalesce(span["right"], F.lit("")) == "")), span["left"].rlike("[0-9_]$") | span["right"].rlike("[0-9_]"))
+    distinct = F.size(F.array_distinct(F.split(F.lower(value), "")))
+    shape = say(distinct >= 5, distinct <= 3)
+    return [strict, cue, edge, shape]
+
+
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _spans: array of (kind, start, end, base, votes). A null text counts as empty and has none."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.withColumns({"_b": base_spans(text), "_p": proposed_spans(text)})
+    seen = lambda of, base: F.transform(F.col(of), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(s)).alias("votes")))
+    apart = F.filter(seen("_p", False), lambda s: ~F.exists(F.col("_b"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return df.withColumn("_spans", F.concat(seen("_b", True), apart)).drop("_b", "_p")
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights of the classifier, and the reliabilities that expectation-maximisation found: P(vote | personal or not)."""
+
+    bias: tuple[float, ...]
+    weights: tuple[tuple[float, float], ...]
+    reliability: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
+
+    def score(self, kind: Column, votes: Column) -> Column:
+        """Log odds of a span."""
+        out = _by_kind(kind, {k: F.lit(b) for k, b in zip(KINDS, self.bias)}).cast("double")
+        for i, (yes, no) in enumerate(self.weights):
+            vote = F.get(votes, F.lit(i))
+            out = out + F.when(vote == 1, yes).when(vote == -1, no).otherwise(0.0)
+        return out
+
+
+def fit(counts: list[tuple[int, bool, tuple[int, ...], int]], rounds: int = 50, ridge: float = 1.0) -> Model:
+    """The model of the vote patterns (kind, base, votes, count), in plain steps on the small table.
+
+    Base spans are known to be personal data and anchor the estimates; no patterns give a model that follows the majority.
+    """
+    n_votes = len(counts[0][2]) if counts else 4
+    votes = np.array([c[2] for c in counts], dtype=int).reshape(-1, n_votes)
+    n, base, kind = np.array([c[3] for c in counts], dtype=float), np.array([c[1] for c in counts], dtype=bool), np.array([c[0] for c in counts], dtype=int)
+    truth = np.where(base, 1.0, 1 / (1 + np.exp(-1.5 * votes.sum(axis=1))))
+    theta = np.zeros((n_votes, 2, 3))
+    for _ in range(rounds):
+        weight = np.stack([n * truth, n * (1 - truth)])
+        prior = [math.log((1 + weight[0, kind == k].sum()) / (1 + weight[1, kind == k].sum())) for k in range(len(KINDS))]
+        for i in range(n_votes):
+            for y in (0, 1):
+                by_vote = np.array([weight[y, votes[:, i] == v].sum() for v in (-1, 0, 1)]) + 1
+                theta[i, y] = by_vote / by_vote.sum()
+        odds = np.array([prior[k] for k in kind]) + sum(np.log(theta[i, 0, votes[:, i] + 1] / theta[i, 1, votes[:, i] + 1]) for i in range(n_votes))
+        truth = np.where(base, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    x = np.concatenate([np.eye(len(KINDS))[kind].reshape(-1, len(KINDS)), *[(votes[:, [i]] == v).astype(float) for i in range(n_votes) for v in (1, -1)]], axis=1)
+    w = np.array([0.0] * len(KINDS) + [1.5, -1.5] * n_votes)
+    start = w.copy()
+    for _ in range(rounds if len(counts) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (n * (p - truth)) + ridge * (w - start)
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(hessian, gradient)
+    pairs = w[len(KINDS) :].reshape(-1, 2)
+    return Model(tuple(map(float, w[: len(KINDS)])), tuple((float(a), float(b)) for a, b in pairs), tuple((tuple(map(float, theta[i, 0])), tuple(map(float, theta[i, 1]))) for i in range(n_votes)))
+
+
+def train(rows: DataFrame) -> Model:
+    """The model for the table of candidates(): vote patterns are counted over all of it."""
+    spans = rows.select(F.explode("_spans").alias("s")).select("s.kind", "s.base", "s.votes")
+    counts = spans.groupBy("kind", "base", "votes").count().orderBy("kind", "base", "votes").collect()  # bounded, see above
+    return fit([(r["kind"], r["base"], tuple(r["votes"]), r["count"]) for r in counts])
+
+
+def _accepted(rows: DataFrame, model: Model) -> DataFrame:
+    """rows with spans: array of (kind, start, end, base), base and accepted ones, by kind and start."""
+    kept = F.filter(F.col("_spans"), lambda s: s["base"] | (model.score(s["kind"], s["votes"]) > 0))
+    plain = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    return rows.withColumn("spans", F.sort_array(plain)).drop("_spans")
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of the spans, joined by commas."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans): a row for each row of docs, repeated ones and null ids too; spans as in _accepted().
+
+    An empty table gives no rows; columns besides doc_id and text are not read.
+    """
+    rows = written(candidates(docs.select("doc_id", "text")).select("doc_id", "_spans"), "pii")
+    return _accepted(rows, train(rows))
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The columns of the query op3 from those of detect()."""
+    base = F.filter(F.col("spans"), lambda s: s["base"])
+    counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _count(kind: int) -> Column:
+    return F.size(F.filter(F.col("spans"), lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of the text replaced by its kind in brackets, and n_chars brought up to date.
+
+    Overlapping spans become one, named after the first. A null text stays null, and so does its n_chars.
+    """
+    rows = written(candidates(docs), "pii-docs")
+    found = _accepted(rows.withColumnRenamed("spans", "_own") if "spans" in docs.columns else rows, train(rows))
+    by_place = F.sort_array(F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] >= a["at"]
+        more = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
+
+    clean = F.aggregate(by_place, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).withColumn("n_chars", F.length("text").cast("long")).drop("spans")
+    return (found.withColumnRenamed("_own", "spans") if "spans" in docs.columns else found).select(*docs.columns)

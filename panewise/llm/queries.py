@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import quality, simhash
+from panewise.llm import pii, quality, simhash
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
 }
 
 SQL: dict[str, str] = {
