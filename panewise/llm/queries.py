@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import pii, quality, simhash
+from panewise.llm import pieces, pii, quality, simhash, token_counts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
