@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import pieces, pii, quality, simhash, token_counts
+from panewise.llm import pieces, pii, quality, simhash, token_counts, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +30,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.ASSESS_SQL,
+    "op9_warc": warc.ROUND_TRIP_SQL,
 }
