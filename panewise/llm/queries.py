@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import neighbours, pieces, pii, quality, simhash, token_counts, warc
+from panewise.llm import html_text, neighbours, pieces, pii, quality, simhash, token_counts, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,16 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_text": op5_html_text,
     "op6_neighbours": op6_neighbours,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
