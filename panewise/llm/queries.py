@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import html_text, neighbours, pieces, pii, quality, simhash, token_counts, warc
+from panewise.llm import html_text, mixing, neighbours, pieces, pii, quality, simhash, token_counts, url_lists, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.judge(url_lists.dated(spark.read.parquet(f"{sf_dir}/pages.parquet")), url_lists.sample_list(spark))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -49,11 +57,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_text": op5_html_text,
     "op6_neighbours": op6_neighbours,
+    "op7_url_lists": op7_url_lists,
+    "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.ASSESS_SQL,
+    "op7_url_lists": url_lists.JUDGE_SQL,
+    "op8_mixing": mixing.SCHEDULE_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
 }
