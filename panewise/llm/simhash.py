@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panewise.llm._common import connected, written
+from panewise.llm._common import bounded_broadcast, connected, written
 
 BITS = 64
 #: Hashes whose bits are unpacked at once, so that a long text takes no more memory than this allows.
@@ -164,11 +164,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, limit: int
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents with one of each class left, that with the smallest doc_id, as they were. Rows without an id stay.
 
-    Repeated rows of the kept id stay too, unless they are equal in id and text: then one of them stays.
+    An id that comes more than once stays if it is the smallest of one of its classes; of its rows that are equal in text one
+    stays. Texts are only shuffled for such ids, or where the ids to be dropped are more than `broadcast_rows`.
     """
-    kept = near_duplicates(docs, words, seed, limit).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-    return with_id.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    found = classes(fingerprints(docs, words, seed), limit).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
+    ids = written(ids.where("not first or n > 1"), "simhash-ids")
+    some = lambda rows: bounded_broadcast(ids.where(rows).select("doc_id"), broadcast_rows)
+    kept = docs.join(some("not first"), "doc_id", "left_anti")
+    again = kept.join(some("first"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(some("first"), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
