@@ -2,64 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Inside a regular expression's brackets: the white space of the contracts.
-WS = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or for a local master without it a temporary one."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="panewise-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/panewise/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
+from panewise.storage import bounded_broadcast, new_path, written
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of new_path(); also when the session has ended already."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone at exit; a leftover in a scratch folder is harmless
-        if path.startswith("file://"):
-            import shutil
+__all__ = ["WS", "bounded_broadcast", "connected", "new_path", "written"]
 
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has been counted to hold at most so many rows, else as it is: Spark then shuffles and splits skewed keys.
-
-    df should be a written table or cheap, as it is counted here.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Inside a regular expression's brackets: the white space of the contracts.
+WS = r"\x20\x09-\x0D"
 
 
 def connected(edges: DataFrame, name: str = "cc") -> DataFrame:
