@@ -1,0 +1,279 @@
+"""Operators on documents, against brute force and on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from panewise.llm import _common, mixing, pieces, pii, quality, simhash, token_counts
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, extra=""):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], COLUMNS + extra)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null, empty and very long texts, null and repeated ids, null sources, ties."""
+    words = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
+    rows = [(1, None, "a"), (2, "", "a"), (3, words, "b"), (3, words, "b"), (None, "no id here at all", None), (4, "\t \n", None), (5, "x" * 100_000, "a"), (6, "mail a@b.co or +1 (017) 555-7713", "c"), (6, "another text under the same id", "c")]
+    return documents(spark, rows)
+
+
+def test_fingerprint_is_the_bitwise_majority():
+    random.seed(3)
+    for _ in range(50):
+        words = [random.choice("abcdefgh") * random.randint(1, 3) for _ in range(random.randint(0, 30))]
+        text = random.choice([" ", "\n\t"]).join(words)
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+    assert simhash.fingerprint("ABC É") == simhash.fingerprint("abc É") != simhash.fingerprint("abc é")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4), st.integers(1, 3))
+def test_every_near_pair_meets_in_a_chain(a, bits, depth):
+    b = a
+    for bit in bits:
+        b ^= 1 << bit
+    wide = 2**64 - 1
+    assert any((a ^ b) & (kept & wide) in {w & wide for w in ways} for kept, ways in simhash.chain_masks(4, depth))
+
+
+def brute_classes(prints):
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_classes_of_dense_and_random_fingerprints(spark):
+    rng = random.Random(5)
+    centre = [rng.getrandbits(64) for _ in range(4)]
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for c in centre:
+        for _ in range(60):
+            x = c
+            for b in rng.sample(range(64), rng.randint(0, 7)):
+                x ^= 1 << b
+            prints.append(x)
+    chain = rng.getrandbits(64)
+    for k in range(0, 40, 4):  # only neighbours on the chain are near
+        chain ^= 0b1111 << k
+        prints.append(chain)
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    found = simhash.classes(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).toPandas().set_index("doc_id")["component_id"]
+    assert [found[i] for i in range(len(prints))] == brute_classes(prints)
+
+
+def test_near_duplicates_of_awkward_rows(spark, awkward):
+    found = simhash.near_duplicates(awkward).toPandas()
+    assert len(found) == awkward.count()
+    by_id = found.set_index("doc_id")
+    assert set(by_id.loc[[1, 2, 4], "fingerprint"]) == {"0" * 16} and set(by_id.loc[[1, 2, 4], "component_id"]) == {1}
+    assert found[found.doc_id.isna()].component_id.isna().all()
+    kept = simhash.keep_one(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 6]
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_connected_components_of_a_hub_and_a_path(spark):
+    edges = [(1, k) for k in range(2, 40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]
+    found = dict(_common.connected(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert found == {**dict.fromkeys(range(1, 40), 1), **dict.fromkeys(range(100, 141), 100)}
+
+
+def quality_of(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else set()
+    covered = {k for i, w in enumerate(windows) if w in twice for k in range(i, i + 8)}
+    repeat = len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), repeat, len(words) < 20 or 100 * repeat > 30 * len(words)
+
+
+def test_quality_numbers(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "bb", "ç#", "|"]) for _ in range(rng.randint(0, 60))).replace(" |", "\n") for _ in range(40)]
+    texts += ["one two three four five six seven eight nine " * 5, "l\nl\n \nl", None, "", "é€😀 $%"]
+    rows = quality.assess(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == quality_of(texts[r.doc_id])
+
+
+def test_hosts_are_shrunk_and_rejected(spark):
+    good, bad = " ".join(f"w{i}" for i in range(40)), "too short"
+    rows = [(i, good, "clean") for i in range(60)] + [(100 + i, bad if i < 55 else good, "spam") for i in range(60)] + [(300, bad, "tiny"), (301, good, None), (302, good, "tiny")]
+    found = quality.assess(documents(spark, rows)).toPandas().set_index("doc_id").sort_index()
+    assert found.loc[:59, "kept"].all() and not found.loc[100:159, "kept"].any()
+    assert found.loc[301, "kept"] and found.loc[302, "kept"] and not found.loc[300, "kept"]
+    kept = quality.keep_good(documents(spark, rows))
+    assert kept.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 62
+
+
+def test_quality_of_awkward_rows(spark, awkward):
+    clash = awkward.withColumn("kept", awkward.doc_id).withColumn("_w", awkward.doc_id)
+    assert quality.assess(clash).count() == awkward.count()
+    assert quality.assess(awkward.limit(0)).count() == 0 and quality.keep_good(awkward.limit(0)).count() == 0
+
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    good = {"email": lambda v: True, "ip": lambda v: all(int(p) <= 255 for p in v.split(".")), "card": lambda v: 16 <= len(digits(v)) <= 19 and luhn(digits(v)), "phone": lambda v: 8 <= len(digits(v)) <= 15}
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE for m in re.finditer(p, text or "") if good[k](m.group())]
+
+
+def test_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(2)
+    bits = ["a@b.c", "_d@e.f", "x", " ", ".", "-", "@", "+", "1", "22", "255", "256", "0.0.0.0", "1.2.3.4", "4785380592391139", "4785 3805 9239 1139", "+1 (743) 555-3824", "é", "😀", "(", ")", "\n", "%"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["7" * 5000, "a." * 20_000 + "@", "1.2.3.4.5.6.7.8.9", "a@b.c_d@e.f"]
+    found = pii.digest(pii.detect(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))).collect()
+    for r in found:
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id][:80]
+        assert set(want) <= set(r.spans.split(",")) or not want
+
+
+def test_proposals_are_voted_on(spark):
+    rows = [(i, f"his phone 555-01{i:02d}-99{i:02d} and token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and mail x{i}@mail.org", "s") for i in range(30)]
+    rows += [(100, "call 212-555-0187 now", "s"), (101, "ssn 123-45-6789", "s"), (102, "write to joe (at) site (dot) org please", "s")]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.detect(documents(spark, rows))).collect()}
+    assert "secret:" in found[0] and "email:" in found[0]
+    assert found[101] == "national_id:4:15" and found[102].startswith("email_obscured:9:")
+    clean = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
+    assert clean[101] == "ssn [NATIONAL_ID]" and "@" not in clean[0]
+
+
+def test_expectation_maximisation_finds_the_unreliable_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([np.where(rng.random(4000) < p, truth, ~truth) * 2 - 1 for p in (0.95, 0.9, 0.85, 0.5)])
+    table, counts = np.unique(votes.T, axis=0, return_counts=True)
+    model = pii.fit([(6, False, tuple(map(int, v)), int(n)) for v, n in zip(table, counts)])
+    assert model.reliability[0][0][2] > 0.9 and abs(model.reliability[3][0][2] - 0.5) < 0.1
+    weights = np.array(model.weights)
+    score = model.bias[6] + sum(np.where(votes[i] == 1, weights[i, 0], weights[i, 1]) for i in range(4))
+    assert ((score > 0) == truth).mean() > 0.93
+
+
+def test_private_data_of_awkward_rows(spark, awkward):
+    clash = awkward.withColumn("spans", awkward.doc_id)
+    clean = pii.redact(clash)
+    assert clean.columns == clash.columns and clean.count() == clash.count()
+    by_id = {(r.doc_id, r.n_chars): r for r in clean.collect()}
+    assert by_id[(1, None)].text is None and any(r.text == "mail [EMAIL] or [PHONE]" and r.spans == 6 for r in by_id.values())
+    assert pii.detect(awkward.limit(0)).count() == 0
+
+
+TOKENIZERS = pytest.importorskip("public_tokenizers")
+AWKWARD = list(" \n\t▁aeÄé日\U0001f600.,12-\r​́\x1c\x85\xa0Σ'") + ["<s>", "<0x0A>", "'s", "<|endoftext|>", "  ", "the ", "ing"]
+
+
+def test_piece_ids_equal_the_library():
+    model, rng = pieces.load(pieces.default_path()), random.Random(4)
+    texts = ["".join(rng.choice(AWKWARD) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "ab" * 3000]
+    ours = [i.tolist() for i in model.encode(texts)]
+    assert ours == model.library.encode(texts)
+    assert [model.decode(i) for i in ours] == [model.library.decode(i) for i in ours]
+
+
+def test_pieces_of_awkward_rows(spark, awkward):
+    found = pieces.digest(pieces.encoded(awkward)).collect()
+    library = pieces.load(pieces.default_path()).library
+    want = sorted((r.doc_id or 0, len(i := library.encode(r.text or "")), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(library.decode(i).encode()).hexdigest()) for r in awkward.collect())
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == want
+    assert pieces.encoded(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_equal_the_library(spark, awkward, name):
+    path, rng = TOKENIZERS.path(name), random.Random(6)
+    texts = ["".join(rng.choice(AWKWARD) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    if name.endswith("json"):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        lengths = lambda texts: [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    else:
+        lengths = lambda texts: [len(x) for x in pieces.load(path).library.encode(texts)]
+    assert token_counts.Counter(path).counts(texts) == lengths(texts)
+    found = token_counts.token_counts(awkward, path).collect()
+    rows = awkward.collect()
+    want = [(r.doc_id, len((r.text or "").encode()), n, n > 2048) for r, n in zip(rows, lengths([r.text or "" for r in rows]))]
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
+
+
+def test_a_remembered_fragment_is_not_lost_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMORY", 20)
+    counter = token_counts.Counter(token_counts.default_path())
+    texts = [" ".join(f"word{i + j}" for j in range(9)) for i in range(30)]
+    assert [counter.counts([t])[0] for t in texts] == token_counts.Counter(token_counts.default_path()).counts(texts)
+    monkeypatch.setattr(pieces, "MEMORY", 20)
+    model = pieces.Model(pieces.default_path())
+    assert [model.encode([t])[0].tolist() for t in texts] == model.library.encode(texts)
+
+
+def test_bisection_meets_both_targets(spark):
+    totals = [("a", 9000), ("b", 300), ("c", 700)]
+    sources = spark.createDataFrame(totals, "source string, total long")
+    a = mixing.exponent(sources, mixing.Mix(repetitions=3.0))
+    assert (9000 / 300) ** (1 - a) <= 3 < (9000 / 300) ** (1 - a + 2e-6)
+    share = np.array([t for _, t in totals]) / 10_000
+    entropy = lambda a: -((w := share**a / (share**a).sum()) * np.log(w)).sum()
+    a = mixing.exponent(sources, mixing.Mix(entropy=0.8, repetitions=None))
+    assert entropy(a) >= 0.8 > entropy(a + 2e-6)
+    assert mixing.exponent(sources, mixing.Mix(entropy=5.0, repetitions=None)) == 0.0
+    a = mixing.exponent(sources, mixing.Mix(repetitions=2.0, budget=10_000))
+    assert 10_000 * (share**a / (share**a).sum() / np.array([t for _, t in totals])).max() <= 2.0 + 1e-9
+
+
+def test_blocks_are_permutations_and_keep_the_budget(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randint(1, 30)), rng.choice(["hot"] * 8 + ["b", None])) for i in range(600)]
+    found = mixing.schedule(documents(spark, rows), mixing.Mix(repetitions=3.0)).toPandas()
+    assert set(found.doc_id) == set(range(600))
+    tokens = {i: max(1, len(t.split())) for i, t, _ in rows}
+    for source, part in found.groupby(found.source.fillna("-")):
+        docs = {i for i, _, s in rows if (s or "-") == source}
+        blocks = part.groupby("block").doc_id.agg(list)
+        for k, ids in blocks.items():
+            assert len(ids) == len(set(ids)) and set(ids) <= docs
+            assert k == len(blocks) - 1 or set(ids) == docs
+        last = part[part.block == part.block.max()].sort_values("place").doc_id.tolist()
+        if set(last) != docs:  # a last block is the start of its permutation
+            places = sorted((hashlib.md5(f"0:{len(blocks) - 1}:{i}".encode()).hexdigest()[:15], i) for i in docs)
+            assert last == [i for _, i in places][: len(last)]
+    total = lambda name: sum(tokens[i] for i, _, s in rows if (s or "-") == name)
+    for name, used in found.groupby(found.source.fillna("-")).tokens.sum().items():
+        assert total(name) <= used <= 3 * total(name)
+
+
+def test_mixing_of_awkward_rows(spark, awkward):
+    found = mixing.mix_documents(awkward)
+    assert found.columns == awkward.columns and found.count() >= awkward.count()
+    assert mixing.mix_documents(awkward.limit(0)).count() == 0
