@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +35,30 @@ def cell(value: str | Column, side: float, axes: int) -> Column:
     return F.array(*[F.floor(value[i] / side).cast("long") for i in range(axes)])
 
 
-def near_cells(of: Column, axes: int) -> Column:
-    """Array of the cells that touch a cell, itself included."""
-    return F.array(*[F.array(*[of[i] + d for i, d in enumerate(step)]) for step in product((-1, 0, 1), repeat=axes)])
+def cells(value: str | Column, r: float, axes: int) -> list[Column]:
+    """The cell of a point in a grid twice as wide as a range, a column for each of its first components."""
+    value = F.col(value) if isinstance(value, str) else value
+    return [F.floor(value[i] / (2 * r * (1 + SLACK))).cast("long") for i in range(axes)]
+
+
+def touched(value: str | Column, r: float, axes: int) -> list[Column]:
+    """For each component the array of cells of the grid of cells() that a point's range touches: one or two."""
+    value, reach = F.col(value) if isinstance(value, str) else value, r * (1 + SLACK)
+    edge = lambda x: F.floor(x / (2 * reach)).cast("long")
+    return [F.sequence(edge(value[i] - reach), edge(value[i] + reach)) for i in range(axes)]
+
+
+def combinations(parts: dict[str, Column]) -> Column:
+    """Array of structs: every choice of one element from each named array."""
+    out, done = F.array(F.struct(F.lit(0).alias("_"))), []
+    for name, part in parts.items():
+        out = _extended(out, tuple(done), name, part)
+        done.append(name)
+    return out
 
 
-def range_side(r: float) -> float:
-    """Cell side with which points within r lie in touching cells."""
-    return r * (1 + SLACK)
+def _extended(found: Column, done: tuple[str, ...], name: str, part: Column) -> Column:
+    return F.flatten(F.transform(found, lambda t: F.transform(part, lambda x: F.struct(*[t[d].alias(d) for d in done], x.alias(name)))))
 
 
 def dense_side(r: float, width: int) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panewise.errors import ConfigError
-from panewise.functions.distance import cell, euclid, near_cells, range_side, widths
+from panewise.functions.distance import cells, combinations, euclid, touched, widths
 from panewise.plans.counting import AXES
 from panewise.storage import bounded_broadcast, written
 
@@ -17,11 +17,12 @@ from panewise.storage import bounded_broadcast, written
 def range_neighbours(points: DataFrame, r: float, queries: DataFrame | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """(id, other, distance) of all pairs within r, from each of the queries (all points, if not given)."""
     low, high = shape or widths(points)
-    axes, side = min(low, AXES), range_side(r)
+    axes = min(low, AXES)
+    keys = [f"_c{i}" for i in range(axes)]
     here = points if queries is None else bounded_broadcast(queries, 10_000)
-    here = here.select("id", "value", F.explode(near_cells(cell("value", side, axes), axes)).alias("_cell"))
-    there = points.select(F.col("id").alias("other"), F.col("value").alias("_value"), cell("value", side, axes).alias("_cell"))
-    found = here.join(there, "_cell").where("id <> other").withColumn("distance", euclid("value", "_value", low if low == high else None))
+    here = here.select("id", "value", F.explode(combinations(dict(zip(keys, touched("value", r, axes))))).alias("_k")).select("id", "value", *[f"_k.{k}" for k in keys])
+    there = points.select(F.col("id").alias("other"), F.col("value").alias("_value"), *[c.alias(k) for k, c in zip(keys, cells("value", r, axes))])
+    found = here.join(there, keys).where("id <> other").withColumn("distance", euclid("value", "_value", low if low == high else None))
     return found.where(F.col("distance") <= r).select("id", "other", "distance")
 
 

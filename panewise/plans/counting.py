@@ -1,8 +1,8 @@
 """The core plan: neighbour pairs joined once, counted by panes, then summed for each window and query.
 
 A pane is the largest step that all windows and slides are multiples of. Points meet their neighbours in an equality join on
-grid cell and time bucket (a bucket is as long as the longest window), so that a cell's whole history is never one key. Pairs
-are counted by (point, pane of the neighbour, layer) before any shuffle; a layer is the smallest range of the query set that
+grid cell and time bucket (twice as long as the longest window), so that a cell's whole history is never one key; the probing
+side is copied to the few cells and buckets that its range and window touch, the other side is not. Pairs are counted by (point, pane of the neighbour, layer) before any shuffle; a layer is the smallest range of the query set that
 the pair is in. Windows are only expanded from these counts.
 """
 
@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panewise.config import QuerySet
-from panewise.functions.distance import cell, euclid, near_cells, range_side, widths
+from panewise.functions.distance import cells, combinations, euclid, touched, widths
 
-#: At most so many leading components make up a grid cell: each cell has 3 ** AXES neighbours.
+#: At most so many leading components make up a grid cell: a range touches up to 2 ** AXES cells.
 AXES = 3
 
 
@@ -38,17 +38,19 @@ def pairs(points: DataFrame, q: QuerySet, probes: DataFrame | None = None, shape
     equal. older_only: each pair once, from its newer point (by arrival, then id); for this all points must be probes.
     """
     low, high = shape or widths(points)
-    axes, panes, side = min(low, AXES), q.max_window // q.pane, range_side(q.max_range)
-    bucket = F.floor(F.col("pane") / panes)
-    here = (points if probes is None else probes).select("id", "pane", "arrival", "value", *on, bucket.alias("_bucket"), cell("value", side, axes).alias("_cell"))
-    shifts = F.array(F.lit(0), F.lit(1)) if older_only else F.array(F.lit(-1), F.lit(0), F.lit(1))
-    there = points.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), F.col("arrival").alias("other_arrival"), F.col("value").alias("_value"), *on, bucket.alias("_bucket"), cell("value", side, axes).alias("_own"))
-    there = there.withColumn("_shift", F.explode(shifts)).withColumn("_bucket", F.col("_bucket") + F.col("_shift")).drop("_shift")
-    there = there.withColumn("_cell", F.explode(near_cells(F.col("_own"), axes))).drop("_own")
-    found = here.join(there, ["_bucket", "_cell", *on]).where("id <> other").where(F.abs(F.col("pane") - F.col("other_pane")) < panes)
+    axes, panes, r = min(low, AXES), q.max_window // q.pane, q.max_range
+    even = low == high and low <= 8
+    values = lambda name: [F.col("value")[i].alias(f"{name}{i}") for i in range(low)] if even else [F.col("value").alias(name)]
+    keys = ["_bucket", *[f"_c{i}" for i in range(axes)]]
+    span = lambda pane: F.floor(pane / (2 * panes)).cast("long")
+    near = {"_bucket": F.sequence(span(F.col("pane") - panes + 1), span(F.col("pane") + (0 if older_only else panes - 1))), **{f"_c{i}": c for i, c in enumerate(touched("value", r, axes))}}
+    here = (points if probes is None else probes).select("id", "pane", "arrival", *values("_a"), *on, F.explode(combinations(near)).alias("_k")).select("*", *[f"_k.{k}" for k in keys]).drop("_k")
+    there = points.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), F.col("arrival").alias("other_arrival"), *values("_b"), *on, span(F.col("pane")).alias("_bucket"), *[c.alias(f"_c{i}") for i, c in enumerate(cells("value", r, axes))])
+    found = here.join(there, [*keys, *on]).where("id <> other").where(F.abs(F.col("pane") - F.col("other_pane")) < panes)
     if older_only:
         found = found.where((F.col("other_arrival") < F.col("arrival")) | (F.col("other_arrival") == F.col("arrival")) & (F.col("other") < F.col("id")))
-    found = found.withColumn("distance", euclid("value", "_value", low if low == high else None)).where(F.col("distance") <= q.max_range)
+    distance = euclid(F.array(*[f"_a{i}" for i in range(low)]), F.array(*[f"_b{i}" for i in range(low)]), low) if even else euclid("_a", "_b", None)
+    found = found.withColumn("distance", distance).where(F.col("distance") <= r)
     return found.select("id", "pane", "arrival", "other", "other_pane", "other_arrival", "distance", *on)
 
 

@@ -75,4 +75,4 @@ def detect_stateful(points: DataFrame, q: QuerySet) -> DataFrame:
     found = rows.groupBy("partition").transformWithStateInPandas(OutlierProcessor(q), "window_end long, c array<bigint>", "append", "EventTime")
     n = len(q.ranges) * len(q.ks)
     by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col("c")[i * n + j].alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
-    return reported(found.select("window_end", F.explode(by_window).alias("r")).select("window_end", "r.*"), q)
+    return reported(found.select("window_end", F.explode(by_window).alias("r")).select("window_end", "r.*").where("c0 is not null"), q)

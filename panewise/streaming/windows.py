@@ -15,14 +15,19 @@ from panewise.config import QuerySet
 from panewise.plans.counting import reported
 
 
-def counts_of(ids: np.ndarray, arrivals: np.ndarray, flags: np.ndarray, values: np.ndarray, end: int, q: QuerySet, block: int = 1024) -> list[int]:
+def counts_of(ids: np.ndarray, arrivals: np.ndarray, flags: np.ndarray, values: np.ndarray, end: int, q: QuerySet, block: int = 1024) -> list[int | None]:
     """Outliers of flag 0 among the points of the longest window before `end`, for each window, range and k in this order.
 
+    A window without points has None.
+
     Distances are taken for some points against all at a time, so that memory grows with the points and not their square.
     """
     out = []
     for w in q.windows:
         live = arrivals >= end - w
+        if not live.any():
+            out += [None] * (len(q.ranges) * len(q.ks))
+            continue
         i, v, own = ids[live], values[live], flags[live] == 0
         found = np.zeros((len(q.ranges), len(i)), dtype=np.int64)
         for k in range(0, len(i), block):
@@ -60,4 +65,4 @@ def detect_stream(points: DataFrame, q: QuerySet) -> DataFrame:
         sums = counted.select("window", *[F.col("c")[j].alias(f"c{j}") for j in range(n * len(q.windows))])
     by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col(f"c{i * n + j}").alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
     sums = sums.select(F.unix_millis("window.end").alias("window_end"), F.explode(by_window).alias("r")).select("window_end", "r.*")
-    return reported(sums, q)
+    return reported(sums.where("c0 is not null"), q)
