@@ -86,10 +86,14 @@ def _tagged(found: Column, w: int) -> Column:
     return F.transform(found, lambda e: F.struct(F.lit(w).cast("long").alias("w"), e.alias("window_end")))
 
 
+def within(q: QuerySet) -> list[Column]:
+    """Sums n0, n1, ...: neighbours within each range, of rows with layer and n (n 0: a point without)."""
+    return [F.sum(F.when(F.col("layer") <= i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(q.ranges))]
+
+
 def layered(rows: DataFrame, q: QuerySet, *keys: str) -> DataFrame:
-    """n0, n1, ... for each key: neighbours within each range, from rows with layer and n (n 0: a point without)."""
-    within = [F.sum(F.when(F.col("layer") <= i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(q.ranges))]
-    return rows.groupBy(*keys).agg(*within)
+    """within() for each key."""
+    return rows.groupBy(*keys).agg(*within(q))
 
 
 def window_counts(points: DataFrame, counts: DataFrame, q: QuerySet) -> DataFrame:

@@ -106,11 +106,11 @@ def _pruned(points: DataFrame, q: QuerySet, evidence: Callable[[DataFrame], Data
     cells = _panes_of_cells(panes, q, width)
     own = panes.where("flag = 0").withColumn("_dense", cell("value", dense_side(q.ranges[0], width), width))
     unsure = own.join(open_ends(cells, q), ["_dense", "pane"]).where(F.size("open") > 0).drop("_dense")
-    counts = evidence(C.pairs(panes, q, unsure.drop("open"), shape))
-    zero = unsure.select("id", "pane", F.col("pane").alias("other_pane"), F.lit(0).alias("layer"), F.lit(0).cast("long").alias("n"))
-    counted = C.layered(C.in_windows(zero.unionByName(counts.select("id", "pane", "other_pane", "layer", "n")), q, "pane", "other_pane"), q, "id", "w", "window_end")
-    asked = unsure.select("id", F.explode("open").alias("window_end"))
-    rows = counted.join(asked, ["id", "window_end"])
+    counts = C.in_windows(evidence(C.pairs(panes, q, unsure.drop("open"), shape)), q, "pane", "other_pane")
+    asked = C.in_windows(unsure.select("id", "pane", "open"), q, "pane", "pane").where(F.array_contains("open", F.col("window_end")))
+    rows = asked.select("id", "w", "window_end", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    rows = rows.unionByName(counts.select("id", "w", "window_end", "layer", "n", F.lit(False).alias("asked")))
+    rows = rows.groupBy("id", "w", "window_end").agg(*C.within(q), F.max("asked").alias("asked")).where("asked")
     combos = [(i, k) for i in range(len(q.ranges)) for k in q.ks]
     sums = rows.groupBy("window_end", "w").agg(*[F.sum(F.when(F.col(f"n{i}") < k, 1).otherwise(0)).alias(f"c{j}") for j, (i, k) in enumerate(combos)])
     windows = C.in_windows(panes.where("flag = 0").select("pane").distinct(), q, "pane", "pane").select("w", "window_end").distinct()
