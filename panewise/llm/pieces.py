@@ -2,15 +2,17 @@
 
 Encoding keeps an agenda of adjacent symbol pairs, ordered by the score of the piece that they would make, then by place; the
 best pair merges until none is left (what is no piece falls back to bytes). A text is cut where no piece of the vocabulary
-can reach across: before a space that follows another character, and around line ends. The parts cannot influence each
-other, so that each different part is merged once for a worker's lifetime (in a memory of bounded size). In each Arrow
-batch, the parts that are new are also encoded by the sentencepiece library and must agree.
+can reach across: before a space that follows another character, around line ends, and between a letter and a mark if the
+vocabulary allows. The parts cannot influence each other, so that a worker merges a part once for as long as it remembers it
+(its memory is of bounded size). In each Arrow batch, the parts that are new are also encoded by the sentencepiece library
+and must agree.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts that a worker remembers at most, and characters of the longest part that it remembers.
-MEMORY, LONGEST = 1_000_000, 48
+MEMORY, LONGEST = 400_000, 48
 #: Rows of an output batch at most, and texts' bytes from which on a batch ends sooner.
-ROWS, BYTES = 512, 8 << 20
+ROWS, BYTES = 512, 2 << 20
+#: Marks before which a text is cut after a letter.
+MARKS = ".,;:!?|"
 
 
 class Model:
@@ -52,11 +56,15 @@ class Model:
         self.spaced = [p.type == kinds.NORMAL and p.piece.startswith(SPACE) for p in proto.pieces]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p[1:] + p[:-1] for p in self.ids):
             raise ValueError("a piece reaches across a cut")
+        plain = any(a.isalpha() and b in MARKS for p in self.ids for a, b in zip(p, p[1:]))
+        inner = f" \n{re.escape(MARKS)}"
+        self.cut = re.compile(("" if plain else rf" *[^{inner}]*[^\W\d_](?![^{inner}])|") + "\n| *[^ \n]+| +")
         self.memory: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def merge(self, part: str) -> list[str]:
-        """The symbols of a part (spaces written as U+2581) when no pair on the agenda is left."""
-        symbols, scores = list(part), self.scores
+        """The symbols of a part, its spaces as U+2581, when no pair on the agenda is left."""
+        symbols, scores = list(part.replace(" ", SPACE)), self.scores
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(s, i, i + 1, 2) for i in range(n - 1) if (s := scores.get(symbols[i] + symbols[i + 1])) is not None]
@@ -88,38 +96,38 @@ class Model:
         return out
 
     def parts(self, text: str) -> list[str]:
-        """The text's parts in order, spaces written as U+2581; line ends are parts of their own."""
-        if not text:
-            return []
-        return re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", self.prefix + text.replace(" ", SPACE))
-
-    def learn(self, parts: set[str], check: bool = True) -> None:
-        """Puts parts on the memory; with `check` the library must give the same ids."""
-        new = [p for p in parts if p not in self.memory]
+        """The text's parts in order; line ends are parts of their own."""
+        return self.cut.findall((" " if self.prefix else "") + text.replace(SPACE, " ")) if text else []
+
+    def learn(self, new: list[str], check: bool = True) -> dict[str, bytes]:
+        """The ids of parts as bytes; with `check` the library must give the same ids."""
         found = [self.part_ids(p) for p in new]
         if check and new:
             # A line end before a part keeps the library's own prefix away from it.
-            head = len(theirs) if (theirs := self.library.encode("\n")) else 0
-            for p, ours, theirs in zip(new, found, self.library.encode(["\n" + p.replace(SPACE, " ") for p in new], num_threads=1)):
+            head = len(self.library.encode("\n"))
+            for p, ours, theirs in zip(new, found, self.library.encode(["\n" + p for p in new], num_threads=1)):
                 if ours != theirs[head:]:
                     raise ValueError(f"the library encodes {p!r} as {theirs[head:]}, not {ours}")
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-        self.memory.update((p, np.array(i, dtype=np.int32).tobytes()) for p, i in zip(new, found) if len(p) <= LONGEST)
-        self.extra = {p: np.array(i, dtype=np.int32).tobytes() for p, i in zip(new, found) if len(p) > LONGEST}
+        return {p: array("i", i).tobytes() for p, i in zip(new, found)}
 
     def encode(self, texts: list[str], check: bool = True) -> list[np.ndarray]:
         """Ids of each text, without begin or end ids."""
-        cut = [self.parts(t) for t in texts]
+        cut, memory = [self.parts(t) for t in texts], self.memory
         every = set().union(*cut)
-        if len(every) > MEMORY or sum(p not in self.memory for p in every) + len(self.memory) > MEMORY:
-            self.memory.clear()
-        self.learn(every, check)
-        known = {**self.memory, **self.extra} if self.extra and len(self.memory) < 1000 else self.memory
-        if self.extra and known is self.memory:
-            get = lambda p: self.memory.get(p) or self.extra[p]
+        long = {p for p in every if len(p) > LONGEST}
+        every -= long
+        new = every.difference(memory)
+        self.again |= every - new
+        if len(memory) + len(new) > MEMORY:  # what has come again since the last time stays, or else what this batch needs
+            kept = self.again if len(self.again) + len(new) < 0.8 * MEMORY else every - new
+            self.memory = memory = {p: memory[p] for p in kept}
+            self.again = set()
+        memory.update(self.learn(list(new), check))
+        if not long:
+            get = memory.__getitem__
         else:
-            get = known.__getitem__
+            extra = self.learn(list(long), check)
+            get = lambda p: memory[p] if p in memory else extra[p]
         return [np.frombuffer(b"".join(map(get, parts)), dtype=np.int32) for parts in cut]
 
     def decode(self, ids: list[int]) -> str:

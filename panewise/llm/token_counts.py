@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from panewise.llm.pieces import batches
 
 #: Fragments that a worker remembers at most, and characters of the longest that it remembers.
-MEMORY, LONGEST = 1_500_000, 48
+MEMORY, LONGEST = 700_000, 48
 #: Bytes of a batch for the library, and texts' bytes that are split before any of them is encoded.
-BATCH, BYTES = 256 << 10, 8 << 20
+BATCH, BYTES = 256 << 10, 4 << 20
 
 
 class Counter:
@@ -61,10 +61,8 @@ class Counter:
             return self._encoded(texts)
         cut, memory = [self.split(t) for t in texts], self.memory
         new = set().union(*cut).difference(memory)
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            memory[""] = 0
-            new = set().union(*cut) - {""}
+        if len(memory) + len(new) > MEMORY:  # only what these texts need stays
+            self.memory = memory = {f: memory[f] for f in {"", *set().union(*cut)} if f in memory}
         found = sorted(new, key=len)
         found = dict(zip(found, self._encoded(found)))
         memory.update((f, n) for f, n in found.items() if len(f) <= LONGEST)

@@ -25,8 +25,14 @@ from panewise.llm._common import bounded_broadcast, new_path, written
 #: Payloads of fewer bytes are never stored as revisits.
 LEAST = 100
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+LINE = re.compile(rb"WARC/1\.\d+\r\n")
+MARKS = re.compile(re.escape(MAGIC) + b"|(?:^|(?<=\n))" + re.escape(VERSION))
 EMPTY = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Of compression: from here on members hardly shrink, but cost more time.
+LEVEL = 4
+#: Bytes of a member that are unpacked at once.
+STEP = 8192
 #: Bytes of an output batch of records from which on the next begins.
 BYTES = 8 << 20
 FIELDS = "path string, offset long, length long, problem string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
@@ -67,11 +73,10 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             out, total = [], 0
-            for k in range(batch.num_rows):
-                page, url, html, digest, first = (c[k].as_py() for c in batch.columns)
+            for page, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                 body, again = html.encode(), first is not None and first != page
                 text = record("revisit" if again else "response", page or "", url or "", date, digest, len(body), b"" if again else body, first if again else None)
-                out.append(gzip.compress(text, 6, mtime=0))
+                out.append(gzip.compress(text, LEVEL, mtime=0))
                 total += len(out[-1])
                 if total > BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
@@ -93,7 +98,7 @@ def _head(raw: bytes) -> dict[str, str]:
 
 def parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line is at `at`, and where it ends. ValueError says which check failed."""
-    if not re.compile(rb"WARC/1\.\d+\r\n").match(data, at):
+    if not LINE.match(data, at):
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
@@ -125,14 +130,16 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    unpack = zlib.decompressobj(wbits=31)
+    unpack, view, parts, stop = zlib.decompressobj(wbits=31), memoryview(data), [], at
     try:
-        text = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and stop < len(data):  # in small steps: what is left of a step is copied
+            parts.append(unpack.decompress(view[stop : stop + STEP]))
+            stop += STEP
     except zlib.error as x:
         raise ValueError("member cannot be unpacked") from x
     if not unpack.eof:
         raise ValueError("member is cut off")
-    return text, len(data) - len(unpack.unused_data)
+    return b"".join(parts), min(stop, len(data)) - len(unpack.unused_data)
 
 
 def _one(data: bytes, at: int) -> tuple[list[dict], int]:
@@ -150,7 +157,6 @@ def _one(data: bytes, at: int) -> tuple[list[dict], int]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
     """(offset, length, problem, record) over all bytes of an archive: a record, or the problem of a quarantined gap."""
-    marks = re.compile(re.escape(MAGIC) + b"|(?:^|(?<=\n))" + re.escape(VERSION))
     at = 0
     while at < len(data):
         try:
@@ -158,7 +164,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
         except ValueError as x:
             problem, start, found = str(x), at, None
             while found is None:
-                mark = marks.search(data, at + 1)
+                mark = MARKS.search(data, at + 1)
                 at = mark.start() if mark else len(data)
                 try:
                     found, end = _one(data, at) if mark else ([], at)
@@ -178,21 +184,24 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in FIELDS.split(", "))])
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in FIELDS.split(", "))])
+        names = schema.names[4:]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in given:
             for k in range(batch.num_rows):
                 name, out, total = batch.column(0)[k].as_py(), [], 0
                 for offset, length, problem, found in salvage(batch.column(1)[k].as_py()):
-                    row = {"path": name, "offset": offset, "length": length, "problem": problem} | (found or {})
+                    found = found or {}
                     if not payload:
-                        row["payload"] = None
-                    out.append(row)
-                    total += len(row.get("payload") or b"") + 200
+                        found["payload"] = None
+                    out.append((name, offset, length, problem, *map(found.get, names)))
+                    total += len(out[-1][-1] or b"") + 200
                     if total > BYTES:
-                        yield pa.RecordBatch.from_pylist(out, schema)
+                        yield pack(out)
                         out, total = [], 0
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield pack(out)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FIELDS)
 
