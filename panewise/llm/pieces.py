@@ -3,8 +3,8 @@
 Encoding keeps an agenda of adjacent symbol pairs, ordered by the score of the piece that they would make, then by place; the
 best pair merges until none is left (what is no piece falls back to bytes). A text is cut where no piece of the vocabulary
 can reach across: before a space that follows another character, around line ends, and between a letter and a mark if the
-vocabulary allows. The parts cannot influence each other, so that a worker merges a part once for as long as it remembers it
-(its memory is of bounded size). In each Arrow batch, the parts that are new are also encoded by the sentencepiece library
+vocabulary allows. The parts cannot influence each other, so that a task merges a part once for as long as it remembers it
+(its memory is of bounded size, and given back with the task: workers live on under other operators). In each Arrow batch, the parts that are new are also encoded by the sentencepiece library
 and must agree.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Parts that a worker remembers at most, and characters of the longest part that it remembers.
+#: Parts that a task remembers at most, and characters of the longest part that it remembers.
 MEMORY, LONGEST = 400_000, 48
 #: Rows of an output batch at most, and texts' bytes from which on a batch ends sooner.
 ROWS, BYTES = 512, 2 << 20
@@ -130,6 +130,10 @@ class Model:
             get = lambda p: memory[p] if p in memory else extra[p]
         return [np.frombuffer(b"".join(map(get, parts)), dtype=np.int32) for parts in cut]
 
+    def forget(self) -> None:
+        """Gives back the memory of parts."""
+        self.memory, self.again = {}, set()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no character become U+FFFD one by one."""
         surface, first = self.surface, 0
@@ -181,12 +185,15 @@ def encoded(docs: DataFrame, model_path: str | None = None, check: bool = True)
         import pyarrow.compute  # noqa: F401
 
         model = load(path)
-        for batch in (b for whole in given for b in batches([whole])):
-            ids = model.encode([t or "" for t in batch.column(1).to_pylist()], check)
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate([*ids, np.array([], dtype=np.int32)])
-            texts = [model.decode(i.tolist()) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        try:
+            for batch in (b for whole in given for b in batches([whole])):
+                ids = model.encode([t or "" for t in batch.column(1).to_pylist()], check)
+                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                values = np.concatenate([*ids, np.array([], dtype=np.int32)])
+                texts = [model.decode(i.tolist()) for i in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        finally:
+            model.forget()
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
