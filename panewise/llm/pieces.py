@@ -4,7 +4,8 @@ Encoding keeps an agenda of adjacent symbol pairs, ordered by the score of the p
 best pair merges until none is left (what is no piece falls back to bytes). A text is cut where no piece of the vocabulary
 can reach across: before a space that follows another character, around line ends, and between a letter and a mark if the
 vocabulary allows. The parts cannot influence each other, so that a task merges a part once for as long as it remembers it
-(its memory is of bounded size, and given back with the task: workers live on under other operators). In each Arrow batch, the parts that are new are also encoded by the sentencepiece library
+(its memory is of bounded size, and given back with the task but for a few common parts: workers live on under other
+operators). In each Arrow batch, the parts that are new are also encoded by the sentencepiece library
 and must agree.
 """
 
@@ -16,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Parts that a task remembers at most, and characters of the longest part that it remembers.
 MEMORY, LONGEST = 400_000, 48
+#: Parts, of those that came again, that stay for a worker's next task at most.
+KEPT = 50_000
 #: Rows of an output batch at most, and texts' bytes from which on a batch ends sooner.
-ROWS, BYTES = 512, 2 << 20
+ROWS, BYTES = 256, 512 << 10
 #: Marks before which a text is cut after a letter.
 MARKS = ".,;:!?|"
 
@@ -131,8 +135,10 @@ class Model:
         return [np.frombuffer(b"".join(map(get, parts)), dtype=np.int32) for parts in cut]
 
     def forget(self) -> None:
-        """Gives back the memory of parts."""
-        self.memory, self.again = {}, set()
+        """Gives back the memory of parts, but for KEPT that came again, and what Arrow holds in reserve."""
+        self.memory = {p: self.memory[p] for p in islice((p for p in self.again if p in self.memory), KEPT)}
+        self.again = set()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no character become U+FFFD one by one."""
