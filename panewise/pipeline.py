@@ -86,21 +86,22 @@ class Pipeline:
     def detect_outliers(self, detector: Callable | None = None) -> Pipeline:
         """Counts of outliers by the configured strategy, or by a user's (points, queries) -> results.
 
+        A user's detector gets streams too and answers with a stream; `strategies.by_window` makes one that takes both.
         Copies (flag 1) only serve strategies that count inside partitions. The others find neighbours by joins that need none.
         """
         c = self.config
         rows = self.parted if self.parted is not None else self.points
         if rows is None:
             raise ConfigError("read points first")
-        if rows.isStreaming:
-            from panewise.streaming.windows import detect_stream
-
-            return replace(self, results=detect_stream(rows, c.queries))
         detector = detector or c.detector
         if detector is not None:
             return replace(self, results=detector(rows, c.queries))
         if c.algorithm is Algorithm.USER_DEFINED:
             raise ConfigError("a user-defined algorithm needs a detector")
+        if rows.isStreaming:
+            from panewise.streaming.windows import detect_stream
+
+            return replace(self, results=detect_stream(rows, c.queries))
         own = rows.where("flag = 0").drop("partition")
         if c.algorithm is Algorithm.ADVANCED_EXTENDED and "partition" in rows.columns:
             found = strategies.advanced_extended(own, c.queries, lambda points, r: rows)

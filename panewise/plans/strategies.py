@@ -219,10 +219,15 @@ class Detector(ABC):
 def by_window(function: Callable, schema: str = "R double, k int, outliers long") -> Strategy:
     """A strategy of a function of one window's points: it gets (window_end, w, pandas table of points) and returns a pandas table of `schema`.
 
-    The window's points come to one task, as the function asks for; the function is called for every due slide.
+    The window's points come to one task, as the function asks for; the function is called for every due slide. On a stream it
+    is called when the watermark passes the window's end.
     """
 
     def strategy(points: DataFrame, q: QuerySet) -> DataFrame:
+        if points.isStreaming:
+            from panewise.streaming.windows import by_window_stream
+
+            return by_window_stream(points, q, function, schema)
         panes = C.with_panes(points, q)
         rows = C.in_windows(panes.select("id", "value", "arrival", "flag", "pane"), q, "pane", "pane").drop("pane")
 

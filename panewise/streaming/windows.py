@@ -6,6 +6,8 @@ as small as the partitioner makes them; without one, a window's points come to o
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,3 +68,29 @@ def detect_stream(points: DataFrame, q: QuerySet) -> DataFrame:
     by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col(f"c{i * n + j}").alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
     sums = sums.select(F.unix_millis("window.end").alias("window_end"), F.explode(by_window).alias("r")).select("window_end", "r.*")
     return reported(sums.where("c0 is not null"), q)
+
+
+def by_window_stream(points: DataFrame, q: QuerySet, function: Callable, schema: str) -> DataFrame:
+    """(window_end, R, k, w, s, outliers) of a stream by a function of (window_end, w, pandas table of points); see strategies.by_window.
+
+    A window of the longest length is one row; the function is called for each length that has points in it.
+    """
+    rows = points.withColumn("ts", F.timestamp_millis("arrival")).withWatermark("ts", f"{q.lateness} milliseconds")
+    window = F.window("ts", f"{q.max_window} milliseconds", f"{q.slide} milliseconds", f"{-q.max_window % q.slide} milliseconds")
+    found = rows.groupBy(window).agg(F.collect_list(F.struct("id", "value", "arrival", "flag")).alias("p"))
+    found = found.select(F.unix_millis("window.end").alias("window_end"), *[F.col(f"p.{c}").alias(c) for c in ("id", "value", "arrival", "flag")])
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for windows in tables:
+            for end, ids, values, arrivals, flags in windows.itertuples(index=False):
+                if all(end % s for s in q.slides):
+                    continue
+                table = pd.DataFrame({"id": ids, "value": list(values), "arrival": arrivals, "flag": flags})
+                for w in q.windows:
+                    live = table[table["arrival"] >= end - w].reset_index(drop=True)
+                    if len(live):
+                        yield function(int(end), int(w), live).assign(w=int(w), window_end=int(end))
+
+    found = found.mapInPandas(run, f"{schema}, w long, window_end long")
+    slides = F.filter(F.array(*[F.lit(s).cast("long") for s in q.slides]), lambda s: F.col("window_end") % s == 0)
+    return found.withColumn("s", F.explode(slides)).select("window_end", "R", "k", "w", "s", F.col("outliers").cast("long").alias("outliers"))

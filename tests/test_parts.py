@@ -8,13 +8,14 @@ import sys
 import threading
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from panewise import sinks
 from panewise.config import Algorithm, OutlierConfig, Output, Partitioning, QuerySet, Space, truth
 from panewise.errors import ConfigError, ParseError, UnsupportedSpaceError
 from panewise.pipeline import Pipeline
-from panewise.plans import counting
+from panewise.plans import counting, strategies
 from panewise.sources import points as sources
 from panewise.streaming import stateful, windows
 from tests.test_engine import brute, counted, own_grid, random_points
@@ -166,6 +167,33 @@ def test_a_partitioned_stream(spark, tmp_path):
     assert _streamed(spark, tmp_path, points, q, windows.detect_stream, lambda s: own_grid().partition(s, 1.0)) == brute(points, q)
 
 
+def test_a_users_detector_on_a_stream(spark, tmp_path):
+    points = [(i, v, t + 10_000) for i, v, t in random_points(50, 1, seed=3, span=40)]
+    q = QuerySet.of([2, 4], 1.0, [9, 14], [4, 6])
+
+    def function(end, w, rows):
+        """Of ids divisible by 2 only, which no built-in strategy counts."""
+        x = rows[rows["id"] % 2 == 0]["value"].str[0].to_numpy()
+        n = [int((abs(x - v) <= 1.0).sum()) - 1 for v in x]
+        return pd.DataFrame({"R": [1.0, 1.0], "k": [2, 4], "outliers": [sum(c < k for c in n) for k in (2, 4)]})
+
+    b = OutlierConfig.builder().user_defined(strategies.by_window(function)).in_rkws_space().querying([2, 4], 1.0, [9, 14], [4, 6])
+    detect = lambda stream, _: Pipeline.create(spark, b.build()).read_from(stream).detect_outliers().results
+    found = _streamed(spark, tmp_path, points, q, detect)
+    assert found == counted(strategies.by_window(function)(sources.from_list(spark, points), q))
+    want = brute([p for p in points if p[0] % 2 == 0], q)
+    assert {k: v for k, v in found.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_a_stream_of_a_user_defined_algorithm_needs_a_detector(spark, tmp_path):
+    sources.from_list(spark, [(1, [0.0], 1)]).write.parquet(str(tmp_path / "in"))
+    from dataclasses import replace
+
+    given = OutlierConfig.builder().user_defined(counting.detect).in_single_space().querying(3, 1.0, 20, 5).build()
+    with pytest.raises(ConfigError, match="detector"):
+        Pipeline(spark, replace(given, detector=None)).read_from(sources.replayed(spark, str(tmp_path / "in"))).detect_outliers()
+
+
 def test_entry_imports_alone(spark):
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['panewise.llm.queries'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'outliers_single_pmcod' in q and not [n for n in q if n.startswith('op')]; assert set(o) <= set(q)"
