@@ -12,6 +12,7 @@ from panewise.config import Algorithm, QuerySet
 from panewise.operators import evidence, neighbours, partitioning
 from panewise.plans import counting, strategies
 from panewise.sources import points as sources
+from panewise.storage import written
 
 HOUR = 3_600_000
 SINGLE = QuerySet.of(5, 0.5, 24 * HOUR, 6 * HOUR)
@@ -28,11 +29,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as points of three components. They have no key of one column: their keys' digits make the id."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-    rows = rows.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    key = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
-    return sources.to_points(rows, key, [F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100], "l_shipdate")
+    """Line items as points of three components, a point for each row. They have no key of one column: a number of each row is written with it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax", "l_shipdate")
+    points = sources.to_points(rows, F.monotonically_increasing_id(), [F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100], "l_shipdate")
+    return written(points, "items")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pathlib import Path
 import pandas as pd
 import pytest
 
-from panewise import sinks
+from panewise import queries, sinks
 from panewise.config import Algorithm, OutlierConfig, Output, Partitioning, QuerySet, Space, truth
 from panewise.errors import ConfigError, ParseError, UnsupportedSpaceError
 from panewise.pipeline import Pipeline
@@ -194,6 +194,21 @@ def test_a_stream_of_a_user_defined_algorithm_needs_a_detector(spark, tmp_path):
         Pipeline(spark, replace(given, detector=None)).read_from(sources.replayed(spark, str(tmp_path / "in"))).detect_outliers()
 
 
+def test_every_line_item_is_a_point(spark, tmp_path):
+    """Rows that share their keys, and keys beyond what digits of one long hold."""
+    import datetime
+
+    day = datetime.datetime(2020, 1, 1)
+    keys = [(10**12, 1, 5_000_000, 7)] * 3 + [(1, 1, 1_000_001, 7), (1, 2, 1, 7)]
+    rows = [(*k, 1.0 + 9 * (n > 3), 0.0, 0.0, day) for n, k in enumerate(keys)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    points = queries.items(spark, str(tmp_path))
+    assert points.count() == points.select("id").distinct().count() == 5
+    assert points.collect() == points.collect()
+    at = lambda r: int(day.replace(tzinfo=datetime.UTC).timestamp() * 1000)
+    assert counted(queries.QUERIES["outliers_3d"](spark, str(tmp_path))) == brute([(i, [r[4], 0.0, 0.0], at(r)) for i, r in enumerate(rows)], queries.ITEMS)
+
+
 def test_entry_imports_alone(spark):
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['panewise.llm.queries'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'outliers_single_pmcod' in q and not [n for n in q if n.startswith('op')]; assert set(o) <= set(q)"
