@@ -51,14 +51,14 @@ class Sink(ABC):
 
 
 class PrintSink(Sink):
-    def __init__(self, rows: int = 10_000):
-        self.rows = rows
+    """Prints every result on a line, in order; they come to the driver a part at a time."""
 
     def convert(self, results: DataFrame) -> DataFrame:
         return results.orderBy(*KEYS).select(printed().alias("line"))
 
     def write_batch(self, rows: DataFrame) -> None:
-        rows.show(self.rows, truncate=False)
+        for r in rows.toLocalIterator():
+            print(r["line"])
 
 
 class TextSink(Sink):

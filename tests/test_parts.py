@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panewise import queries, sinks
 from panewise.config import Algorithm, OutlierConfig, Output, Partitioning, QuerySet, Space, truth
@@ -194,6 +195,12 @@ def test_a_stream_of_a_user_defined_algorithm_needs_a_detector(spark, tmp_path):
         Pipeline(spark, replace(given, detector=None)).read_from(sources.replayed(spark, str(tmp_path / "in"))).detect_outliers()
 
 
+def test_print_leaves_no_line_out(spark, capsys):
+    results = spark.range(10_050).select(F.col("id").alias("window_end"), F.lit(0.5).alias("R"), F.lit(3).alias("k"), F.lit(20).cast("long").alias("w"), F.lit(1).cast("long").alias("s"), F.col("id").alias("outliers"))
+    sinks.PrintSink().write(results)
+    assert [x for x in capsys.readouterr().out.splitlines() if ";(" in x] == [f"{i};(20,1,0.5,3);{i}" for i in range(10_050)]
+
+
 def test_every_line_item_is_a_point(spark, tmp_path):
     """Rows that share their keys, and keys beyond what digits of one long hold."""
     import datetime
