@@ -3,12 +3,13 @@
 Unit vectors are projected by a Gaussian matrix. The squared distance of two projections, divided by the squared distance of
 the vectors, has a chi-square distribution with as many degrees of freedom as the projection has dimensions. A query takes
 its neighbours in the projection one kd-tree leaf after the other, nearest leaves first, and verifies them on the original
-vectors. It stops when the next projected distance is so large that a vector nearer than the worst one found would lie
-there only with probability 1 - sure.
+vectors, nearest projections first. It stops when the next projected distance is so large that a vector nearer than the worst
+one found would lie there only with probability 1 - sure.
 
-The upper levels of the kd-tree are fitted on a bounded sample and deal all rows into cells; a cell with many rows is dealt
-on into blocks of bounded size, and each block has the lower levels of its own. A query first searches its own block. The
-distances found there decide, by the same test against the cells' bounding boxes, which other blocks it visits.
+The upper levels of the kd-tree are fitted on a bounded sample and deal all rows into cells. Cells with many rows are cut on
+along their two widest sides, at quantiles that Spark takes over all their rows, and each block has the lower levels of its
+own. A query first searches its own block. The distances found there decide, by the same test against the bounding boxes of
+cells and then of blocks, which other blocks it visits. A block's rows are copied for every QUERIES visits that it really gets.
 
 Equal vectors are indexed once, with their smallest ids: more than k + 1 of them can never be needed.
 """
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panewise.llm._common import written
+from panewise.llm._common import bounded_broadcast, written
 
-#: Dimensions of the projection, rows of a block and of a leaf, queries of a block at once.
-DIMENSIONS, BLOCK, LEAF, QUERIES = 12, 4096, 64, 4096
+#: Dimensions of the projection (even), rows of a block and of a leaf, queries of a block at once.
+DIMENSIONS, BLOCK, LEAF, QUERIES = 24, 4096, 64, 4096
 #: Rows that fit the upper levels at most, and cells at most: these bound what the driver holds.
 SAMPLE, CELLS = 20_000, 1024
-#: How sure the stopping test must be that nothing nearer is left.
-SURE = 0.985
+#: How sure the stopping test must be that nothing nearer is left: about the recall to expect.
+SURE = 0.95
+#: Blocks whose boxes are broadcast at most, and projected neighbours that are verified first.
+BOXES, FIRST = 16_384, 64
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -122,40 +125,94 @@ class Block:
         order = np.concatenate(rows)
         self.names, self.vectors, self.points = names[order], vectors[order], points[order]
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
-        ends = np.cumsum([len(r) for r in rows])
-        self.leaves = list(zip((ends - [len(r) for r in rows]).tolist(), ends.tolist()))
-        self.low = np.stack([self.points[a:b].min(axis=0) for a, b in self.leaves])
-        self.high = np.stack([self.points[a:b].max(axis=0) for a, b in self.leaves])
+        self.sizes = np.array([len(r) for r in rows])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.low = np.minimum.reduceat(self.points, self.starts, axis=0)
+        self.high = np.maximum.reduceat(self.points, self.starts, axis=0)
 
-    def search(self, vector: np.ndarray, point: np.ndarray, k: int, worst: float, quantile: float) -> list[tuple[float, int]]:
-        """(-cosine, name) of up to k rows, best first, where squared distances beyond `worst` need not be found."""
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        """Places of the leaves' rows."""
+        sizes = self.sizes[leaves]
+        return np.arange(sizes.sum()) + np.repeat(self.starts[leaves] - (np.cumsum(sizes) - sizes), sizes)
+
+    def search(self, vector: np.ndarray, point: np.ndarray, k: int, worst: float, quantile: float) -> tuple[list[tuple[float, int]], int]:
+        """(-cosine, name) of up to k rows, best first, and how many rows were verified; squared distances beyond `worst` need not be found.
+
+        Leaves are opened in growing numbers, so that a search that finds little to leave out stays one of few steps.
+        """
         norm = math.sqrt(np.einsum("i,i->", vector, vector))
         gap = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
         bounds = np.einsum("ij,ij->i", gap, gap)
-        best: list[tuple[float, int]] = []
-        for leaf in np.argsort(bounds).tolist():
-            if bounds[leaf] > quantile * worst:
-                break  # the test holds for this leaf, and so for all that follow
-            a, b = self.leaves[leaf]
-            far = self.points[a:b] - point
-            near = np.nonzero(np.einsum("ij,ij->i", far, far) <= quantile * worst)[0] + a
-            if not len(near):
-                continue
-            cosine = np.einsum("ij,j->i", self.vectors[near], vector) / (self.norms[near] * norm)
-            best = sorted([*best, *zip((-cosine).tolist(), self.names[near].tolist())])[:k]
-            if len(best) == k:
-                worst = min(worst, max(0.0, 2 + 2 * best[-1][0]) * (1 + 1e-9) + 1e-12)
-        return best
+        order, best, verified, at, step = np.argsort(bounds), [], 0, 0, 1
+        while at < len(order) and bounds[order[at]] <= quantile * worst:  # beyond, the test holds for all leaves that follow
+            leaves = order[at : at + step]
+            rows = self._rows(leaves[bounds[leaves] <= quantile * worst])
+            at, step = at + step, 2 * step
+            far = self.points[rows] - point
+            distance = np.einsum("ij,ij->i", far, far)
+            near = np.nonzero(distance <= quantile * worst)[0]
+            near, done, take = near[np.argsort(distance[near], kind="stable")], 0, FIRST
+            while done < len(near) and distance[near[done]] <= quantile * worst:
+                part = near[done : done + take]
+                part = rows[part[distance[part] <= quantile * worst]]
+                done, take = done + take, 2 * take
+                cosine = np.einsum("ij,j->i", self.vectors[part], vector) / (self.norms[part] * norm)
+                verified += len(part)
+                best = sorted([*best, *zip((-cosine).tolist(), self.names[part].tolist())])[:k]
+                if len(best) == k:
+                    worst = min(worst, max(0.0, 2 + 2 * best[-1][0]) * (1 + 1e-9) + 1e-12)
+        return best, verified
+
+
+def _boxes(points: DataFrame, dimensions: int, *keys: str) -> DataFrame:
+    """(keys, n, low, high): the bounding box of each group of points."""
+    edges = lambda f: F.array(*[f(F.col("point")[i]) for i in range(dimensions)])
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), edges(F.min).alias("low"), edges(F.max).alias("high"))
+
+
+def _sliced(points: DataFrame, key: str, axis: str, fan: int, broadcast_rows: int) -> DataFrame:
+    """points with their key cut on: `fan` slices of about equal size along the component that the column `axis` names."""
+    x = F.element_at("point", F.col(axis) + 1)
+    cuts = points.groupBy(key).agg(F.percentile_approx(x, [i / fan for i in range(1, fan)], 20 * fan).alias("_cuts"))
+    cuts = bounded_broadcast(written(cuts.withColumnRenamed(key, "_key"), "ann-cuts"), broadcast_rows)
+    found = points.join(cuts, F.col(key) == F.col("_key"))
+    return found.withColumn(key, F.col(key) * fan + F.size(F.filter("_cuts", lambda c: c <= x))).drop("_key", "_cuts")
+
+
+def blocks_of(points: DataFrame, block: int, dimensions: int) -> DataFrame:
+    """points (with cell, at most CELLS of them) with their block, of about `block` rows at most.
+
+    Cells that have more are cut along their two widest sides. Rows whose projections are equal (vectors of one direction)
+    cannot be told apart by cuts; a block that is still large is dealt on by a hash.
+    """
+    boxes = written(_boxes(points, dimensions, "cell"), "ann-cells-boxes")
+    most = boxes.agg(F.max("n")).first()[0] or 0
+    points = points.withColumn("block", F.col("cell"))
+    if most > 2 * block:
+        fan = math.ceil(math.sqrt(most / block))
+        sides = F.sort_array(F.transform(F.arrays_zip("low", "high"), lambda e, i: F.struct((e["high"] - e["low"]).alias("side"), i.alias("axis"))), asc=False)
+        axes = boxes.select(F.col("cell").alias("_cell"), sides[0]["axis"].alias("_one"), sides[1]["axis"].alias("_two"))
+        points = points.join(F.broadcast(axes), F.col("cell") == F.col("_cell")).drop("_cell")  # at most CELLS rows
+        points = _sliced(_sliced(points, "block", "_one", fan, BOXES), "block", "_two", fan, BOXES).drop("_one", "_two")
+        points = written(points, "ann-sliced")
+    sizes = points.groupBy("block").agg(F.ceil(F.count("*") / (2 * block)).alias("_parts")).where("_parts > 1").withColumnRenamed("block", "_of")
+    points = points.join(bounded_broadcast(written(sizes, "ann-sizes"), BOXES), F.col("block") == F.col("_of"), "left")
+    part = F.pmod(F.xxhash64("name"), F.coalesce("_parts", F.lit(1)))
+    # Parts are numbered below the largest size there can be, 2 ** 20 of them.
+    return points.withColumn("block", F.col("block") * (1 << 20) + part).drop("_of", "_parts")
 
 
 def search(vectors: DataFrame, queries_every: int = 50, k: int = 5, width: int | None = None, dimensions: int = DIMENSIONS, sure: float = SURE, block: int = BLOCK, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of the largest cosine found for each row whose id is divisible by queries_every.
+    """(query_id, rank, vec_id, score, n_verified): the k rows of the largest cosine found for each row whose id is divisible by queries_every.
+
+    n_verified is how many different vectors were compared with the query's on their original components.
 
     A row is no candidate of its own id. Equal scores go by the smaller id. Vectors that are null, all zero, of another width
     than most or that hold a null or non-finite component take no part; nor do rows without id. Repeated rows count once. With
     fewer candidates than k all are returned; an empty table gives no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
+    if dimensions < 2 or dimensions % 2:
+        raise ValueError("the projection needs an even number of dimensions")
     if width is None:
         found = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("w")).count().orderBy(F.desc("count"), "w").first()
         width = found["w"] if found else 1
@@ -186,69 +243,69 @@ def search(vectors: DataFrame, queries_every: int = 50, k: int = 5, width: int |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell_of(y, splits))], names=[*batch.schema.names, "cell"])
 
     points = points.select("name", "ids", "embedding", "point").mapInArrow(dealt, f"name long, ids array<long>, {arrays}, cell long")
-    points = written(points, "ann-cells")
-    edges = [f(F.col("point")[i]).alias(f"{name}{i}") for i in range(dimensions) for f, name in ((F.min, "low"), (F.max, "high"))]
-    directory = points.groupBy("cell").agg(F.count("*").alias("n"), *edges).collect()  # at most CELLS rows
-    blocks = {r["cell"]: -(-r["n"] // block) for r in directory}
-    first = {c: sum(blocks[d] for d in sorted(blocks) if d < c) for c in blocks}
-    low = np.array([[r[f"low{i}"] for i in range(dimensions)] for r in directory]).reshape(-1, dimensions)
-    high = np.array([[r[f"high{i}"] for i in range(dimensions)] for r in directory]).reshape(-1, dimensions)
-    names = [r["cell"] for r in directory]
-
-    counts = F.create_map(*[F.lit(x) for c in blocks for x in (c, blocks[c])]) if blocks else F.lit(None)
-    starts = F.create_map(*[F.lit(x) for c in blocks for x in (c, first[c])]) if blocks else F.lit(None)
-    at = (F.element_at(starts, F.col("cell")) + F.pmod(F.xxhash64("name"), F.element_at(counts, F.col("cell")))).cast("long") if blocks else F.lit(0).cast("long")
-    placed = points.withColumn("block", at)
+    placed = written(blocks_of(written(points, "ann-cells"), block, dimensions), "ann-blocks")
+    cell_boxes = _boxes(placed, dimensions, "cell").collect()  # at most CELLS rows
+    low, high = (np.array([r[c] for r in cell_boxes], dtype=float).reshape(-1, dimensions) for c in ("low", "high"))
+    names = [r["cell"] for r in cell_boxes]
 
     asked = doubles.where(F.col("vec_id") % queries_every == 0)
     by_name = asked.join(placed.select("embedding", "name"), "embedding").select(F.col("vec_id").alias("query_id"), "name")
     by_name = written(by_name, "ann-queries")
-    queries = placed.join(by_name.select("name").distinct(), "name", "left_semi")
-    chunks = max(1, -(-by_name.select("name").distinct().count() // QUERIES))
-    chunk = F.pmod(F.xxhash64("name", F.lit(1)), F.lit(chunks)).cast("long").alias("chunk")
-    data = placed.select("block", "name", "embedding", "point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    out = "name long, found long, score double"
+    queries = placed.join(by_name.select("name").distinct(), "name", "left_semi").select("name", "embedding", "point", "block")
+    queries = written(queries, "ann-asked")
 
     def in_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: the block's rows; right: queries with the squared distance beyond which nothing is needed."""
-        found: list[tuple[int, int, float]] = []
+        """left: the block's rows; right: queries with the squared distance beyond which nothing is needed. The last row of each query has its count."""
+        found: list[tuple] = []
         if left.num_rows and right.num_rows:
             tree = Block(left["name"].to_numpy(), _matrix(left["embedding"], width, np.float64), _matrix(left["point"], dimensions, np.float64), LEAF)
             asks = zip(right["q_name"].to_pylist(), _matrix(right["q_embedding"], width, np.float64), _matrix(right["q_point"], dimensions, np.float64), right["q_worst"].to_pylist())
-            found = [(name, other, -score) for name, vector, point, worst in asks for score, other in tree.search(vector, point, wanted, worst, quantile)]
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table({"name": pa.array(columns[0], pa.int64()), "found": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    def in_blocks(asks: DataFrame) -> DataFrame:
-        asks = asks.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "chunk", "name", "embedding", "point", "worst")])
-        return data.groupBy("block", "chunk").cogroup(asks.groupBy("q_block", "q_chunk")).applyInArrow(in_block, out)
-
-    home = written(in_blocks(queries.select("block", chunk, "name", "embedding", "point", F.lit(4.0).alias("worst"))), "ann-home")
-    reach = home.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            for name, vector, point, worst in asks:
+                best, verified = tree.search(vector, point, wanted, worst, quantile)
+                found += [(name, other, -score, None) for score, other in best] + [(name, None, None, verified)]
+        columns = list(zip(*found)) or [(), (), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("name", "found", "score", "verified"), columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
+
+    def in_blocks(visits: DataFrame, asks: DataFrame) -> DataFrame:
+        """What the visits (name, block) find; asks: (name, embedding, point, worst)."""
+        chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("_chunks")).withColumnRenamed("block", "_of")
+        chunks = bounded_broadcast(written(chunks, "ann-chunks"), BOXES)
+        data = placed.select("block", "name", "embedding", "point").join(chunks, F.col("block") == F.col("_of"))
+        data = data.select("block", "name", "embedding", "point", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("chunk"))
+        dealt = visits.join(chunks, F.col("block") == F.col("_of")).select("name", "block", F.pmod(F.xxhash64("name", F.lit(1)), F.col("_chunks")).alias("chunk"))
+        dealt = dealt.join(asks, "name").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "chunk", "name", "embedding", "point", "worst")])
+        return data.groupBy("block", "chunk").cogroup(dealt.groupBy("q_block", "q_chunk")).applyInArrow(in_block, "name long, found long, score double, verified long")
+
+    home = written(in_blocks(queries.select("name", "block"), queries.select("name", "embedding", "point", F.lit(4.0).alias("worst"))), "ann-home")
+    reach = home.where("found is not null").groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     worst = F.when(F.col("n") >= wanted, F.greatest(F.lit(0.0), 2 - 2 * F.col("least")) * (1 + 1e-9) + 1e-12).otherwise(4.0)
     queries = queries.join(reach, "name", "left").withColumn("worst", F.coalesce(worst, F.lit(4.0))).select("name", "embedding", "point", "block", "worst")
+    queries = written(queries, "ann-limits")
 
     def routed(given):
-        """A row for each other block that a query has to visit."""
+        """A row for each cell that a query has to visit."""
         for batch in given:
-            points, own, limits = _matrix(batch.column(2), dimensions, np.float64), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            limits = batch.column(3).to_pylist()
             take, to = [], []
-            for i, point in enumerate(points):
+            for i, point in enumerate(_matrix(batch.column(1), dimensions, np.float64)):
                 gap = np.maximum(low - point, 0) + np.maximum(point - high, 0)
-                for c in np.nonzero(np.einsum("ij,ij->i", gap, gap) <= quantile * limits[i])[0].tolist():
-                    start = first[names[c]]
-                    visits = [b for b in range(start, start + blocks[names[c]]) if b != own[i]]
-                    take += [i] * len(visits)
-                    to += visits
+                visits = np.nonzero(np.einsum("ij,ij->i", gap, gap) <= quantile * limits[i])[0].tolist()
+                take += [i] * len(visits)
+                to += [names[c] for c in visits]
             for k in range(0, len(take), 4096):
                 part = batch.take(pa.array(take[k : k + 4096], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(to[k : k + 4096], pa.int64()), part.column(4)], names=part.schema.names)
-
-    visits = queries.mapInArrow(routed, f"name long, {arrays}, block long, worst double")
-    away = in_blocks(visits.select("block", chunk, "name", "embedding", "point", "worst"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[k : k + 4096], pa.int64())], names=["name", "point", "own", "worst", "cell"])
+
+    to_cells = queries.select("name", "point", F.col("block").alias("own"), "worst").mapInArrow(routed, "name long, point array<double>, own long, worst double, cell long")
+    boxes = bounded_broadcast(written(_boxes(placed, dimensions, "block", "cell"), "ann-boxes"), BOXES)
+    sides = F.zip_with(F.zip_with("low", "point", lambda a, p: F.greatest(a - p, F.lit(0.0))), F.zip_with("point", "high", lambda p, b: F.greatest(p - b, F.lit(0.0))), lambda x, y: x + y)
+    visits = to_cells.join(boxes, "cell").where(F.col("block") != F.col("own")).where(F.aggregate(sides, F.lit(0.0), lambda t, v: t + v * v) <= F.lit(quantile) * F.col("worst"))
+    away = in_blocks(written(visits.select("name", "block"), "ann-visits"), queries.select("name", "embedding", "point", "worst"))
+    every = written(home.unionByName(away), "ann-found")
+    counts = every.where("found is null").groupBy("name").agg(F.sum("verified").alias("n_verified"))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "found")
-    best = home.unionByName(away).withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
-    best = best.join(points.select(F.col("name").alias("found"), "ids"), "found").select("name", "score", F.explode("ids").alias("vec_id"))
-    best = best.join(by_name.distinct(), "name").where(F.col("vec_id") != F.col("query_id"))
+    best = every.where("found is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
+    best = best.join(placed.select(F.col("name").alias("found"), "ids"), "found").select("name", "score", F.explode("ids").alias("vec_id"))
+    best = best.join(by_name.distinct().join(counts, "name"), "name").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_verified")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -120,6 +121,45 @@ def test_neighbours_reach_the_recall(spark):
         part = part.sort_values("rank")
         assert part["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(part.score, score[part.vec_id], atol=1e-12) and (np.diff(part.score) <= 0).all()
     assert found.query_id.nunique() == 60 and hits / 300 >= 0.95
+    assert (found.n_verified > 5).all() and found.drop_duplicates("query_id").n_verified.mean() < 1500
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_generated_vectors(spark, table):
+    path = f"/root/testdata/{table}/embeddings.parquet"
+    if not Path(path).exists():
+        pytest.skip("no generated tables")
+    rows = spark.read.parquet(path)
+    found, table = neighbours.search(rows).toPandas(), rows.toPandas().set_index("vec_id")
+    unit = np.stack(table.embedding.to_numpy()).astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    hits = 0
+    for query, part in found.groupby("query_id"):
+        score = unit @ unit[table.index.get_loc(query)]
+        best = table.index[np.argsort(-score)[:6]]
+        hits += len(set(part.vec_id) & set(best[best != query]))
+    assert hits / (5 * found.query_id.nunique()) >= 0.9
+
+
+def test_large_cells_are_cut_on(spark, monkeypatch):
+    """More rows than CELLS blocks hold, and half of all vectors of one direction."""
+    monkeypatch.setattr(neighbours, "CELLS", 2)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((600, 6)), np.outer(rng.random(600) + 0.5, np.arange(1.0, 7.0))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(neighbours, "blocks_of", lambda *a, keep=neighbours.blocks_of: seen.append(keep(*a)) or seen[-1])
+    found = neighbours.search(rows, block=32).toPandas()
+    sizes = seen[0].groupBy("block").count().toPandas()["count"]
+    assert sizes.sum() == 1200 and sizes.max() < 150 and len(sizes) > 20
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    for query, part in found[found.query_id < 600].groupby("query_id"):
+        score = unit @ unit[query]
+        score[query] = -9
+        assert len(set(part.vec_id) & set(np.argsort(-score)[:5])) >= 4
+    assert found.query_id.nunique() == 24 and (found[found.query_id >= 600].score > 1 - 1e-9).all()
+    with pytest.raises(ValueError):
+        neighbours.search(rows, dimensions=5)
 
 
 def test_neighbours_of_awkward_vectors(spark):
