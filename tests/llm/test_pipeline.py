@@ -43,7 +43,7 @@ def test_each_stage_on_what_the_last_one_kept(spark):
 
 
 def test_the_whole_run_and_its_stages(spark, tmp_path):
-    documents(spark, [(i, f"number {i} " + " ".join(f"w{i * j}" for j in range(30)), "s") for i in range(4)]).write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, [(i, f"number {i} " + " ".join(f"w{i}x{j}" for j in range(30)), "s") for i in range(4)]).write.parquet(str(tmp_path / "documents.parquet"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "private_data", "mixture", "piece_ids"]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
     documents(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
