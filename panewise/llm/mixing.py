@@ -110,7 +110,8 @@ def mixed(rows: DataFrame, mix: Mix = Mix(), tokens_col: str = "_tokens") -> Dat
     """The written table rows (doc_id, source, tokens and others) with _block and _place, a row for each use of a document.
 
     A null source is a source of its own. Every row counts, repeated ones too; rows with null ids have equal places. In the
-    last block rows are taken in the order of places while their tokens fit into the rest.
+    last block rows are taken in the order of places (equal ones by tokens, then by _tie if rows have it) while their tokens
+    fit into the rest.
     """
     tokens = F.col(tokens_col)
     sources = rows.groupBy("source").agg(F.sum(tokens).alias("total"))
@@ -131,16 +132,16 @@ def mixed(rows: DataFrame, mix: Mix = Mix(), tokens_col: str = "_tokens") -> Dat
     last = last.join(bounded_broadcast(written(cut, "mix-cuts"), mix.broadcast_sources), same(cut), "left").drop("_source")
     inside = last.where(F.col("_cut_range").isNull() | (F.col("_range") < F.col("_cut_range")))
     edge = last.where(F.col("_range") == F.col("_cut_range"))
-    run = F.col("_before") + F.sum(tokens).over(Window.partitionBy("source").orderBy("_place", tokens).rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("_before") + F.sum(tokens).over(Window.partitionBy("source").orderBy("_place", tokens, *["_tie"] * ("_tie" in rows.columns)).rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("_run", run).where(F.col("_run") <= F.col("_rest"))
     columns = [*rows.columns, "_block", "_place"]
     return whole.select(*columns).unionByName(inside.select(*columns)).unionByName(edge.select(*columns))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The documents, each as often as the mix takes it; an empty table gives no rows. Columns are as in docs."""
-    rows = written(docs.withColumn("_tokens", word_tokens(F.col("text"))), "mix-docs")
-    return mixed(rows, mix).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents, each as often as the mix takes it; an empty table gives no rows. Columns are as in docs, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_tokens(F.col("text")).alias("_tokens"), F.xxhash64(F.col("text").cast("string")).alias("_tie"))
+    return mixed(written(rows, "mix-docs"), mix).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

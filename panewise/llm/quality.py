@@ -1,8 +1,9 @@
 """Quality rules on documents and on their hosts, in DataFrame functions only.
 
 Documents are measured one by one. Their rule failures are added up by host (the column `source`); a host's rate of
-failures is shrunk by a beta prior whose two parameters come from all hosts by the method of moments; a host whose shrunken
-rate is above a limit is rejected with all its documents.
+failures is shrunk by a beta prior whose two parameters come from all hosts by the method of moments. A host is rejected with
+all its documents if its shrunken rate is above a limit, or if it is surely some times the mean rate (the lower end of its
+posterior is) and not small.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ class Limits:
     max_symbol_percent: int = 30
     max_dup_line_percent: int = 50
     max_host_rate: float = 0.5
+    #: The other way for a host to be rejected: this many times the mean rate, with so many standard deviations of the
+    #: posterior to spare, at a shrunken rate of at least min_host_rate.
+    host_multiple: float = 2.0
+    host_deviations: float = 3.0
+    min_host_rate: float = 0.3
     #: Bounds of the prior's weight in documents: hosts that hardly differ, or differ as much as can be.
     min_prior: float = 2.0
     max_prior: float = 1e6
@@ -67,22 +73,23 @@ def repeat_words(words: Column, width: int = 8) -> Column:
 
 
 def measured(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
-    """docs with _q: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, rule_failed.
+    """(row, q): docs' columns as one struct, whatever their names, and what was measured.
 
-    A null text counts as empty: no words, so it fails. Other columns stay as they are, whatever their names.
+    q is a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, rule_failed. A null
+    text counts as empty: no words, so it fails.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
-    df = docs.withColumns({"_w": words_of(text), "_l": lines, "_s": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))})
+    df = docs.select(F.struct("*").alias("row"), words_of(text).alias("w"), lines.alias("l"), F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("s"))
     numbers = {
-        "n_words": F.size("_w"), "word_chars": F.length(F.array_join("_w", "")), "n_symbols": F.col("_s"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": repeat_words(F.col("_w")), "n_lines": F.size("_l"),
+        "n_words": F.size("w"), "word_chars": F.length(F.array_join("w", "")), "n_symbols": F.col("s"),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")), "n_repeat_words": repeat_words(F.col("w")), "n_lines": F.size("l"),
     }
-    df = df.withColumn("_n", F.struct(*[v.cast("long").alias(k) for k, v in numbers.items()])).drop("_w", "_l", "_s")
-    x = F.col("_n")
+    df = df.select("row", F.struct(*[v.cast("long").alias(k) for k, v in numbers.items()]).alias("n"))
+    x = F.col("n")
     base = (x["n_words"] < limits.min_words) | (100 * x["n_repeat_words"] > limits.max_repeat_percent * x["n_words"])
     rule = base | (100 * x["n_symbols"] > limits.max_symbol_percent * x["n_words"]) | (100 * x["n_dup_lines"] > limits.max_dup_line_percent * x["n_lines"])
-    return df.withColumn("_q", F.struct(*[x[k].alias(k) for k in numbers], base.alias("base_failed"), rule.alias("rule_failed"))).drop("_n")
+    return df.select("row", F.struct(*[x[k].alias(k) for k in numbers], base.alias("base_failed"), rule.alias("rule_failed")).alias("q"))
 
 
 def host_rates(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -90,7 +97,7 @@ def host_rates(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     The prior has the mean m of all documents and a weight w from the spread of the hosts' rates beyond chance:
     v = (sum n (p - m)^2 - (hosts - 1) m (1 - m)) / (N - sum n^2 / N), w = m (1 - m) / v - 1, within the limits' bounds.
-    rate = (failed + m w) / (n + w).
+    rate = (failed + m w) / (n + w), with the posterior's variance rate (1 - rate) / (n + w + 1).
     """
     hosts = flags.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
     hosts = written(hosts, "hosts")
@@ -101,34 +108,41 @@ def host_rates(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
     room = t["n"] - t["n2"] / t["n"] if t["n"] else 0.0
     between = (spread - (t["hosts"] - 1) * chance) / room if room > 0 else 0.0
     weight = min(limits.max_prior, max(limits.min_prior, chance / between - 1)) if between > 0 else limits.max_prior
-    rate = (f + mean * weight) / (n + weight)
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > limits.max_host_rate)
+    rate = F.col("rate")
+    sure = rate - limits.host_deviations * F.sqrt(rate * (1 - rate) / (n + weight + 1)) > limits.host_multiple * mean
+    rejected = (rate > limits.max_host_rate) | (sure & (rate > limits.min_host_rate))
+    return hosts.withColumn("rate", (f + mean * weight) / (n + weight)).withColumn("rejected", rejected)
 
 
-def _with_verdicts(rows: DataFrame, host: Column, failed: Column, limits: Limits) -> DataFrame:
-    """The written table `rows` with _rejected: the verdict on the row's host."""
-    hosts = host_rates(rows.select(host.alias("host"), failed.alias("failed")), limits)
-    bad = hosts.where("rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    found = rows.join(bounded_broadcast(bad, limits.broadcast_hosts), host == F.col("_host"), "left")
-    return found.withColumn("_rejected", F.coalesce("_bad", F.lit(False))).drop("_host", "_bad")
+def _with_verdicts(rows: DataFrame, limits: Limits) -> DataFrame:
+    """The written table rows (host, rule_failed and others) with host_rejected: the verdict on the row's host."""
+    hosts = host_rates(rows.select("host", F.col("rule_failed").alias("failed")), limits)
+    bad = hosts.where("rejected").select(F.col("host").alias("bad_host"))
+    found = rows.join(bounded_broadcast(bad, limits.broadcast_hosts), F.col("host") == F.col("bad_host"), "left")
+    return found.withColumn("host_rejected", F.col("bad_host").isNotNull()).drop("bad_host")
 
 
 def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, source, the numbers, base_failed, host_rejected, kept): a row for each row of docs, repeated ones too.
+    """(doc_id, source, the numbers, base_failed, rule_failed, host_rejected, kept): a row for each row of docs, repeated ones too.
 
     Null ids and hosts stay; a document without a host is judged by its own rules only. An empty table gives no rows. Columns
     besides doc_id, text and source are not read.
     """
-    rows = measured(docs.select("doc_id", F.col("source").alias("source"), "text"), limits).select("doc_id", "source", "_q.*")
-    rows = _with_verdicts(written(rows, "quality"), F.col("source"), F.col("rule_failed"), limits)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("_rejected")).withColumnRenamed("_rejected", "host_rejected")
+    rows = measured(docs.select("doc_id", "source", "text"), limits).select("row.doc_id", F.col("row.source").alias("host"), "q.*")
+    rows = _with_verdicts(written(rows, "quality"), limits)
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).withColumnRenamed("host", "source")
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents that pass, as they were; nulls and empty tables as in assess()."""
-    rows = measured(docs, limits).withColumns({"_base": F.col("_q.base_failed"), "_rule": F.col("_q.rule_failed")}).drop("_q")
-    rows = _with_verdicts(written(rows, "quality-docs"), F.col("source"), F.col("_rule"), limits)
-    return rows.where(~F.col("_base") & ~F.col("_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, as they were; nulls and empty tables as in assess().
+
+    Of documents that fail by themselves only the host and the failure are written.
+    """
+    rows = measured(docs, limits)
+    fine = ~F.col("q.base_failed")
+    rows = rows.select(F.col("row")["source"].alias("host"), "q.rule_failed", F.when(fine, F.col("row")).alias("row"))
+    rows = _with_verdicts(written(rows, "quality-docs"), limits)
+    return rows.where(F.col("row").isNotNull() & ~F.col("host_rejected")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same in DuckDB's SQL, with the default limits.
@@ -149,7 +163,8 @@ h AS (SELECT source AS host, count(*)::DOUBLE AS n, count(*) FILTER (rule_failed
 a AS (SELECT count(*) AS hosts, sum(n) AS n, sum(f) / sum(n) AS m, sum(n * n) AS n2, sum(f * f / n) AS fp FROM h),
 v AS (SELECT m, (fp - n * m * m - (hosts - 1) * m * (1 - m)) / nullif(n - n2 / n, 0) AS v FROM a),
 p AS (SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(2, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM v),
-bad AS (SELECT host FROM h, p WHERE (f + m * k) / (n + k) > 0.5)
+r AS (SELECT host, m, n, k, (f + m * k) / (n + k) AS rate FROM h, p),
+bad AS (SELECT host FROM r WHERE rate > 0.5 OR rate > 0.3 AND rate - 3.0 * sqrt(rate * (1 - rate) / (n + k + 1)) > 2.0 * m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(source NOT IN (SELECT host FROM bad), true) AS kept FROM f
 """
