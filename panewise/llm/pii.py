@@ -1,11 +1,15 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans come from fixed patterns and always stay. Looser patterns propose further spans. Labelers vote on every span, base
-or proposed: its pattern's strict form, a gazetteer of cue words in the text before it, its boundary, and its shape. Each may
-say yes (1), no (-1) or nothing (0). Expectation-maximisation estimates from the votes how reliable each labeler is, and the
-probability that a span is personal data; a logistic classifier is trained on these probabilities, and proposals it accepts
-are added. Spark counts the vote patterns over all documents; only that table reaches the driver, and its size is bounded by
-the number of patterns there can be (len(KINDS) * 2 * 3 ** 4 rows), whatever the corpus.
+or proposed: its pattern's strict form, a gazetteer of known and of made-up values, the words before it, its boundary, and its
+shape. Each may say yes (1), no (-1) or nothing (0). Expectation-maximisation estimates from the votes how reliable each
+labeler is, and the probability that a span is personal data; no span's truth is given. A logistic classifier is trained on
+these probabilities as soft labels. It reads the span and its surroundings (kind, length, characters, prefix, assignment, quotes, cue
+words) and not the votes, and proposals it accepts are added.
+
+Spark counts the patterns of votes and features over all documents; only that table reaches the driver, and its size is
+bounded by the number of patterns there can be (len(KINDS) * 2 * 3 ** 5 votes times the product of FEATURES), whatever the
+corpus.
 """
 
 from __future__ import annotations
@@ -27,22 +31,44 @@ EMAIL = rf"(?:(?<!{_RUN})|\G){_RUN}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-# The patterns of proposals.
-OBSCURED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,8}"
+# The patterns of proposals. A credential is what a cue word assigns; only the value is the span.
+OBSCURED = rf"(?<!{_RUN}){_RUN}++ ?(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+.)( -])(?<![0-9+.)(-][ ])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])(?![ .-][0-9])"
-SECRET = r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])"
+ACCOUNT = r"(?<![0-9A-Za-z.,+-])[0-9]{9,19}+(?![0-9A-Za-z])(?![.,-][0-9])"
+ASSIGNS = r"(?i:passw(?:or)?d|passphrase|pwd|token|secret|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer)[\"']? {0,2}[=:] {0,2}[\"']?"
+CREDENTIAL = ASSIGNS + r"[^\s\"'<>,;()]++"
+SECRET = r"(?<![A-Za-z0-9])(?:(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+|A[KS]IA[A-Z]{16}(?![A-Za-z0-9]))"
 
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-PROPOSED = {"email_obscured": OBSCURED, "national_id": NATIONAL, "phone_local": LOCAL, "secret": SECRET}
-#: All kinds in the order of the results.
+PROPOSED = {"email_obscured": OBSCURED, "national_id": NATIONAL, "phone_local": LOCAL, "account": ACCOUNT, "credential": CREDENTIAL, "secret": SECRET}
+#: A text without a match of the hint has no match of the kind; hints are cheaper.
+HINTS = {"email": "@", "phone": r"\+[0-9]", "email_obscured": r"[(\[{]at", "national_id": "-[0-9]{2}-", "phone_local": "[0-9]{3}[ .-][0-9]{3}", "account": "[0-9]{9}", "credential": "[=:]", "secret": "[A-Za-z0-9]{16}"}
+#: All kinds in the order of the results. Of proposals that overlap the kind that comes first stays.
 KINDS = [*BASE, *PROPOSED]
-#: Cue words that the gazetteer knows for each kind.
+# Words before a span that speak for and against each kind.
+_MAIL, _CALL = "mail|contact|write to|address|correo|courriel|adresse", "phone|tel|call|fax|mobile|cell|ruf|whatsapp|handy|portable"
 CUES = {
-    "email": "mail|contact|write to|address|e-mail|correo|courriel", "ip": "ip|host|server|address|from|login|client",
-    "card": "card|visa|master|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|cell|ruf|whatsapp",
-    "email_obscured": "mail|contact|write to|address|e-mail|correo|courriel", "national_id": "ssn|social|security|national|passport|id",
-    "phone_local": "phone|tel|call|fax|mobile|cell|ruf|whatsapp", "secret": "token|key|secret|password|passwd|bearer|auth|api",
+    "email": _MAIL, "ip": "ip|host|server|address|from|login|client", "card": "card|visa|master|credit|debit|karte|carte|tarjeta", "phone": _CALL,
+    "email_obscured": _MAIL, "national_id": "ssn|social|security|national|passport|insurance", "phone_local": _CALL,
+    "account": "account|acct|iban|konto|compte|cuenta|passport|insurance|customer|patient", "credential": "passw|passphrase|pwd|token|secret|credential|key|bearer|login", "secret": "token|key|secret|passw|bearer|auth|api|login",
+}
+_NUMBERED = "isbn|issn|doi|page|vol|volume|figure|table|order|invoice|population|version|article|section|chapter|no|nr"
+AGAINST = {
+    "ip": "version|release|build|section|chapter|v", "card": _NUMBERED, "phone": _NUMBERED, "national_id": _NUMBERED, "phone_local": _NUMBERED,
+    "account": _NUMBERED, "secret": "commit|sha1|sha256|sha512|sha|md5|crc|checksum|hash|digest|revision|uuid|guid|isbn|etag",
+}
+# The gazetteer of values, by kind: what real ones look like, and values that are made up or reserved.
+KNOWN = {
+    "email": r"(?i)\.(?:com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|ru|jp|cn|br|mx)$", "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[0478]|35|6011|62|64|65)", "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "email_obscured": r"(?i)(?:com|net|org|edu|gov|info|io|co|de|fr|es|uk|eu|us|ca|it|nl|ch|at)$", "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "credential": r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|glpat-|AIza)", "secret": r"^(?:(?i:akia|asia)|gh[pousr]|xox[abprs]|eyJ|AIza)",
+}
+MADE_UP = {
+    "email": r"(?i)^(?:noreply|no-reply|user|name|your|someone|test)[^@]*@|@(?:domain|test|localhost)", "ip": r"^(?:0|127|22[4-9]|2[3-9][0-9])\.|\.0\.0\.0$", "card": r"^([0-9])(?:[ -]?\1)+$", "phone": r"([0-9])\1{6}",
+    "email_obscured": r"(?i)^(?:user|name|your|someone|test)", "national_id": r"^(?:000|666|9)|-00-|0000$", "phone_local": r"([0-9])\1{3}|^0", "account": r"([0-9])\1{4}|0000$|^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])|12345",
+    "credential": r"(?i)x{3}|\*{2}|example|changeme|your|none|null|true|false|required|^[a-z]+[.!?]?$", "secret": r"(?i)x{4}|deadbeef|abcdef|0{6}|123456",
 }
 #: Characters before a span that the gazetteer reads.
 CONTEXT = 32
@@ -72,20 +98,24 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: int) -> Column:
+def matches(text: Column, pattern: str, kind: int, lead: str | None = None) -> Column:
     """Array of SPAN: the pattern's matches from left to right, places in code points.
 
     The pieces between the matches give the places: Spark's functions return matches without them.
+
+    lead: the pattern of a match's first part, if that is no part of the span.
     """
+    cut = (lambda m: F.regexp_replace(m, f"^(?:{lead})", "")) if lead else (lambda m: m)
 
     def placed(pieces: Column, found: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
         def step(a: Column, i: Column) -> Column:
-            piece, value = F.get(pieces, i), F.get(found, i)
-            first = a["at"] + F.length(piece)
-            span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), (first + F.length(value)).alias("end"), value.alias("value"), F.substring(piece, -CONTEXT, CONTEXT).alias("left"), F.substring(F.get(pieces, i + 1), 1, 1).alias("right"))
-            return F.struct((first + F.length(value)).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+            piece, whole = F.get(pieces, i), F.get(found, i)
+            end, kept = a["at"] + F.length(piece) + F.length(whole), cut(whole)
+            left = F.concat(piece, F.substring(whole, F.lit(1), F.length(whole) - F.length(kept))) if lead else piece
+            span = F.struct(F.lit(kind).alias("kind"), (end - F.length(kept)).alias("start"), end.alias("end"), kept.alias("value"), F.substring(left, -CONTEXT, CONTEXT).alias("left"), F.substring(F.get(pieces, i + 1), 1, 1).alias("right"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
 
@@ -93,25 +123,20 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def base_spans(text: Column) -> Column:
-    """Array of SPAN: the base spans in the order of kinds, then start."""
-    hint = {"email": "@", "phone": "+"}
-    found = []
-    for k, (kind, pattern) in enumerate(BASE.items()):
-        spans = _kept(matches(text, pattern, k), kind)
-        found.append(F.when(F.contains(text, F.lit(hint[kind])), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if kind in hint else spans)
-    return F.concat(*found)
+def _hinted(text: Column, kind: str, spans: Column) -> Column:
+    return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if kind in HINTS else spans
 
 
-def _kept(spans: Column, kind: str) -> Column:
-    return F.filter(spans, lambda s: _holds(kind, s["value"]))
+def base_spans(text: Column) -> Column:
+    """Array of SPAN: the base spans in the order of kinds, then start."""
+    kept = lambda spans, kind: F.filter(spans, lambda s: _holds(kind, s["value"]))
+    return F.concat(*[_hinted(text, kind, kept(matches(text, pattern, k), kind)) for k, (kind, pattern) in enumerate(BASE.items())])
 
 
 def proposed_spans(text: Column) -> Column:
     """Array of SPAN: what the looser patterns find."""
-    none = F.array().cast(f"array<{SPAN}>")
-    found = [matches(text, pattern, len(BASE) + k) for k, pattern in enumerate(PROPOSED.values())]
-    return F.concat(F.when(F.contains(text, F.lit("at")), found[0]).otherwise(none), F.when(text.rlike("[0-9]{3}"), F.concat(*found[1:])).otherwise(none))
+    lead = {"credential": ASSIGNS}
+    return F.concat(*[_hinted(text, kind, matches(text, pattern, len(BASE) + k, lead.get(kind))) for k, (kind, pattern) in enumerate(PROPOSED.items())])
 
 
 def _by_kind(kind: Column, of: dict[str, Column]) -> Column:
@@ -122,93 +147,153 @@ def _by_kind(kind: Column, of: dict[str, Column]) -> Column:
     return out
 
 
+def _say(yes: Column, no: Column) -> Column:
+    return F.when(no, -1).when(yes, 1).otherwise(0)
+
+
+def _distinct(value: Column) -> Column:
+    return F.size(F.array_distinct(F.split(F.lower(value), "")))
+
+
+def _cue(span: Column) -> Column:
+    """Words before the span: 1 for its kind, -1 against it, 0 neither."""
+    left, never = F.lower(span["left"]), F.lit(False)
+    against = lambda k: left.rlike(f"\\b(?:{AGAINST[k]})\\b[^a-z]*$") if k in AGAINST else never
+    return _by_kind(span["kind"], {k: _say(left.rlike(f"\\b(?:{words})"), against(k)) for k, words in CUES.items()})
+
+
+#: The labelers in the order of votes().
+LABELERS = ["pattern", "gazetteer", "context", "boundary", "shape"]
+
+
 def votes(span: Column) -> list[Column]:
-    """The labelers' votes on a SPAN: pattern, gazetteer, boundary, shape."""
-    say = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    value, digits = span["value"], _digits(span["value"])
-    strict = _by_kind(span["kind"], {
-        **{k: F.lit(1) for k in BASE},
-        "email_obscured": say(value.rlike(r"(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,12}$"), value.rlike(" ")),
-        "national_id": say(~value.rlike("^(?:000|666|9)|-00-|0000$"), F.lit(True)),
-        "phone_local": say(F.length(digits).between(9, 11), ~F.length(digits).between(8, 12)),
-        "secret": say(F.length(value).isin(32, 40, 64), F.lit(False)),
+    """The labelers' votes on a SPAN."""
+    value, digits, kind, never = span["value"], _digits(span["value"]), span["kind"], F.lit(False)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    strict = _by_kind(kind, {
+        "email": _say(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), value.rlike(r"\.\.|@-|-\.|[0-9]$")),
+        "ip": _say(~value.rlike(r"(?:^|\.)0[0-9]"), span["left"].rlike(r"[0-9]\.$") | span["right"].rlike("[.][0-9]")),
+        "card": _say(F.length(digits) == 16, F.length(digits) > 16),
+        "phone": _say(F.length(digits).between(10, 13), F.length(digits) > 14),
+        "email_obscured": _say(value.rlike(r"(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,}$"), value.rlike("[0-9]$")),
+        "national_id": _say(F.lit(True), value.rlike("^(?:000|666|9)|-00-|0000$")),
+        "phone_local": _say(F.length(digits).between(9, 11), ~F.length(digits).between(8, 12)),
+        "account": _say(luhn(value) & (F.length(digits) >= 12), ~luhn(value)),
+        "credential": _say(mixed & (F.length(value) >= 8), ~value.rlike("[0-9]") | (F.length(value) < 6)),
+        "secret": _say(value.rlike("[g-z]") & value.rlike("[A-Z]") | value.rlike(KNOWN["secret"]), value.rlike("^[A-Za-z]+[0-9]{1,4}$|^[0-9]{1,4}[A-Za-z]+$")),
     })
-    cue = _by_kind(span["kind"], {k: say(F.lower(span["left"]).rlike(f"\\b(?:{words})"), F.lit(False)) for k, words in CUES.items()})
-    edge = say((span["left"].rlike(r"[\s\"'(<:;=,]$") | (span["left"] == "")) & (span["right"].rlike(r"[\s\"')>;,.!?]") | (F.coalesce(span["right"], F.lit("")) == "")), span["left"].rlike("[0-9_]$") | span["right"].rlike("[0-9_]"))
-    distinct = F.size(F.array_distinct(F.split(F.lower(value), "")))
-    shape = say(distinct >= 5, distinct <= 3)
-    return [strict, cue, edge, shape]
+    fits = lambda patterns, k: value.rlike(patterns[k]) if k in patterns else never
+    gazetteer = _by_kind(kind, {k: _say(fits(KNOWN, k), fits(MADE_UP, k)) for k in KINDS})
+    open_left = span["left"].rlike(r"[\s\"'(<:;=,|]$") | (span["left"] == "")
+    open_right = span["right"].rlike(r"[\s\"')>;,.!?|#]") | (F.coalesce(span["right"], F.lit("")) == "")
+    boundary = _say(open_left & open_right, span["left"].rlike("[0-9_]$") | span["right"].rlike("[0-9_]"))
+    shape = _by_kind(kind, {k: _say(mixed & (_distinct(value) >= 7), ~mixed & ~fits(KNOWN, k) | (_distinct(value) <= 4)) if k in ("credential", "secret") else _say(_distinct(value) >= 5, _distinct(value) <= 3) for k in KINDS})
+    return [strict, gazetteer, _cue(span), boundary, shape]
+
+
+#: What the classifier reads besides the kind, and how many values each has.
+FEATURES = {"length": 4, "digits": 4, "distinct": 4, "cases": 2, "assigned": 2, "quoted": 2, "prefix": 2, "cue": 3}
+
+
+def features(span: Column) -> list[Column]:
+    """The values of FEATURES for a SPAN, each from 0."""
+    value = span["value"]
+    size, share, distinct = F.length(value), F.length(_digits(value)) / F.length(value), _distinct(value)
+    step = lambda x, *bounds: sum((F.when(x >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    flag = lambda x: F.when(x, 1).otherwise(0)
+    prefix = _by_kind(span["kind"], {k: flag(value.rlike(KNOWN[k])) for k in ("credential", "secret")})
+    return [
+        step(size, 8, 16, 32), step(share, 1e-9, 0.5, 1.0), step(distinct, 4, 7, 11), flag(value.rlike("[a-z]") & value.rlike("[A-Z]")),
+        flag(span["left"].rlike(r"[=:] ?[\"']?$")), flag(span["left"].rlike("[\"']$") & span["right"].rlike("[\"']")), prefix, _cue(span) + 1,
+    ]
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _spans: array of (kind, start, end, base, votes). A null text counts as empty and has none."""
+    """(row, spans): docs' columns as one struct, and array of (kind, start, end, base, votes, features). A null text counts as empty and has none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumns({"_b": base_spans(text), "_p": proposed_spans(text)})
-    seen = lambda of, base: F.transform(F.col(of), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(s)).alias("votes")))
-    apart = F.filter(seen("_p", False), lambda s: ~F.exists(F.col("_b"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("_spans", F.concat(seen("_b", True), apart)).drop("_b", "_p")
+    df = docs.select(F.struct("*").alias("row"), base_spans(text).alias("found"), proposed_spans(text).alias("proposed"))
+    place = lambda s: [s[c].alias(c) for c in ("kind", "start", "end")]
+    seen = lambda of, base: F.transform(of, lambda s: F.struct(*place(s), F.lit(base).alias("base"), F.array(*votes(s)).alias("votes"), F.array(*features(s)).alias("features")))
+    meets = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"])
+    # Most documents have no proposals, and few that have any have many: each is held against those of kinds before its own.
+    apart = F.filter("proposed", lambda s: ~F.exists("found", lambda b: meets(s, b)) & ~F.exists("proposed", lambda b: (b["kind"] < s["kind"]) & meets(s, b)))
+    df = df.select("row", "found", apart.alias("apart"))
+    return df.select("row", F.concat(seen("found", True), seen("apart", False)).alias("spans"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the classifier, and the reliabilities that expectation-maximisation found: P(vote | personal or not)."""
+    """Weights of the classifier, and what expectation-maximisation found: P(vote 1 | it votes, personal or not) by labeler."""
 
     bias: tuple[float, ...]
-    weights: tuple[tuple[float, float], ...]
-    reliability: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
+    weights: tuple[tuple[float, ...], ...]
+    reliability: tuple[tuple[float, float], ...]
 
-    def score(self, kind: Column, votes: Column) -> Column:
+    def score(self, kind: Column, features: Column) -> Column:
         """Log odds of a span."""
-        out = _by_kind(kind, {k: F.lit(b) for k, b in zip(KINDS, self.bias)}).cast("double")
-        for i, (yes, no) in enumerate(self.weights):
-            vote = F.get(votes, F.lit(i))
-            out = out + F.when(vote == 1, yes).when(vote == -1, no).otherwise(0.0)
+        out = F.get(F.array(*[F.lit(b) for b in self.bias]), kind)
+        for i, weights in enumerate(self.weights):
+            out = out + F.get(F.array(*[F.lit(w) for w in weights]), F.get(features, F.lit(i)))
         return out
 
 
-def fit(counts: list[tuple[int, bool, tuple[int, ...], int]], rounds: int = 50, ridge: float = 1.0) -> Model:
-    """The model of the vote patterns (kind, base, votes, count), in plain steps on the small table.
+#: What is expected of a labeler before any data: P(vote 1 | it votes) on personal data and on other spans. SHARE is the weight
+#: of that as a share of all spans, and EVEN that of even odds for each kind as a share of its spans. They keep the two
+#: classes apart where the spans are all of one, and a kind's commonness from outweighing what is known of a span.
+EXPECTED, SHARE, EVEN = (0.85, 0.3), 0.1, 0.5
+
 
-    Base spans are known to be personal data and anchor the estimates; no patterns give a model that follows the majority.
+def reliabilities(kind: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(P(personal) of each vote pattern, P(vote 1 | it votes, class) of each labeler) by expectation-maximisation from majority votes.
+
+    That a labeler says nothing is no evidence: it has to do with the kind.
     """
-    n_votes = len(counts[0][2]) if counts else 4
-    votes = np.array([c[2] for c in counts], dtype=int).reshape(-1, n_votes)
-    n, base, kind = np.array([c[3] for c in counts], dtype=float), np.array([c[1] for c in counts], dtype=bool), np.array([c[0] for c in counts], dtype=int)
-    truth = np.where(base, 1.0, 1 / (1 + np.exp(-1.5 * votes.sum(axis=1))))
-    theta = np.zeros((n_votes, 2, 3))
+    truth = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1)))
+    yes, no, total = (votes == 1).astype(float), (votes == -1).astype(float), n.sum()
+    for _ in range(rounds):
+        theta = np.empty((votes.shape[1], 2))
+        for y, weight in enumerate((n * truth, n * (1 - truth))):
+            theta[:, y] = (weight @ yes + (1 + SHARE * total) * EXPECTED[y]) / (weight @ yes + weight @ no + 1 + SHARE * total)
+        odds = yes @ np.log(theta[:, 0] / theta[:, 1]) + no @ np.log((1 - theta[:, 0]) / (1 - theta[:, 1]))
+        for k in set(kind.tolist()):
+            own = kind == k
+            even = 1 + EVEN * n[own].sum()
+            odds[own] += math.log((even + (n * truth)[own].sum()) / (even + (n * (1 - truth))[own].sum()))
+        truth = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return truth, theta
+
+
+def fit(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], rounds: int = 50, ridge: float = 0.1) -> Model:
+    """The model of the patterns (kind, votes, features, count), in plain steps on the small table. No patterns: it accepts nothing."""
+    sizes = list(FEATURES.values())
+    if not counts:
+        return Model((0.0,) * len(KINDS), tuple((0.0,) * s for s in sizes), ())
+    kind, votes, found = np.array([c[0] for c in counts]), np.array([c[1] for c in counts]), np.array([c[2] for c in counts])
+    n = np.array([c[3] for c in counts], dtype=float)
+    truth, theta = reliabilities(kind, votes, n)
+    x = np.concatenate([np.eye(len(KINDS))[kind], *[np.eye(s)[found[:, i]] for i, s in enumerate(sizes)]], axis=1)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        weight = np.stack([n * truth, n * (1 - truth)])
-        prior = [math.log((1 + weight[0, kind == k].sum()) / (1 + weight[1, kind == k].sum())) for k in range(len(KINDS))]
-        for i in range(n_votes):
-            for y in (0, 1):
-                by_vote = np.array([weight[y, votes[:, i] == v].sum() for v in (-1, 0, 1)]) + 1
-                theta[i, y] = by_vote / by_vote.sum()
-        odds = np.array([prior[k] for k in kind]) + sum(np.log(theta[i, 0, votes[:, i] + 1] / theta[i, 1, votes[:, i] + 1]) for i in range(n_votes))
-        truth = np.where(base, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-    x = np.concatenate([np.eye(len(KINDS))[kind].reshape(-1, len(KINDS)), *[(votes[:, [i]] == v).astype(float) for i in range(n_votes) for v in (1, -1)]], axis=1)
-    w = np.array([0.0] * len(KINDS) + [1.5, -1.5] * n_votes)
-    start = w.copy()
-    for _ in range(rounds if len(counts) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - truth)) + ridge * (w - start)
+        gradient = x.T @ (n * (p - truth)) + ridge * w
         hessian = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(hessian, gradient)
-    pairs = w[len(KINDS) :].reshape(-1, 2)
-    return Model(tuple(map(float, w[: len(KINDS)])), tuple((float(a), float(b)) for a, b in pairs), tuple((tuple(map(float, theta[i, 0])), tuple(map(float, theta[i, 1]))) for i in range(n_votes)))
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+    parts = np.split(w, np.cumsum([len(KINDS), *sizes])[:-1])
+    return Model(tuple(map(float, parts[0])), tuple(tuple(map(float, p)) for p in parts[1:]), tuple(tuple(map(float, t)) for t in theta))
 
 
 def train(rows: DataFrame) -> Model:
-    """The model for the table of candidates(): vote patterns are counted over all of it."""
-    spans = rows.select(F.explode("_spans").alias("s")).select("s.kind", "s.base", "s.votes")
-    counts = spans.groupBy("kind", "base", "votes").count().orderBy("kind", "base", "votes").collect()  # bounded, see above
-    return fit([(r["kind"], r["base"], tuple(r["votes"]), r["count"]) for r in counts])
+    """The model for the table of candidates(): patterns are counted over all of it."""
+    spans = rows.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.features")
+    counts = spans.groupBy("kind", "votes", "features").count().orderBy("kind", "votes", "features").collect()  # bounded, see above
+    return fit([(r["kind"], tuple(r["votes"]), tuple(r["features"]), r["count"]) for r in counts])
 
 
-def _accepted(rows: DataFrame, model: Model) -> DataFrame:
-    """rows with spans: array of (kind, start, end, base), base and accepted ones, by kind and start."""
-    kept = F.filter(F.col("_spans"), lambda s: s["base"] | (model.score(s["kind"], s["votes"]) > 0))
-    plain = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return rows.withColumn("spans", F.sort_array(plain)).drop("_spans")
+def _accepted(model: Model) -> Column:
+    """Array of (kind, start, end, base) of the column spans: base and accepted ones, by kind and start."""
+    kept = F.filter("spans", lambda s: s["base"] | (model.score(s["kind"], s["features"]) > 0))
+    return F.sort_array(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
 
 
 def listed(spans: Column) -> Column:
@@ -222,8 +307,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
     An empty table gives no rows; columns besides doc_id and text are not read.
     """
-    rows = written(candidates(docs.select("doc_id", "text")).select("doc_id", "_spans"), "pii")
-    return _accepted(rows, train(rows))
+    rows = written(candidates(docs.select("doc_id", "text")).select("row.doc_id", "spans"), "pii")
+    return rows.select("doc_id", _accepted(train(rows)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -238,15 +323,15 @@ def _count(kind: int) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets, and n_chars brought up to date.
+    """docs with every span of the text replaced by its kind in brackets, and n_chars (if there) brought up to date.
 
-    Overlapping spans become one, named after the first. A null text stays null, and so does its n_chars.
+    Overlapping spans become one, named after the first. A null text stays null, and so does its n_chars. Other columns stay
+    as they are, whatever their names.
     """
     rows = written(candidates(docs), "pii-docs")
-    found = _accepted(rows.withColumnRenamed("spans", "_own") if "spans" in docs.columns else rows, train(rows))
-    by_place = F.sort_array(F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.col("row")["text"]
+    by_place = F.sort_array(F.transform(_accepted(train(rows)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -254,6 +339,8 @@ def redact(docs: DataFrame) -> DataFrame:
         more = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
 
-    clean = F.aggregate(by_place, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).withColumn("n_chars", F.length("text").cast("long")).drop("spans")
-    return (found.withColumnRenamed("_own", "spans") if "spans" in docs.columns else found).select(*docs.columns)
+    clean = F.aggregate("places", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    found = rows.select("row", by_place.alias("places"))
+    found = found.select("row", F.when(F.size("places") > 0, clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
