@@ -10,9 +10,10 @@ these). Candidates are pairs that pass the first `depth` budgets; they meet in a
 lists the few ways in which the first segments may differ. The later budgets prune them before the whole Hamming distance.
 
 Dense groups. Copies collapse into one fingerprint before any pairing. Thousands of different fingerprints can still lie
-close together; their pairs are never listed: a bucket's members are first held against one leader, what links becomes one
-class, and later rounds only compare members of different classes. No link between classes is lost, as the last round
-compares every candidate pair whose ends are not yet in one class.
+close together; their pairs are not all listed: a bucket's members are first held against one leader, what links becomes one
+class, then every class has one head in a bucket. The last round compares every candidate pair whose ends are not yet in one
+class, from the smaller class to the larger, after probes of buckets that hold no larger class than their own have gone: a
+bucket of one class costs no pairs at all, and one of a large class and a few strangers as many as it has members for each.
 """
 
 from __future__ import annotations
@@ -33,35 +34,49 @@ BITS = 64
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Unsigned fingerprint of a text: A-Z in lower case, words between white space, shingles with repeats; no words: 0."""
+def hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included: A-Z in lower case, words between white space; fewer words are one shingle, none give none."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, hash_of = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = np.array([hash_of(joined, seed)], dtype=np.uint64)
-    else:
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: 1 - words].tolist() if words > 1 else (ends - lengths).tolist()
-        hashes = np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())), dtype=np.uint64, count=len(starts))
+        return np.array([hash_of(joined, seed)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: 1 - words].tolist() if words > 1 else (ends - lengths).tolist()
+    return np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())), dtype=np.uint64, count=len(starts))
+
+
+def majority(found: np.ndarray) -> int:
+    """The unsigned number whose bits are set in over half the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        part = hashes[k : k + BLOCK]
+    for k in range(0, len(found), BLOCK):
+        part = found[k : k + BLOCK]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """Unsigned fingerprint of a text; without words 0."""
+    return majority(hashes(text, words, seed))
+
+
+def digest(text_col: str = "text") -> Column:
+    """By which, with its id, a row's text is known: its hash."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row for each document, fp as a signed long. A null text counts as empty; a null id stays null."""
+    """(doc_id, digest, fp): a row for each document, fp as a signed long. A null text counts as empty; a null id stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), words, seed) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def segments(limit: int) -> list[tuple[int, int]]:
@@ -115,14 +130,14 @@ def _keys(nodes: DataFrame, limit: int, depth: int, probe: bool) -> DataFrame:
     return nodes.withColumn("x", F.explode(F.array(*rows))).select(*nodes.columns, "x.start", "x.key")
 
 
-def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
+def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
     """(fp, root): the smallest fingerprint reachable through links, for the distinct fingerprints `nodes` (fp)."""
     on = ["start", "key"]
     leader = lambda df, *by: df.groupBy(*by).agg(F.min("fp").alias("leader"))
 
     def merged(roots: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-        """roots after the classes that the edges (u, v: roots) join have become one."""
-        joined = connected(edges, name).withColumnRenamed("root", "lower")
+        """roots after the classes that the edges (u, v: roots) join have become one. Few roots change, and a class may have many nodes: the changes are broadcast."""
+        joined = bounded_broadcast(written(connected(edges, name).where("node <> root").withColumnRenamed("root", "lower"), f"{name}-joined"), broadcast_rows)
         out = roots.join(joined, roots.root == joined.node, "left").select("fp", F.coalesce("lower", "root").alias("root"))
         return written(out, f"{name}-roots")
 
@@ -135,23 +150,31 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
     near = _keys(roots, limit, depth, probe=True).join(heads, on).where(F.col("root") != F.col("other")).where(_within("fp", "leader", limit))
     roots = merged(roots, near.select(F.col("root").alias("u"), F.col("other").alias("v")), "simhash-heads")
 
-    members = _keys(roots, limit, depth, probe=False).select(*on, F.col("fp").alias("fp2"), F.col("root").alias("other"))
-    rest = _keys(roots, limit, depth, probe=True).join(members, on).where(F.col("root") < F.col("other"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = bounded_broadcast(written(sizes, "simhash-sizes"), broadcast_rows)
+    ranked = roots.join(sizes, "root", "left").select("fp", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("rank"))
+    members = _keys(ranked, limit, depth, probe=False)
+    top = members.groupBy(*on).agg(F.max("rank").alias("top"))
+    probes = _keys(ranked, limit, depth, probe=True).join(top, on).where(F.col("rank") < F.col("top"))
+    rest = probes.join(members.select(*on, F.col("fp").alias("fp2"), F.col("rank").alias("rank2")), on).where(F.col("rank") < F.col("rank2"))
     rest = rest.where(chain_holds(F.col("fp"), F.col("fp2"), limit, depth)).where(_within("fp", "fp2", limit))
-    return merged(roots, rest.select(F.col("root").alias("u"), F.col("other").alias("v")), "simhash-rest")
+    return merged(roots, rest.select(F.col("rank.root").alias("u"), F.col("rank2.root").alias("v")), "simhash-rest")
 
 
-def classes(prints: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of the rows (doc_id, fp): component_id is the smallest id reachable, null if all are null.
+def classes(prints: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows (doc_id, fp and others) with root, the class's smallest fingerprint, and component_id: the smallest id reachable, null if all are null.
 
     Every row stays, repeated ids too. `depth` is how many chain budgets the join key covers; it changes the work, not the
     result: 2 suits up to some tens of millions of distinct fingerprints, 3 more.
     """
     prints = written(prints, "simhash-prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = link_roots(nodes.select("fp"), limit, depth)
-    least = nodes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = nodes.join(link_roots(nodes.select("fp"), limit, depth, broadcast_rows), "fp")
+    # Only classes of several fingerprints need their smallest id looked up.
+    least = roots.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
+    roots = roots.join(bounded_broadcast(written(least, "simhash-least"), broadcast_rows), "root", "left")
+    ids = roots.select("fp", "root", F.coalesce("least", "first").alias("component_id"))
+    return prints.join(ids, "fp").select(*prints.columns, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4, depth: int = 2) -> DataFrame:
@@ -160,20 +183,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, limit: int
     A null or empty text has fingerprint zero and links like any other; an empty table gives no rows; columns besides
     doc_id and text are not read.
     """
-    found = classes(fingerprints(docs, words, seed), limit, depth)
+    found = classes(fingerprints(docs, words, seed).drop("digest"), limit, depth)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
-    """The documents with one of each class left, that with the smallest doc_id, as they were. Rows without an id stay.
+def keep_first(docs: DataFrame, found: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with one row of each class left, one of the smallest doc_id, as it was; found: (doc_id, digest, root) of every row.
 
-    An id that comes more than once stays if it is the smallest of one of its classes; of its rows that are equal in text one
-    stays. Texts are only shuffled for such ids, or where the ids to be dropped are more than `broadcast_rows`.
+    Rows without an id stay. Verdicts are those of rows and not of ids, so that an id may come more than once. Texts are only
+    shuffled for repeated rows, or where the rows to be dropped are more than `broadcast_rows`.
     """
-    found = classes(fingerprints(docs, words, seed), limit).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
-    ids = written(ids.where("not first or n > 1"), "simhash-ids")
-    some = lambda rows: bounded_broadcast(ids.where(rows).select("doc_id"), broadcast_rows)
-    kept = docs.join(some("not first"), "doc_id", "left_anti")
-    again = kept.join(some("first"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(some("first"), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    known = found.where("doc_id is not null").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    known = written(known, "first-rows")
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = bounded_broadcast(written(first.drop("rows"), "first-of-classes"), broadcast_rows)
+    stays = F.coalesce(F.struct("doc_id", "digest") == F.col("first"), F.lit(True))
+    marked = known.join(first, "root", "left").select("doc_id", "digest", stays.alias("stays"), "n").where("not stays or n > 1")
+    marked = written(marked, "first-marked")
+    some = lambda rows: bounded_broadcast(marked.where(rows).select("doc_id", "digest"), broadcast_rows)
+    on = ["doc_id", "digest"]
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+    kept = rows.join(some("not stays"), on, "left_anti")
+    repeated = some("stays")
+    again = kept.join(repeated, on, "left_semi").dropDuplicates(on)
+    every = kept.join(repeated, on, "left_anti").select("row").unionByName(again.select("row"))
+    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4, depth: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+    """The documents with one of each class left, that with the smallest doc_id, as they were; see keep_first()."""
+    found = classes(fingerprints(docs, words, seed).where("doc_id is not null"), limit, depth, broadcast_rows)
+    return keep_first(docs, found.select("doc_id", "digest", "root"), broadcast_rows)
