@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panewise.config import QuerySet
 from panewise.functions.distance import cells, combinations, euclid, touched, widths
+from panewise.storage import bounded_broadcast, written
 
 #: At most so many leading components make up a grid cell: a range touches up to 2 ** AXES cells.
 AXES = 3
@@ -104,10 +105,10 @@ def window_counts(points: DataFrame, counts: DataFrame, q: QuerySet) -> DataFram
 
 
 def outlier_counts(counted: DataFrame, q: QuerySet, is_outlier: Column | None = None) -> DataFrame:
-    """(window_end, R, k, w, s, outliers) from window_counts(); is_outlier: a further condition on a row."""
-    extra = F.lit(True) if is_outlier is None else is_outlier
+    """(window_end, R, k, w, s, outliers) from window_counts(); is_outlier: a further condition on a row. A row with `own` stands for so many points."""
+    extra, points = F.lit(True) if is_outlier is None else is_outlier, F.col("own") if "own" in counted.columns else F.lit(1)
     combos = [(i, r, k) for i, r in enumerate(q.ranges) for k in q.ks]
-    sums = [F.sum(F.when(extra & (F.col(f"n{i}") < k), 1).otherwise(0)).alias(f"c{j}") for j, (i, _, k) in enumerate(combos)]
+    sums = [F.sum(F.when(extra & (F.col(f"n{i}") < k), points).otherwise(0)).alias(f"c{j}") for j, (i, _, k) in enumerate(combos)]
     return reported(counted.groupBy("window_end", "w").agg(*sums), q)
 
 
@@ -120,8 +121,42 @@ def reported(sums: DataFrame, q: QuerySet) -> DataFrame:
     return out.select("window_end", "_r.R", "_r.k", "w", "s", "_r.outliers")
 
 
+#: Points for each different value from which on values are worth counting instead of points.
+CROWDED = 8
+
+
+def crowded(points: DataFrame) -> bool:
+    """Points share few values, and no two points an id, so that neighbours can be counted for values."""
+    rows, values = points.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("value"))).first()
+    return rows >= CROWDED * max(values, 1) and not points.groupBy("id").count().where("count > 1").limit(1).count()
+
+
+def detect_by_value(points: DataFrame, q: QuerySet) -> DataFrame:
+    """The result of detect() for points of few different values and with an id each.
+
+    All points of a value have the same neighbours in a window. Distances are taken between values, once for all windows;
+    points are counted by value and window, and the counts of near values are added up.
+    """
+    from panewise.operators.neighbours import range_neighbours
+
+    own = F.sum(F.when(F.col("flag") == 0, 1).otherwise(0)).alias("own")
+    counted = written(with_panes(points, q).groupBy("value", "pane").agg(F.count("*").alias("n"), own), "value-panes")
+    values = written(counted.select("value").distinct().withColumn("id", F.monotonically_increasing_id()), "values")
+    near = range_neighbours(values, q.max_range).select("id", "other", layer(F.col("distance"), q).alias("layer"))
+    near = written(near.unionByName(values.select("id", F.col("id").alias("other"), F.lit(0).alias("layer"))), "near-values")
+    counted = in_windows(counted.join(values, "value").select("id", "pane", "n", "own"), q, "pane", "pane")
+    counted = written(counted.groupBy("id", "w", "window_end").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "value-windows")
+    spread = counted.select(F.col("id").alias("other"), "w", "window_end", "n").join(bounded_broadcast(near, 500_000), "other")
+    rows = spread.select("id", "w", "window_end", "layer", "n", F.lit(0).cast("long").alias("own"))
+    less_self = counted.where("own > 0").select("id", "w", "window_end", F.lit(0).alias("layer"), F.lit(-1).cast("long").alias("n"), "own")
+    sums = rows.unionByName(less_self).groupBy("id", "w", "window_end").agg(*within(q), F.max("own").alias("own"))
+    return outlier_counts(sums.where("own > 0"), q)
+
+
 def detect(points: DataFrame, q: QuerySet) -> DataFrame:
     """(window_end, R, k, w, s, outliers): for each window with points and each query, how many have fewer than k neighbours."""
+    if crowded(points):
+        return detect_by_value(points, q)
     shape, panes = widths(points), with_panes(points, q)
     return outlier_counts(window_counts(panes, pane_counts(pairs(panes, q, panes.where("flag = 0"), shape), q), q), q)
 

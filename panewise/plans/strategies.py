@@ -20,17 +20,26 @@ from panewise.plans import counting as C
 Strategy = Callable[[DataFrame, QuerySet], DataFrame]
 
 
+#: Parts into which the exhaustive strategy deals a pane's probing points.
+PARTS = 8
+
+
 def naive(points: DataFrame, q: QuerySet) -> DataFrame:
-    """Every window's points against each other: an equality join on the window, the distance as its condition."""
+    """Every point against all others that share a window with it: an equality join on the pane, the distance as its condition.
+
+    A point goes to each pane that its windows reach, so that a pair is compared once and not in every window. A pane's
+    probing points are dealt into PARTS, and its other points copied to them: a crowded pane is as many tasks' work.
+    """
     low, high = widths(points)
-    panes = C.with_panes(points, q)
-    rows = C.in_windows(panes.select("id", "value", "flag", "pane"), q, "pane", "pane")
-    own = rows.where("flag = 0").select("id", "value", "w", "window_end")
-    other = rows.select(F.col("id").alias("other"), F.col("value").alias("_value"), "w", "window_end")
-    distance = euclid("value", "_value", low if low == high else None)
-    found = own.join(other, ["w", "window_end"]).where("id <> other").select("id", "w", "window_end", C.layer(distance, q).alias("layer"), F.lit(1).cast("long").alias("n")).where("layer is not null")
-    alone = own.select("id", "w", "window_end", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("n"))
-    return C.outlier_counts(C.layered(alone.unionByName(found), q, "id", "w", "window_end"), q)
+    panes, span = C.with_panes(points, q), q.max_window // q.pane
+    even = low == high and low <= 8
+    values = lambda name: [F.col("value")[i].alias(f"{name}{i}") for i in range(low)] if even else [F.col("value").alias(name)]
+    own = panes.where("flag = 0").select("id", "pane", *values("_a"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("_part"))
+    own = own.withColumn("other_pane", F.explode(F.sequence(F.col("pane") - span + 1, F.col("pane") + span - 1)))
+    other = panes.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), *values("_b"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("_part"))
+    distance = euclid(F.array(*[f"_a{i}" for i in range(low)]), F.array(*[f"_b{i}" for i in range(low)]), low) if even else euclid("_a", "_b", None)
+    found = own.join(other, ["other_pane", "_part"]).where("id <> other").withColumn("distance", distance).where(F.col("distance") <= q.max_range)
+    return C.outlier_counts(C.window_counts(panes, C.pane_counts(found, q), q), q)
 
 
 def advanced(points: DataFrame, q: QuerySet) -> DataFrame:
@@ -97,7 +106,12 @@ def _open_ends_by_pane(cells: DataFrame, q: QuerySet) -> DataFrame:
 
 
 def _pruned(points: DataFrame, q: QuerySet, evidence: Callable[[DataFrame], DataFrame], open_ends: Callable[[DataFrame, QuerySet], DataFrame] = _open_ends) -> DataFrame:
-    """Counts neighbours only for points that some window's dense cells do not settle; evidence turns pairs into pane counts."""
+    """Counts neighbours only for points that some window's dense cells do not settle; evidence turns pairs into pane counts.
+
+    Where points share few values, the smallest of dense cells, these are counted instead.
+    """
+    if C.crowded(points):
+        return C.detect_by_value(points, q)
     shape = widths(points)
     width = shape[0]
     panes = C.with_panes(points, q)
@@ -152,8 +166,8 @@ def k_skyband(found: DataFrame, q: QuerySet) -> DataFrame:
 
 
 def amcod(points: DataFrame, q: QuerySet) -> DataFrame:
-    """Dense cells of the smallest range and largest k first; the others keep the k-skyband of their neighbours."""
-    return _pruned(points, q, lambda found: C.pane_counts(k_skyband(found, q), q))
+    """Dense cells of the smallest range and largest k first, checked once for each reporting time; the others keep the k-skyband of their neighbours' panes."""
+    return _pruned(points, q, lambda found: _capped(C.pane_counts(found, q), q, cumulative=True), _open_ends_by_pane)
 
 
 def _capped(counts: DataFrame, q: QuerySet, cumulative: bool) -> DataFrame:
