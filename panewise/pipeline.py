@@ -13,23 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from panewise import sinks
 from panewise.config import Algorithm, Input, OutlierConfig
 from panewise.errors import ConfigError
+from panewise.job import Job, Statistics, StreamJob
 from panewise.operators import partitioning
 from panewise.plans import strategies
 from panewise.sources import points as sources
 
 
-@dataclass
-class Statistics:
-    """Of a job that has run: seconds, windows reported, milliseconds for each."""
-
-    seconds: float = 0.0
-    slides: int = 0
-
-    @property
-    def ms_per_slide(self) -> float:
-        return 1000 * self.seconds / self.slides if self.slides else 0.0
-
-
 @dataclass(frozen=True)
 class Pipeline:
     """A chain of lazy steps on DataFrames. Any step's table is a DataFrame that Spark's own operators work on."""
@@ -130,3 +119,10 @@ class Pipeline:
         out = Statistics(time.perf_counter() - began, found.select("window_end").distinct().count())
         found.unpersist()
         return out
+
+    def start(self, sink: sinks.Sink | None = None, **options: str) -> Job | StreamJob:
+        """run() in the background, or a stream's query; the handle tells how it goes and cancels it."""
+        chain = self if self.points is not None else self.read_data()
+        if not chain.points.isStreaming:
+            return Job(self.spark, lambda: chain.run(sink))
+        return StreamJob(chain.partition().detect_outliers().aggregate_and_write_to(sink or sinks.auto(self.config), **options))

@@ -230,14 +230,19 @@ class Detector(ABC):
         return self.detect(self.transform(points), queries)
 
 
-def by_window(function: Callable, schema: str = "R double, k int, outliers long") -> Strategy:
+def by_window(function: Callable, schema: str = "R double, k int, outliers long", state: bool = False) -> Strategy:
     """A strategy of a function of one window's points: it gets (window_end, w, pandas table of points) and returns a pandas table of `schema`.
 
     The window's points come to one task, as the function asks for; the function is called for every due slide. On a stream it
-    is called when the watermark passes the window's end.
+    is called when the watermark passes the window's end. With state=True it also gets a dictionary that lasts from window to
+    window of a partition; see streaming.stateful.by_window_with_state.
     """
 
     def strategy(points: DataFrame, q: QuerySet) -> DataFrame:
+        if state:
+            from panewise.streaming.stateful import by_window_with_state
+
+            return by_window_with_state(points, q, function, schema)
         if points.isStreaming:
             from panewise.streaming.windows import by_window_stream
 

@@ -40,13 +40,22 @@ class Sink(ABC):
 
     @abstractmethod
     def write_batch(self, rows: DataFrame) -> None:
-        """Writes converted rows; called once for a table, and for each micro-batch of a stream (again after a failure)."""
+        """Writes the converted rows of a table."""
+
+    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
+        """Writes the converted rows of a stream's micro-batch. After a failure Spark gives a batch again, with its number.
+
+        By default a number that the sink has seen already, in this process, is passed over.
+        """
+        if batch > getattr(self, "_last_batch", -1):
+            self.write_batch(rows)
+            self._last_batch = batch
 
     def write(self, results: DataFrame, **options: str) -> Any:
         """Writes a table and returns None, or starts a stream's query and returns it; options such as checkpointLocation are the stream's."""
         if not results.isStreaming:
             return self.write_batch(self.convert(aggregated(results)))
-        each = lambda batch, _: self.write_batch(self.convert(aggregated(batch)))
+        each = lambda rows, batch: self.write_stream_batch(self.convert(aggregated(rows)), batch)
         return results.writeStream.options(**options).outputMode("append").foreachBatch(each).start()
 
 
@@ -62,7 +71,7 @@ class PrintSink(Sink):
 
 
 class TextSink(Sink):
-    """Lines of a format as text files under a folder, added to with each batch."""
+    """Lines of a format as text files under a folder. A stream's batch has a folder of its own, which replaces that of the same batch."""
 
     def __init__(self, path: str, line: Callable[[], Column] = printed):
         self.path, self.line = path, line
@@ -73,9 +82,15 @@ class TextSink(Sink):
     def write_batch(self, rows: DataFrame) -> None:
         rows.write.mode("append").text(self.path)
 
+    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").text(f"{self.path}/batch={batch}")
+
 
 class InfluxDBSink(Sink):
-    """Posts line protocol to a database's write address, from the executors, some thousand lines at a time."""
+    """Posts line protocol to a database's write address, from the executors, some thousand lines at a time.
+
+    A line that is posted again replaces itself: it has the same tags and time.
+    """
 
     def __init__(self, host: str, db: str, user: str = "", password: str = "", lines: int = 5000):
         base = host if "://" in host else f"http://{host}"
@@ -99,6 +114,9 @@ class InfluxDBSink(Sink):
 
         rows.foreachPartition(post)
 
+    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
+        self.write_batch(rows)
+
 
 class CollectorSink(Sink):
     """Calls a function with (window_end, {R, k, w, s}, outliers) for every result, then `close`. For small results: they come to the driver one by one."""

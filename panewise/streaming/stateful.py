@@ -5,7 +5,8 @@ A point is stored once, whatever the number of windows that it is in; it leaves
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,8 @@ class OutlierProcessor(StatefulProcessor):
 def detect_stateful(points: DataFrame, q: QuerySet) -> DataFrame:
     """(window_end, R, k, w, s, outliers) of a stream of points, a row for each partition (column partition; one, if there is none).
 
-    Rows of partitions are partial counts: a sink sums them. Points behind the watermark are dropped by Spark, so that times
+    Rows of partitions are partial counts: a sink sums them. All timers of a window's end expire in one micro-batch, that in
+    which the watermark passes it, so that a batch holds all of a window's partial counts. Points behind the watermark are dropped by Spark, so that times
     should start above 0.
     """
     use_rocksdb(points.sparkSession)
@@ -76,3 +78,71 @@ def detect_stateful(points: DataFrame, q: QuerySet) -> DataFrame:
     n = len(q.ranges) * len(q.ks)
     by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col("c")[i * n + j].alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
     return reported(found.select("window_end", F.explode(by_window).alias("r")).select("window_end", "r.*").where("c0 is not null"), q)
+
+
+class WindowProcessor(OutlierProcessor):
+    """Calls a user's function at the end of every due window, with a dictionary that lasts from window to window."""
+
+    def __init__(self, q: QuerySet, function: Callable, columns: list[str]):
+        super().__init__(q)
+        self.function, self.columns = function, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "state string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for _ in super().handleInputRows(key, rows, timerValues):
+            pass
+        yield pd.DataFrame({c: pd.Series(dtype="object") for c in [*self.columns, "w", "window_end"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        self.due.removeKey((end,))
+        live = sorted((v[1], k[0], list(v[0]), v[2]) for k, v in self.points.iterator() if end - self.q.max_window <= v[1] < end)
+        for arrival, i, _, _ in live:
+            if arrival < end - self.q.max_window + self.q.slide:
+                self.points.removeKey((i,))
+        if live and any(end % s == 0 for s in self.q.slides):
+            state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
+            table = pd.DataFrame({"id": [x[1] for x in live], "value": [x[2] for x in live], "arrival": [x[0] for x in live], "flag": [x[3] for x in live]})
+            yield from windows_of(table, end, self.q, self.function, state)
+            self.kept.update((json.dumps(state),))
+
+
+def windows_of(table: pd.DataFrame, end: int, q: QuerySet, function: Callable, state: dict) -> Iterator[pd.DataFrame]:
+    """What the function returns for each window length before `end` that holds points of the table."""
+    for w in q.windows:
+        live = table[(table["arrival"] >= end - w) & (table["arrival"] < end)].reset_index(drop=True)
+        if len(live):
+            yield function(int(end), int(w), live, state).assign(w=int(w), window_end=int(end))
+
+
+def by_window_with_state(points: DataFrame, q: QuerySet, function: Callable, schema: str) -> DataFrame:
+    """(window_end, R, k, w, s, outliers) by a function of (window_end, w, pandas table of points, dict); see strategies.by_window.
+
+    Each partition (column partition; one, if there is none) has a dictionary of JSON values of its own, and its windows come
+    in order. In a table a partition's points are one group in one task, so that they should be dealt by a partitioner.
+    """
+    rows = points if "partition" in points.columns else points.withColumn("partition", F.lit(0))
+    rows, out = rows.select("partition", "id", "value", "arrival", "flag"), f"{schema}, w long, window_end long"
+    if points.isStreaming:
+        use_rocksdb(points.sparkSession)
+        rows = rows.withColumn("ts", F.timestamp_millis("arrival")).withWatermark("ts", f"{q.lateness} milliseconds")
+        columns = [x.name for x in points.sparkSession.createDataFrame([], schema).schema]
+        found = rows.groupBy("partition").transformWithStateInPandas(WindowProcessor(q, function, columns), out, "append", "EventTime")
+    else:
+
+        def run(table: pd.DataFrame) -> pd.DataFrame:
+            table, state, done = table.sort_values(["arrival", "id"], ignore_index=True), {}, []
+            times = table["arrival"].to_numpy()
+            ends = sorted({int(e) for e in ((times // q.slide + 1) * q.slide).tolist()})
+            ends = sorted({e + k for e in ends for k in range(0, q.max_window, q.slide)})
+            for end in (e for e in ends if any(e % s == 0 for s in q.slides)):
+                low, high = np.searchsorted(times, [end - q.max_window, end])
+                done += windows_of(table.iloc[low:high].drop(columns="partition"), end, q, function, state)
+            return pd.concat(done) if done else pd.DataFrame({c: [] for c in ("w", "window_end")})
+
+        found = rows.groupBy("partition").applyInPandas(run, out)
+    slides = F.filter(F.array(*[F.lit(s).cast("long") for s in q.slides]), lambda s: F.col("window_end") % s == 0)
+    return found.withColumn("s", F.explode(slides)).select("window_end", "R", "k", "w", "s", F.col("outliers").cast("long").alias("outliers"))
