@@ -187,11 +187,11 @@ def templates(pages: DataFrame, rule: Template = Template()) -> DataFrame:
                 page = Page(source.as_py() or "")
                 value = xxhash.xxh64_intdigest("\x00".join(page.main()))
                 texts.append(value - (1 << 64) if value >> 63 else value)
-                trees.append(list({h for h, d in zip(page.hashes(), page.dropped) if h and not d}))
+                trees.append(sorted({h for h, d in zip(page.hashes(), page.dropped) if h and not d}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], names=["host", "text", "trees"])
 
     rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> ''")
-    different = rows.mapInArrow(run, "host string, text long, trees array<long>").groupBy("host", "text").agg(F.first("trees").alias("trees"))
+    different = rows.mapInArrow(run, "host string, text long, trees array<long>").groupBy("host", "text").agg(F.min("trees").alias("trees"))
     different = written(different, "html-trees")
     sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= rule.pages)
     counts = different.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages)

@@ -11,6 +11,7 @@ and must agree.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+codecs.register_error("panewise_bytewise", lambda error: ("\ufffd", error.start + 1))
 #: Parts that a task remembers at most, and characters of the longest part that it remembers.
 MEMORY, LONGEST = 400_000, 48
 #: Parts, of those that came again, that stay for a worker's next task at most.
@@ -148,10 +150,7 @@ class Model:
         raw = b"".join(map(surface.__getitem__, ids))
         if self.prefix and first < len(ids) and self.spaced[ids[first]]:
             raw = raw[1:]
-        try:
-            return raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace")
+        return raw.decode(errors="panewise_bytewise")
 
 
 @lru_cache(maxsize=4)

@@ -43,7 +43,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_lists.judge(url_lists.dated(spark.read.parquet(f"{sf_dir}/pages.parquet")), url_lists.sample_list(spark))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_lists.judge(url_lists.dated(pages), url_lists.drawn_list(pages))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panewise.llm._common import bounded_broadcast, written
@@ -62,6 +62,9 @@ def judge(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col
     months = F.sequence(F.trunc("since", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
     active = written(active.withColumn("_month", F.explode(months)), "url-intervals")
     looked = asked.select("_url", "_day", F.trunc("_day", "month").alias("_month"), F.explode(keys(F.col("_url"))).alias("_k"))
+    # Most keys are on no list; above all the short ones, that very many addresses share, mostly go here.
+    listed = bounded_broadcast(written(active.select(F.col("entry").alias("_listed")).distinct(), "url-entries"), broadcast_rows)
+    looked = looked.join(listed, F.col("_k.key") == F.col("_listed"), "left_semi")
     hits = looked.join(bounded_broadcast(active, broadcast_rows), (F.col("_k.key") == F.col("entry")) & (looked["_month"] == active["_month"]))
     hits = hits.where((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     best = hits.groupBy("_url", "_day").agg(F.max(F.struct(F.col("_k.rank"), (F.col("kind") == "allow").alias("allow"), "entry", "kind", "since", "until")).alias("_b"))
@@ -71,18 +74,28 @@ def judge(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col
     return rows.select(*rows.columns[: -3], F.coalesce("_b.kind", F.lit("none")).alias("decision"), "_b.entry", "_b.since", "_b.until")
 
 
-#: A sample list for the registered query: hosts of several kinds with a history of additions and removals.
-SAMPLE_LIST = [
-    ("casino-win.example.com", "block", "add", "2024-01-15"), ("casino-win.example.com", "block", "remove", "2024-05-01"), ("casino-win.example.com", "block", "add", "2024-08-20"),
-    ("free-bets.example.com", "block", "add", "2023-06-01"), ("cheap-pills.example.com", "block", "add", "2024-03-10"), ("cheap-pills.example.com", "block", "remove", "2024-03-20"),
-    ("ads-track.example.com", "block", "add", "2024-02-01"), ("example.net", "block", "add", "2024-10-01"), ("example.net", "block", "remove", "2024-11-15"),
-    ("blog.tionsh.example.com/fr", "block", "add", "2024-04-01"), ("m.ads-track.example.com", "allow", "add", "2024-06-01"), ("m.ads-track.example.com", "allow", "remove", "2024-09-01"),
-    ("tiontion.example.net", "allow", "add", "2024-10-10"),
-]
+#: Changes that are drawn for each string of the sample list, and days over which they are spread.
+DRAWS, FIRST_DAY, DAYS = 24, "2023-07-01", 540
 
 
-def sample_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e, k, a, datetime.date.fromisoformat(d)) for e, k, a, d in SAMPLE_LIST], CHANGES)
+def drawn_list(pages: DataFrame) -> DataFrame:
+    """A list of changes (entry, kind, action, day) drawn by a rule from the pages' own addresses: no list comes with the tables.
+
+    Hosts, their parent domains of two labels or more and hosts with the first part of a path get up to DRAWS changes each,
+    by the digits of an MD5 hash: additions, removals, repeated ones of both, blocking and allowing.
+    """
+    url = F.col("url").cast("string")
+    name = host(url)
+    part = F.lower(F.regexp_extract(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+([^/]+)", 1))
+    parent = F.regexp_extract(name, r"^[^.]+\.([^.]+\..+)$", 1)
+    strings = F.array(name, parent, F.when(part != "", F.concat(name, F.lit("/"), part)).otherwise(""))
+    entries = pages.where(name != "").select(F.explode(strings).alias("entry")).where("entry <> ''").distinct()
+    draws = entries.select("entry", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("n"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "entry", F.col("n").cast("string"))), 1, 7), 16, 10).cast("long")
+    draws = draws.withColumn("x", number).where(F.col("x") % 16 < 3)
+    digit = lambda by, of: F.floor(F.col("x") / by).cast("long") % of
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), digit(1024, DAYS).cast("int"))
+    return draws.select("entry", F.when(digit(16, 4) == 0, "allow").otherwise("block").alias("kind"), F.when(digit(64, 3) == 0, "remove").otherwise("add").alias("action"), day.alias("day"))
 
 
 def dated(pages: DataFrame) -> DataFrame:
@@ -90,15 +103,20 @@ def dated(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
 
 
-_VALUES = ", ".join(f"('{e}', '{k}', '{a}', DATE '{d}')" for e, k, a, d in SAMPLE_LIST)
 JUDGE_SQL = rf"""
-WITH c(entry, kind, action, day) AS (VALUES {_VALUES}),
-v AS (SELECT entry, kind, day AS since, action, lead(day) OVER (PARTITION BY entry, kind ORDER BY day) AS until FROM c),
-p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h,
   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+s AS (SELECT h AS entry FROM p WHERE h <> '' UNION SELECT regexp_extract(h, '^[^.]+\.([^.]+\..+)$', 1) FROM p
+  UNION SELECT h || '/' || regexp_extract(path, '^/+([^/]+)', 1) FROM p WHERE h <> '' AND regexp_extract(path, '^/+([^/]+)', 1) <> ''),
+n AS (SELECT entry, ('0x' || substr(md5(entry || ':' || n), 1, 7))::BIGINT AS x FROM s, range(1, {DRAWS + 1}) r(n) WHERE entry <> ''),
+c AS (SELECT entry, CASE WHEN x // 16 % 4 = 0 THEN 'allow' ELSE 'block' END AS kind, x // 64 % 3 <> 0 AS added,
+  DATE '{FIRST_DAY}' + (x // 1024 % {DAYS})::INTEGER AS day FROM n WHERE x % 16 < 3),
+d AS (SELECT regexp_replace(trim(entry), '[/.]+$', '') AS entry, kind, day, bool_or(added) AS listed FROM c GROUP BY ALL),
+t AS (SELECT *, coalesce(lag(listed) OVER z, false) AS before FROM d WINDOW z AS (PARTITION BY entry, kind ORDER BY day)),
+v AS (SELECT entry, kind, day AS since, listed, lead(day) OVER (PARTITION BY entry, kind ORDER BY day) AS until FROM t WHERE listed <> before),
 m AS (SELECT page_id, url, fetched, v.*, row_number() OVER (PARTITION BY page_id, url ORDER BY contains(entry, '/') DESC, length(entry) DESC, kind) AS r
-  FROM p JOIN v ON action = 'add' AND since <= fetched AND (until IS NULL OR fetched < until)
+  FROM p JOIN v ON listed AND since <= fetched AND (until IS NULL OR fetched < until)
   AND (h = entry OR ends_with(h, '.' || entry) OR starts_with(h || rtrim(path, '/') || '/', entry || '/') AND contains(entry, '/')))
 SELECT p.page_id, p.url, p.fetched, coalesce(m.kind, 'none') AS decision, m.entry, m.since, m.until
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url AND m.r = 1

@@ -269,6 +269,9 @@ def test_piece_ids_equal_the_library():
     ours = [i.tolist() for i in model.encode(texts)]
     assert ours == model.library.encode(texts)
     assert [model.decode(i) for i in ours] == [model.library.decode(i) for i in ours]
+    some = list(model.bytes.values()) * 40 + list(range(300, 1300))
+    ids = [[rng.choice(some) for _ in range(rng.randint(0, 9))] for _ in range(1500)]
+    assert [model.decode(i) for i in ids] == [model.library.decode(i) for i in ids]
 
 
 def test_pieces_of_awkward_rows(spark, awkward):
