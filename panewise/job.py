@@ -36,13 +36,11 @@ class Job:
         self._thread.start()
 
     def _run(self, work: Callable[[], Statistics]) -> None:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)  # of this thread
         try:
             self.found = work()
         except Exception as error:  # told by status() and result()
             self.error = error
-        finally:
-            self.spark.removeTag(self.tag)
 
     @property
     def status(self) -> str:
@@ -51,9 +49,12 @@ class Job:
             return "running"
         return "cancelled" if self.cancelled and self.error else "failed" if self.error else "done"
 
-    def cancel(self) -> None:
-        self.cancelled = True
-        self.spark.interruptTag(self.tag)
+    def cancel(self, seconds: float = 30.0) -> None:
+        """Cancels its Spark jobs, and those that it starts until it has ended, for so long at most."""
+        self.cancelled, until = True, time.perf_counter() + seconds
+        while self._thread.is_alive() and time.perf_counter() < until:
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            self._thread.join(0.5)
 
     def wait(self, seconds: float | None = None) -> bool:
         """Whether the job has ended."""

@@ -107,7 +107,7 @@ def _growth(end, w, table, state):
 
 
 def test_state_lasts_from_window_to_window(spark, tmp_path):
-    points = [(i, v, t + 10_000) for i, v, t in random_points(50, 1, seed=9, span=40)]
+    points = [(i, v, t + 10_000) for i, v, t in random_points(50, 2, seed=9, span=40)]
     q = QuerySet.of(2, 1.0, [10, 20], 5)
     strategy = strategies.by_window(_growth, state=True)
     want = counted(strategy(sources.from_list(spark, points), q))
