@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from panewise.llm._common import bounded_broadcast, connected, written
 
 BITS = 64
+#: Fingerprints of a task that lists the keys of probes.
+PROBES = 20_000
 #: Hashes whose bits are unpacked at once, so that a long text takes no more memory than this allows.
 BLOCK = 1 << 16
 
@@ -132,7 +134,8 @@ def _keys(nodes: DataFrame, limit: int, depth: int, probe: bool) -> DataFrame:
 
 def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
     """(fp, root): the smallest fingerprint reachable through links, for the distinct fingerprints `nodes` (fp)."""
-    on = ["start", "key"]
+    on, parts = ["start", "key"], max(1, -(-nodes.count() // PROBES))
+    probes = lambda df: _keys(df.repartition(parts, "fp"), limit, depth, probe=True)
     leader = lambda df, *by: df.groupBy(*by).agg(F.min("fp").alias("leader"))
 
     def merged(roots: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -147,7 +150,7 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows:
 
     members = _keys(roots, limit, depth, probe=False)
     heads = leader(members, *on, "root").withColumnRenamed("root", "other")
-    near = _keys(roots, limit, depth, probe=True).join(heads, on).where(F.col("root") != F.col("other")).where(_within("fp", "leader", limit))
+    near = probes(roots).join(heads, on).where(F.col("root") != F.col("other")).where(_within("fp", "leader", limit))
     roots = merged(roots, near.select(F.col("root").alias("u"), F.col("other").alias("v")), "simhash-heads")
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
@@ -155,8 +158,8 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows:
     ranked = roots.join(sizes, "root", "left").select("fp", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("rank"))
     members = _keys(ranked, limit, depth, probe=False)
     top = members.groupBy(*on).agg(F.max("rank").alias("top"))
-    probes = _keys(ranked, limit, depth, probe=True).join(top, on).where(F.col("rank") < F.col("top"))
-    rest = probes.join(members.select(*on, F.col("fp").alias("fp2"), F.col("rank").alias("rank2")), on).where(F.col("rank") < F.col("rank2"))
+    rest = probes(ranked).join(top, on).where(F.col("rank") < F.col("top"))
+    rest = rest.join(members.select(*on, F.col("fp").alias("fp2"), F.col("rank").alias("rank2")), on).where(F.col("rank") < F.col("rank2"))
     rest = rest.where(chain_holds(F.col("fp"), F.col("fp2"), limit, depth)).where(_within("fp", "fp2", limit))
     return merged(roots, rest.select(F.col("rank.root").alias("u"), F.col("rank2.root").alias("v")), "simhash-rest")
 
