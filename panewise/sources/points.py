@@ -77,7 +77,10 @@ def replayed(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> Da
 
 
 def sample_values(spark: SparkSession, path: str, limit: int, value: str = ",") -> list[list[float]]:
-    """Coordinates of the first lines `v1,v2,...` of a file, at most `limit`: the bounded sample that a tree is fitted on."""
+    """Coordinates of lines `v1,v2,...` of a file, at most `limit`: the bounded sample that a tree is fitted on.
+
+    Of more lines those with the smallest hashes are taken, so that all parts of the file count alike.
+    """
     values = F.transform(F.split("value", f"\\Q{value}\\E"), lambda v: F.trim(v).try_cast("double"))
-    rows = spark.read.text(path).where(F.trim("value") != "").select(values.alias("v")).where(F.forall("v", lambda v: v.isNotNull())).limit(limit)
-    return [list(r["v"]) for r in rows.collect()]
+    rows = spark.read.text(path).where(F.trim("value") != "").select(values.alias("v")).where(F.forall("v", lambda v: v.isNotNull()))
+    return sorted(list(r["v"]) for r in rows.orderBy(F.xxhash64("v")).limit(limit).collect())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from panewise.queries import QUERIES, SQL
+from panewise import chains, queries
 from tests.oracle import DATA, compare
 
+QUERIES, SQL = {**queries.QUERIES, **chains.QUERIES}, {**queries.SQL, **chains.SQL}
+
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
