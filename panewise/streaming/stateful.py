@@ -27,37 +27,66 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class OutlierProcessor(StatefulProcessor):
-    """The points of one partition; counts at the end of every window on the common slide."""
+    """The points of one partition; counts at the end of every window on the common slide.
+
+    Points are kept by pane of one slide, in the chunks that they came in: a new chunk is written without reading older ones,
+    and a timer reads the panes of its window only.
+    """
 
     def __init__(self, q: QuerySet):
         self.q = q
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.points = handle.getMapState("points", "id long", "value array<double>, arrival long, flag int")
+        self.chunks = handle.getMapState("chunks", "pane long, number int", "ids array<bigint>, values array<array<double>>, arrivals array<bigint>, flags array<int>")
+        self.sizes = handle.getMapState("sizes", "pane long", "chunks int")
         self.due = handle.getMapState("due", "window_end long", "set boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def keep(self, table: pd.DataFrame) -> None:
+        """Stores a chunk of points and sets the timers of their windows."""
         step, last = self.q.slide, self.q.max_window
+        arrivals = table["arrival"].to_numpy(dtype=np.int64)
+        ends = {e for a in np.unique(arrivals).tolist() for e in range((a // step + 1) * step, a + last + 1, step)}
+        for pane in np.unique(arrivals // step).tolist():
+            part = table[arrivals // step == pane]
+            number = self.sizes.getValue((pane,))[0] if self.sizes.containsKey((pane,)) else 0
+            values = [[float(x) for x in v] for v in part["value"]]
+            self.chunks.updateValue((pane, number), (part["id"].astype(int).tolist(), values, part["arrival"].astype(int).tolist(), part["flag"].astype(int).tolist()))
+            self.sizes.updateValue((pane,), (number + 1,))
+        for end in sorted(ends):
+            if not self.due.containsKey((end,)):
+                self.due.updateValue((end,), (True,))
+                self.handle.registerTimer(end)
+
+    def window(self, end: int) -> list[tuple]:
+        """(id, value, arrival, flag) of the longest window before `end`; panes that no later window needs are dropped."""
+        self.due.removeKey((end,))
+        step, start, out = self.q.slide, end - self.q.max_window, []
+        for pane in range(start // step, end // step):
+            if not self.sizes.containsKey((pane,)):
+                continue
+            number, latest = self.sizes.getValue((pane,))[0], start
+            for k in range(number):
+                ids, values, arrivals, flags = self.chunks.getValue((pane, k))
+                latest = max(latest, max(arrivals))
+                out += [x for x in zip(ids, values, arrivals, flags) if x[2] >= start]
+            if latest < start + step:
+                for k in range(number):
+                    self.chunks.removeKey((pane, k))
+                self.sizes.removeKey((pane,))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for table in rows:
-            for i, value, arrival, flag in zip(table["id"], table["value"], table["arrival"], table["flag"]):
-                self.points.updateValue((int(i),), ([float(v) for v in value], int(arrival), int(flag)))
-                for end in range((int(arrival) // step + 1) * step, int(arrival) + last + 1, step):
-                    if not self.due.containsKey((end,)):
-                        self.due.updateValue((end,), (True,))
-                        self.handle.registerTimer(end)
+            self.keep(table)
         yield pd.DataFrame({"window_end": pd.Series(dtype="int64"), "c": pd.Series(dtype="object")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        self.due.removeKey((end,))
-        live = [(k[0], v[0], v[1], v[2]) for k, v in self.points.iterator() if end - self.q.max_window <= v[1] < end]
+        live = self.window(end)
         if live:
             ids, values, arrivals, flags = zip(*live)
             counts = counts_of(np.array(ids), np.array(arrivals), np.array(flags), np.array([list(v) for v in values], dtype=float), end, self.q)
-            for i, arrival in zip(ids, arrivals):
-                if arrival < end - self.q.max_window + self.q.slide:
-                    self.points.removeKey((i,))
             yield pd.DataFrame({"window_end": [end], "c": [counts]})
 
     def close(self) -> None:
@@ -98,11 +127,7 @@ class WindowProcessor(OutlierProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        self.due.removeKey((end,))
-        live = sorted((v[1], k[0], list(v[0]), v[2]) for k, v in self.points.iterator() if end - self.q.max_window <= v[1] < end)
-        for arrival, i, _, _ in live:
-            if arrival < end - self.q.max_window + self.q.slide:
-                self.points.removeKey((i,))
+        live = sorted((x[2], x[0], list(x[1]), x[3]) for x in self.window(end))
         if live and any(end % s == 0 for s in self.q.slides):
             state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
             table = pd.DataFrame({"id": [x[1] for x in live], "value": [x[2] for x in live], "arrival": [x[0] for x in live], "flag": [x[3] for x in live]})
