@@ -5,7 +5,8 @@ Its line separator is an empty gzip member, so that the files are plain sequence
 
 Reading walks through an archive member by member, or record by record where it isn't compressed. Where a check fails (a
 member that cannot be unpacked, a length that does not lead to a record's end, a digest that does not fit), it searches for
-the next member or version line from which a valid record can be read, goes on there, and logs the bytes in between.
+the next member or version line from which a valid record can be read, goes on there, and logs the bytes in between. Inside a
+member of several records, also one that breaks off, it does the same with version lines.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from panewise.llm._common import bounded_broadcast, new_path, written
 LEAST = 100
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 LINE = re.compile(rb"WARC/1\.\d+\r\n")
+LINES = re.compile(rb"(?:^|(?<=\n))WARC/1\.\d+\r\n")
 MARKS = re.compile(re.escape(MAGIC) + b"|(?:^|(?<=\n))" + re.escape(VERSION))
 EMPTY = gzip.compress(b"", mtime=0)
+DAMAGED = "member cannot be unpacked"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Of compression: from here on members hardly shrink, but cost more time.
 LEVEL = 4
@@ -35,7 +38,7 @@ LEVEL = 4
 STEP = 8192
 #: Bytes of an output batch of records from which on the next begins.
 BYTES = 8 << 20
-FIELDS = "path string, offset long, length long, problem string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
+FIELDS = "path string, offset long, length long, problem string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, inner_offset long, inner_length long, payload binary"
 
 
 def record(kind: str, identity: str, uri: str, date: str, digest: str, size: int, payload: bytes, refers_to: str | None = None) -> bytes:
@@ -97,7 +100,7 @@ def _head(raw: bytes) -> dict[str, str]:
 
 
 def parse(data: bytes, at: int) -> tuple[dict, int]:
-    """The record whose version line is at `at`, and where it ends. ValueError says which check failed."""
+    """The record whose version line is at `at`, and where it ends; `checked` says that a digest covers it. ValueError says which check failed."""
     if not LINE.match(data, at):
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", at)
@@ -117,6 +120,7 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
         first, gap, payload = block.partition(b"\r\n\r\n")
         http = _head(first) if gap else {}
         size = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    checked = bool(told)
     told = head.get("warc-payload-digest", "")
     told = told[7:].lower() if told.startswith("sha256:") else ""
     kind = head.get("warc-type", "")
@@ -124,56 +128,105 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
         own = hashlib.sha256(payload).hexdigest()
         if told and own != told:
             raise ValueError("payload digest")
-        told, size = own, len(payload)
+        told, size, checked = own, len(payload), checked or bool(told)
     urn = lambda name: head[name].strip("<>").removeprefix("urn:x-page:") if name in head else None
-    return {"record_type": kind, "record_id": urn("warc-record-id"), "refers_to": urn("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": told or None, "payload": payload}, end + 4
+    return {"record_type": kind, "record_id": urn("warc-record-id"), "refers_to": urn("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": told or None, "payload": payload, "checked": checked}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at `at` unpacks to, where it ends, and the problem that it broke off with (then up to where it has been read)."""
     unpack, view, parts, stop = zlib.decompressobj(wbits=31), memoryview(data), [], at
     try:
         while not unpack.eof and stop < len(data):  # in small steps: what is left of a step is copied
             parts.append(unpack.decompress(view[stop : stop + STEP]))
             stop += STEP
-    except zlib.error as x:
-        raise ValueError("member cannot be unpacked") from x
+    except zlib.error:
+        return b"".join(parts), stop, DAMAGED
     if not unpack.eof:
-        raise ValueError("member is cut off")
-    return b"".join(parts), min(stop, len(data)) - len(unpack.unused_data)
+        return b"".join(parts), len(data), "member is cut off"
+    return b"".join(parts), min(stop, len(data)) - len(unpack.unused_data), None
 
 
-def _one(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at `at`, all valid, and where it ends."""
+def _inside(text: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
+    """(offset, length, problem, record) over the unpacked bytes of a member: after a failure goes on at the next version line that a valid record begins with."""
+    at = 0
+    while at < len(text):
+        problem, start, found = None, at, None
+        while found is None and at < len(text):
+            try:
+                found, end = parse(text, at)
+            except ValueError as x:
+                problem = problem or str(x)
+                mark = LINES.search(text, at + 1)
+                at = mark.start() if mark else len(text)
+        if problem:
+            yield start, at - start, problem, None
+        if found:
+            yield at, end - at, None, found
+            at = end
+
+
+def _one(data: bytes, at: int) -> tuple[list[tuple[int, int, str | None, dict | None]], int, str | None]:
+    """What the member or plain record at `at` holds, as _inside() gives it, where it ends, and the problem that it broke off with.
+
+    ValueError if there is no valid record in it. Of a member that breaks off, the end is where the break was met; what it
+    unpacked to last is not trusted, and if its bytes are not only cut off but wrong, a record in it has to have a digest that fits.
+    """
     if data[at : at + 3] != MAGIC:
         found, end = parse(data, at)
-        return [found], end
-    text, end = _member(data, at)
-    out, inner = [], 0
-    while inner < len(text):
-        found, inner = parse(text, inner)
-        out.append(found)
-    return out, end
+        return [(0, end - at, None, found)], end, None
+    text, end, problem = _member(data, at)
+    parts = list(_inside(text))
+    if problem:
+        parts = parts[:-1]
+    if problem == DAMAGED:
+        parts = [(o, n, p or (None if x["checked"] else problem), x) for o, n, p, x in parts]
+    if parts and not any(p is None for _, _, p, _ in parts) or problem and not parts:
+        raise ValueError(problem or parts[0][2])
+    return parts, end, problem
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """(offset, length, problem, record) over all bytes of an archive: a record, or the problem of a quarantined gap."""
+    """(offset, length, problem, record) over all bytes of an archive: a record, or the problem of a quarantined gap.
+
+    Offsets and lengths are those of whole members; records and gaps inside a member of several tell their place in its
+    unpacked bytes under `inner_offset` and `inner_length`. Of a member that breaks off the records before the break stay; its
+    bytes, up to the next mark that a valid record begins with, are a gap too.
+    """
     at = 0
     while at < len(data):
-        try:
-            found, end = _one(data, at)
-        except ValueError as x:
-            problem, start, found = str(x), at, None
-            while found is None:
+        start, problem, parts, broken = at, None, None, None
+        while parts is None and at < len(data):
+            try:
+                parts, end, broken = _one(data, at)
+            except ValueError as x:
+                problem = problem or str(x)
                 mark = MARKS.search(data, at + 1)
                 at = mark.start() if mark else len(data)
-                try:
-                    found, end = _one(data, at) if mark else ([], at)
-                except ValueError:
-                    continue
+        if at > start:
             yield start, at - start, problem, None
-        for x in found:
-            yield at, end - at, None, x
-        at = end
+        for offset, length, trouble, found in parts or []:
+            place = {"inner_offset": offset, "inner_length": length} if broken or len(parts) > 1 else {}
+            if trouble:
+                yield at, 0, trouble, place
+            else:
+                yield at, 0 if broken else end - at, None, {**found, **place}
+        if broken:
+            # a version line before the break may be of the member's own stored bytes
+            marks = (m.start() for m in MARKS.finditer(data, at + len(MAGIC)) if m.group() == MAGIC or m.start() >= end)
+            mark = next((m for m in marks if _valid(data, m)), None)
+            after = len(data) if mark is None else mark
+            yield at, after - at, broken, None
+            end = after
+        at = end if parts is not None else len(data)
+
+
+def _valid(data: bytes, at: int) -> bool:
+    try:
+        _one(data, at)
+    except ValueError:
+        return False
+    return True
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -211,8 +264,8 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def gaps(found: DataFrame) -> DataFrame:
-    """(path, offset, length, problem) of the quarantined bytes."""
-    return found.where(F.col("problem").isNotNull()).select("path", "offset", "length", "problem")
+    """(path, offset, length, problem, inner_offset, inner_length) of the quarantined bytes; the last two only inside a member."""
+    return found.where(F.col("problem").isNotNull()).select("path", "offset", "length", "problem", "inner_offset", "inner_length")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

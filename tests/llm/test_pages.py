@@ -105,6 +105,39 @@ def test_salvage_loses_only_what_is_broken(packed):
     assert list(warc.salvage(b"")) == [] and [x[2] is None for x in warc.salvage(b"junk")] == [False]
 
 
+def test_salvage_inside_members_of_several_records():
+    parts = members(9)
+    ids = lambda found: [r["record_id"] for _, _, p, r in found if not p]
+    assert ids(warc.salvage(gzip.compress(b"".join(parts)))) == [str(i) for i in range(9)]
+    bad = [*parts]
+    bad[4] = bad[4].replace(b"page 4", b"page X")
+    data = gzip.compress(b"".join(bad)) + gzip.compress(parts[0])
+    found = list(warc.salvage(data))
+    assert ids(found) == ["0", "1", "2", "3", "5", "6", "7", "8", "0"]
+    gap = [(p, r) for _, _, p, r in found if p]
+    assert gap == [("payload digest", {"inner_offset": sum(map(len, parts[:4])), "inner_length": len(parts[4])})]
+    whole = gzip.compress(b"".join(parts), 0)  # stored, so that a place in the archive is one in the text
+    cut = whole[: sum(map(len, parts[:6])) + 40]
+    found = list(warc.salvage(cut + gzip.compress(parts[8])))
+    assert ids(found) == ["0", "1", "2", "3", "4", "5", "8"] and sum(n for _, n, p, _ in found if p) == len(cut)
+    found = list(warc.salvage(cut))
+    assert ids(found) == ["0", "1", "2", "3", "4", "5"] and [(o, n, p) for o, n, p, _ in found if p] == [(0, len(cut), "member is cut off")]
+    plain = [warc.record("revisit", str(i), "", "2024-01-01T00:00:00Z", "00", 3, b"", "1") for i in range(3)]
+    damaged = gzip.compress(b"".join(plain))[:-8] + b"\0" * 8
+    assert ids(warc.salvage(damaged)) == [] and ids(warc.salvage(damaged + gzip.compress(parts[3]))) == ["3"]
+
+
+def test_gaps_of_archives_read_by_spark(spark, tmp_path):
+    parts = members(7)
+    bad = [*parts]
+    bad[2] = bad[2].replace(b"page 2", b"page X")
+    (tmp_path / "a.warc").write_bytes(gzip.compress(b"".join(bad)) + b"noise" + gzip.compress(parts[0]))
+    found = warc.read(spark, str(tmp_path))
+    assert sorted(r.record_id for r in warc.records(found).collect()) == ["0", "0", "1", "3", "4", "5", "6"]
+    gaps = [(r.length, r.problem, r.inner_length) for r in warc.gaps(found).orderBy("offset").collect()]
+    assert gaps == [(0, "payload digest", len(parts[2])), (5, "no version line", None)]
+
+
 def test_neighbours_reach_the_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, 24))
