@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panewise.llm import html_text, mixing, neighbours, pieces, pii, quality, simhash, token_counts, url_lists, warc
+from panewise.llm import classifier, conversations, html_text, mixing, neighbours, periodic, pieces, pii, quality, simhash, token_counts, url_lists, warc
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(*conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic(periodic.planted(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_conversations": op11_conversations,
+    "op12_classifier": op12_classifier,
+    "op13_periodic": op13_periodic,
 }
 
 SQL: dict[str, str] = {
@@ -69,4 +84,6 @@ SQL: dict[str, str] = {
     "op7_url_lists": url_lists.JUDGE_SQL,
     "op8_mixing": mixing.SCHEDULE_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
+    "op11_conversations": conversations.REPAIR_SQL,
+    "op13_periodic": periodic.PERIODIC_SQL,
 }

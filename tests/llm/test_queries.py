@@ -9,7 +9,7 @@ from tests.oracle import DATA, compare
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no generated tables")
