@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,11 +14,12 @@ from panewise.config import OutlierConfig, QuerySet, Space
 from panewise.operators import partitioning
 from panewise.pipeline import Pipeline
 from panewise.plans import strategies
-from panewise.queries import _EVENTS, HOUR, RKWS, SINGLE, SQL as PLAIN_SQL, Query, _own_window, detect_sql, events
+from panewise.plans.combined import Combinable
+from panewise.queries import _EVENTS, HOUR, RK, RKWS, SINGLE, SQL as PLAIN_SQL, Query, _own_window, detect_sql, events
 from panewise.sources import custom
 from panewise.sources import points as sources
 from panewise.storage import new_path
-from panewise.streaming import stateful
+from panewise.streaming import stateful, windows
 
 RESULTS = "window_end long, R double, k int, w long, s long, outliers long"
 #: Time (ms) of the points that end a stream, after all others: its windows are left out.
@@ -38,7 +40,7 @@ class FolderSink(sinks.Sink):
     def write_batch(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch=-1")
 
-    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
+    def write_stream_batch(self, rows: DataFrame, batch: int, query: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, spark: SparkSession) -> DataFrame:
@@ -57,13 +59,35 @@ class Cheap(strategies.Detector):
         return strategies.slicing(points, queries)
 
 
-def _newcomers(end: int, w: int, table, state: dict):
+class Newcomers(Combinable):
     """A user's function with state: points that arrived after all points of earlier windows."""
-    import pandas as pd
 
-    new = int((table["arrival"] > state.get("last", -1)).sum())
-    state["last"] = max(state.get("last", -1), int(table["arrival"].max()))
-    return pd.DataFrame({"R": [0.0], "k": [0], "outliers": [new]})
+    stateful = True
+
+    def update(self, points) -> dict:
+        """Newest arrival and number of the points of each slide."""
+        found = points.groupby(points["arrival"] // SINGLE.slide)["arrival"].agg(["max", "count"])
+        return {str(i): [int(newest), int(n)] for i, newest, n in found.itertuples()}
+
+    def merge(self, a: dict, b: dict) -> dict:
+        return {i: [max(x[0] for x in parts), sum(x[1] for x in parts)] for i in {**a, **b} if (parts := [x[i] for x in (a, b) if i in x])}
+
+    def finish(self, end: int, w: int, partial: dict, state: dict) -> list:
+        last, state["last"] = state.get("last", -1), max(newest for newest, _ in partial.values())
+        return [(0.0, 0, sum(n for newest, n in partial.values() if newest > last))]
+
+
+class RareValues(Combinable):
+    """A user's function: points that fewer than k of their window share the whole part of their value with, the point included."""
+
+    def update(self, points) -> dict:
+        return {str(int(v)): int(n) for v, n in points["value"].str[0].floordiv(1).value_counts().items()}
+
+    def merge(self, a: dict, b: dict) -> dict:
+        return {v: a.get(v, 0) + b.get(v, 0) for v in {**a, **b}}
+
+    def finish(self, end: int, w: int, partial: dict, state: dict) -> list:
+        return [(1.0, k, sum(n for n in partial.values() if n < k)) for k in RKWS.ks]
 
 
 def _config(algorithm: str, q: QuerySet = SINGLE):
@@ -110,7 +134,15 @@ def users_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_between_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategies.by_window(_newcomers, state=True)(events(spark, sf_dir), SINGLE)
+    return Newcomers()(events(spark, sf_dir), SINGLE)
+
+
+def _rare_values() -> OutlierConfig:
+    return OutlierConfig.builder().user_defined(RareValues()).in_rkws_space().querying(RKWS.ks, RKWS.ranges, RKWS.windows, RKWS.slides).build()
+
+
+def combined_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pipeline.create(spark, _rare_values()).read_from(events(spark, sf_dir)).detect_outliers().aggregate()
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float], int]]:
@@ -152,7 +184,18 @@ def streamed(spark: SparkSession, points: DataFrame, start: Callable[[DataFrame,
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = Pipeline.create(spark, _config("sop", RKWS).build())
-    return streamed(spark, events(spark, sf_dir), lambda s, sink, log: chain.read_from(s).partition(STREAM_GRID).detect_outliers().aggregate_and_write_to(sink, checkpointLocation=log))
+    return streamed(spark, events(spark, sf_dir), lambda s, sink, log: chain.read_from(s).partition(STREAM_GRID).detect_outliers(windows.detect_stream).aggregate_and_write_to(sink, checkpointLocation=log))
+
+
+def stream_strategy(algorithm: str, q: QuerySet = SINGLE, grid: bool = True) -> Query:
+    """A configured strategy on the stream of events, with the grid's partitions or the default ones."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        chain = Pipeline.create(spark, _config(algorithm, q).build())
+        dealt = lambda s: chain.read_from(s).partition(STREAM_GRID) if grid else chain.read_from(s)
+        return streamed(spark, events(spark, sf_dir), lambda s, sink, log: dealt(s).detect_outliers().aggregate_and_write_to(sink, checkpointLocation=log))
+
+    return query
 
 
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +209,31 @@ def stream_users_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, events(spark, sf_dir), lambda s, sink, log: chain.read_from(s).detect_outliers().aggregate_and_write_to(sink, checkpointLocation=log))
 
 
+def stream_combined_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = Pipeline.create(spark, _rare_values())
+    return streamed(spark, events(spark, sf_dir), lambda s, sink, log: chain.read_from(s).detect_outliers().aggregate_and_write_to(sink, checkpointLocation=log))
+
+
+def stream_state_between_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, events(spark, sf_dir), lambda s, sink, log: sink.write(Newcomers()(s, SINGLE), checkpointLocation=log))
+
+
+def stream_table_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is replayed, five days at a time, by a source that executors read; the job is suspended on the way and goes on.
+
+    Windows that the last points' watermark has passed are reported.
+    """
+    stream = custom.replay_table(spark, events(spark, sf_dir), None, 5 * 24 * HOUR, "panewise_events")
+    sink = FolderSink(new_path(spark, "replay-out"))
+    job = Pipeline.create(spark, _config("slicing").build()).read_from(stream).start(sink)
+    while job.query.isActive and (job.query.lastProgress is None or job.query.lastProgress.batchId < 1):
+        time.sleep(0.05)
+    job.restart()
+    job.query.processAllAvailable()
+    job.cancel()
+    return sinks.aggregated(sink.read(spark))
+
+
 def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line): what the text sink has written."""
     path = new_path(spark, "text")
@@ -204,8 +272,25 @@ QUERIES: dict[str, Query] = {
     "stream_windows": stream_windows,
     "stream_stateful": stream_stateful,
     "stream_users_function": stream_users_function,
+    "chain_combined_function": combined_function,
+    "stream_combined_function": stream_combined_function,
+    "stream_state_between_windows": stream_state_between_windows,
+    "stream_table_replay": stream_table_replay,
+    "stream_slicing": stream_strategy("slicing"),
+    "stream_pmcod": stream_strategy("pmcod"),
+    "stream_pmcod_net": stream_strategy("pmcod_net", grid=False),
+    "stream_amcod": stream_strategy("amcod", RK),
+    "stream_sop": stream_strategy("sop", RKWS),
+    "stream_psod": stream_strategy("psod", RKWS, grid=False),
+    "stream_pmcsky": stream_strategy("pmcsky", RKWS),
+    "stream_advanced": stream_strategy("advanced"),
 }
 
+_NEWCOMERS_SQL = f"""WITH {_EVENTS}, x AS (SELECT t, unnest(range((t // {6 * HOUR} + 1) * {6 * HOUR}, t + {24 * HOUR} + 1, {6 * HOUR})) AS e FROM p)
+SELECT e AS window_end, 0.0::DOUBLE AS R, 0 AS k, {24 * HOUR}::BIGINT AS w, {6 * HOUR}::BIGINT AS s, count(*) FILTER (t >= e - {6 * HOUR}) AS outliers FROM x GROUP BY 1"""
+_RARE_SQL = f"""WITH {_EVENTS}, ws(w) AS (VALUES {', '.join(f'({w})' for w in RKWS.windows)}), ss(s) AS (VALUES {', '.join(f'({s})' for s in RKWS.slides)}), ks(k) AS (VALUES {', '.join(f'({k})' for k in RKWS.ks)}),
+x AS (SELECT w, floor(v[1]) AS b, unnest(range((t // {RKWS.slide} + 1) * {RKWS.slide}, t + w + 1, {RKWS.slide})) AS e FROM p, ws), n AS (SELECT w, e, b, count(*) AS n FROM x GROUP BY ALL)
+SELECT e AS window_end, 1.0::DOUBLE AS R, k, w::BIGINT AS w, s::BIGINT AS s, (coalesce(sum(n) FILTER (n < k), 0))::BIGINT AS outliers FROM n, ks, ss WHERE e % s = 0 GROUP BY ALL"""
 _NATIONS = "p AS (SELECT n_nationkey AS id, n_nationkey AS t, [n_regionkey::DOUBLE] AS v FROM nation)"
 
 SQL: dict[str, str] = {
@@ -214,8 +299,11 @@ SQL: dict[str, str] = {
     "chain_tree_file_owners": "SELECT event_id AS id, 1 AS owners FROM events",
     "chain_users_source": f"SELECT * FROM ({detect_sql(_EVENTS[:-1] + ' WHERE event_id % 2 = 0)', RKWS, 1)}) WHERE k > 3",
     "chain_users_detector": detect_sql(_EVENTS[:-1] + " WHERE value < 50)", RKWS, 1),
-    "chain_state_between_windows": f"""WITH {_EVENTS}, x AS (SELECT t, unnest(range((t // {6 * HOUR} + 1) * {6 * HOUR}, t + {24 * HOUR} + 1, {6 * HOUR})) AS e FROM p)
-SELECT e AS window_end, 0.0::DOUBLE AS R, 0 AS k, {24 * HOUR}::BIGINT AS w, {6 * HOUR}::BIGINT AS s, count(*) FILTER (t >= e - {6 * HOUR}) AS outliers FROM x GROUP BY 1""",
+    "chain_state_between_windows": _NEWCOMERS_SQL,
+    "stream_state_between_windows": _NEWCOMERS_SQL,
+    "chain_combined_function": _RARE_SQL,
+    "stream_combined_function": _RARE_SQL,
+    "stream_table_replay": f"SELECT * FROM ({PLAIN_SQL['outliers_single_slicing']}) WHERE window_end <= ((SELECT max(epoch_us(ts) // 1000) FROM events) - {SINGLE.slide}) // {SINGLE.slide} * {SINGLE.slide}",
     "chain_list_source": detect_sql(_NATIONS, QuerySet.of(NATIONS.ks, NATIONS.ranges, 10, 5), 1),
     "chain_job_statistics": f"WITH {_EVENTS}, x AS (SELECT DISTINCT unnest(range((t // {6 * HOUR} + 1) * {6 * HOUR}, t + {24 * HOUR} + 1, {6 * HOUR})) AS e FROM p) SELECT 'done' AS status, count(*) AS slides FROM x",
     "sink_text": PLAIN_SQL["format_print"],
@@ -224,4 +312,7 @@ SELECT e AS window_end, 0.0::DOUBLE AS R, 0 AS k, {24 * HOUR}::BIGINT AS w, {6 *
     "stream_windows": detect_sql(_EVENTS, RKWS, 1),
     "stream_stateful": PLAIN_SQL["outliers_single_slicing"],
     "stream_users_function": PLAIN_SQL["outliers_user_defined"],
+    **{f"stream_{name}": PLAIN_SQL["outliers_single_slicing"] for name in ("slicing", "pmcod", "pmcod_net", "advanced")},
+    **{f"stream_{name}": detect_sql(_EVENTS, RKWS, 1) for name in ("sop", "psod", "pmcsky")},
+    "stream_amcod": detect_sql(_EVENTS, RK, 1),
 }

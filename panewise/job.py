@@ -1,4 +1,4 @@
-"""The handle of a running job: status, result, cancelling, statistics."""
+"""The handle of a running job: status, result, cancelling, statistics; of streams also suspending, resuming and snapshots."""
 
 from __future__ import annotations
 
@@ -7,23 +7,30 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from panewise.storage import copy, new_path
+
+#: Name under which a query's progress carries what its slides took.
+OBSERVED = "panewise_slides"
 
 
 @dataclass
 class Statistics:
-    """Of a job: seconds of work, windows reported (micro-batches of a stream), rows read by a stream."""
+    """Of a job: seconds of work, ends of windows reported; of a stream also the strategies' CPU time and compared pairs, and rows read."""
 
     seconds: float = 0.0
     slides: int = 0
     rows: int = 0
+    cpu_seconds: float = 0.0
+    compared: int = 0
 
     @property
     def ms_per_slide(self) -> float:
-        return 1000 * self.seconds / self.slides if self.slides else 0.0
+        """CPU time where it is known, else time."""
+        return 1000 * (self.cpu_seconds or self.seconds) / self.slides if self.slides else 0.0
 
 
 class Job:
@@ -73,18 +80,98 @@ class Job:
         return self.found or Statistics(time.perf_counter() - self.began)
 
 
+class SlideListener(StreamingQueryListener):
+    """Adds up what the queries of some ids observe: slides, CPU time, compared pairs, rows."""
+
+    def __init__(self) -> None:
+        self.found: dict[str, Statistics] = {}
+        #: Runs that have ended: nothing more will be told of them.
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p, s = event.progress, self.found.setdefault(str(event.progress.id), Statistics())
+        s.seconds += p.batchDuration / 1000
+        s.rows += p.numInputRows
+        row = p.observedMetrics.get(OBSERVED)
+        if row is not None:
+            s.slides += row["slides"] or 0
+            s.cpu_seconds += (row["cpu_us"] or 0) / 1e6
+            s.compared += row["compared"] or 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+
 class StreamJob:
-    """The same of a stream's query."""
+    """The handle of a stream's query, which it can stop and start again from its checkpoint.
+
+    begin(checkpoint): starts the query with its state in this folder. Statistics cover all runs of the query in this process.
+    """
 
-    def __init__(self, query: StreamingQuery):
-        self.query = query
+    def __init__(self, spark: SparkSession, begin: Callable[[str], StreamingQuery], checkpoint: str | None = None):
+        self.spark, self.begin, self.checkpoint = spark, begin, checkpoint or new_path(spark, "stream-checkpoint")
+        self.listener, self.suspended = SlideListener(), False
+        spark.streams.addListener(self.listener)
+        self.query = begin(self.checkpoint)
 
     @property
     def status(self) -> str:
-        return "running" if self.query.isActive else "failed" if self.query.exception() else "done"
+        """running, suspended, failed or done."""
+        if self.query.isActive:
+            return "running"
+        return "suspended" if self.suspended else "failed" if self.query.exception() else "done"
 
-    def cancel(self) -> None:
+    def _stop(self, seconds: float) -> None:
+        """Stops between two batches if one ends in time; else Spark gives the batch again when the query goes on."""
+        until = time.perf_counter() + seconds
+        while self.query.isActive and self.query.status["isTriggerActive"] and time.perf_counter() < until:
+            time.sleep(0.05)
         self.query.stop()
+        until = time.perf_counter() + 10
+        while str(self.query.runId) not in self.listener.ended and time.perf_counter() < until:
+            time.sleep(0.05)
+
+    def cancel(self) -> None:
+        self.suspended = False
+        self._stop(0)
+        self.spark.streams.removeListener(self.listener)
+
+    def suspend(self, seconds: float = 30.0) -> None:
+        """Stops the query, to go on later; waits so long for the batch that runs."""
+        self._stop(seconds)
+        self.suspended = True
+
+    def resume(self) -> None:
+        """Goes on from where it stopped."""
+        if not self.query.isActive:
+            self.query, self.suspended = self.begin(self.checkpoint), False
+
+    def restart(self) -> None:
+        """Stops and goes on, for example after a failure."""
+        self.suspend()
+        self.resume()
+
+    def snapshot(self, path: str | None = None) -> str:
+        """A copy of the query's state, offsets and log of written batches, at the end of a batch; a suspended query stays so."""
+        path, running = path or new_path(self.spark, "stream-snapshot"), self.query.isActive
+        self.suspend()
+        copy(self.spark, self.checkpoint, path)
+        if running:
+            self.resume()
+        return path
+
+    @classmethod
+    def from_snapshot(cls, spark: SparkSession, begin: Callable[[str], StreamingQuery], path: str) -> StreamJob:
+        """A query that goes on from a snapshot, which stays as it is."""
+        own = new_path(spark, "stream-checkpoint")
+        copy(spark, path, own)
+        return cls(spark, begin, own)
 
     def wait(self, seconds: float | None = None) -> bool:
         return bool(self.query.awaitTermination(seconds)) if seconds is not None else self.query.awaitTermination() or True
@@ -95,11 +182,5 @@ class StreamJob:
 
     @property
     def statistics(self) -> Statistics:
-        """Of the micro-batches that Spark remembers (spark.sql.streaming.numRecentProgressUpdates)."""
-        seen = [p for p in self.query.recentProgress if p["numInputRows"]]
-        return Statistics(sum(p["batchDuration"] for p in seen) / 1000, len(seen), sum(p["numInputRows"] for p in seen))
-
-
-def handle(started: Any) -> Any:
-    """The StreamJob of a query that a sink has started; anything else as it is."""
-    return StreamJob(started) if isinstance(started, StreamingQuery) else started
+        """Of all batches so far: slides are windows' ends that were reported, whatever number of batches they came in."""
+        return self.listener.found.get(str(self.query.id), Statistics())

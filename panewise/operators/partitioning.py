@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panewise.config import OutlierConfig, Partitioning
 from panewise.errors import PartitioningError
-from panewise.functions.distance import euclid
+from panewise.functions.distance import SLACK, euclid
 
 MEMBERSHIP = "array<struct<partition:int,flag:int>>"
 
@@ -49,6 +49,22 @@ class Replication(Partitioner):
         return F.transform(F.sequence(F.lit(0), F.lit(self.partitions - 1)), lambda p: F.struct(p.alias("partition"), F.when(p == own, 0).otherwise(1).alias("flag")))
 
 
+@dataclass(frozen=True)
+class Stripes(Partitioner):
+    """Stripes of the first component, so many ranges wide: as many as the points need, without boundaries to be given.
+
+    Copies go to the one neighbouring stripe that the range touches, if there is one.
+    """
+
+    ranges: int = 8
+
+    def memberships(self, r: float) -> Column:
+        stripe = lambda x: F.floor(x / (self.ranges * r)).cast("long")
+        x = F.col("value")[0]
+        own, reach = stripe(x), r * (1 + SLACK)
+        return F.transform(F.sequence(stripe(x - reach), stripe(x + reach)), lambda p: F.struct(p.alias("partition"), F.when(p == own, 0).otherwise(1).alias("flag")))
+
+
 @dataclass(frozen=True)
 class Grid(Partitioner):
     """Cells between boundaries in each of the first components, numbered from `start`, the last component fastest.

@@ -9,11 +9,12 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panewise import sinks
 from panewise.config import Algorithm, Input, OutlierConfig
 from panewise.errors import ConfigError
-from panewise.job import Job, Statistics, StreamJob
+from panewise.job import OBSERVED, Job, Statistics, StreamJob
 from panewise.operators import partitioning
 from panewise.plans import strategies
 from panewise.sources import points as sources
@@ -76,7 +77,8 @@ class Pipeline:
         """Counts of outliers by the configured strategy, or by a user's (points, queries) -> results.
 
         A user's detector gets streams too and answers with a stream; `strategies.by_window` makes one that takes both.
-        Copies (flag 1) only serve strategies that count inside partitions. The others find neighbours by joins that need none.
+        On tables, copies (flag 1) only serve strategies that count inside partitions: the others find neighbours by joins that
+        need none. On streams every strategy keeps its evidence by partition.
         """
         c = self.config
         rows = self.parted if self.parted is not None else self.points
@@ -88,9 +90,9 @@ class Pipeline:
         if c.algorithm is Algorithm.USER_DEFINED:
             raise ConfigError("a user-defined algorithm needs a detector")
         if rows.isStreaming:
-            from panewise.streaming.windows import detect_stream
+            from panewise.streaming.stateful import detect_incremental
 
-            return replace(self, results=detect_stream(rows, c.queries))
+            return replace(self, results=detect_incremental(rows, c.queries, c.algorithm))
         own = rows.where("flag = 0").drop("partition")
         if c.algorithm is Algorithm.ADVANCED_EXTENDED and "partition" in rows.columns:
             found = strategies.advanced_extended(own, c.queries, lambda points, r: rows)
@@ -125,4 +127,20 @@ class Pipeline:
         chain = self if self.points is not None else self.read_data()
         if not chain.points.isStreaming:
             return Job(self.spark, lambda: chain.run(sink))
-        return StreamJob(chain.partition().detect_outliers().aggregate_and_write_to(sink or sinks.auto(self.config), **options))
+        return StreamJob(self.spark, chain._begin(sink, options), options.get("checkpointLocation"))
+
+    def resume_from(self, snapshot: str, sink: sinks.Sink | None = None, **options: str) -> StreamJob:
+        """start() of a stream from a StreamJob's snapshot."""
+        chain = self if self.points is not None else self.read_data()
+        return StreamJob.from_snapshot(self.spark, chain._begin(sink, options), snapshot)
+
+    def _begin(self, sink: sinks.Sink | None, options: dict[str, str]) -> Callable[[str], Any]:
+        sink = sink or sinks.auto(self.config)
+        return lambda log: self.partition().detect_outliers().observed().aggregate_and_write_to(sink, **{**options, "checkpointLocation": log})
+
+    def observed(self) -> Pipeline:
+        """A stream's results with their ends counted for the job's statistics, where the detection does not count its slides itself."""
+        if self.config.detector is None:
+            return self
+        ends = F.approx_count_distinct("window_end", 0.01)
+        return self.transform(lambda r: r.observe(OBSERVED, ends.alias("slides"), F.sum(F.lit(0)).alias("cpu_us"), F.sum(F.lit(0)).alias("compared")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panewise.config import OutlierConfig, Output
+from panewise.storage import exists, mark, new_path
 
 KEYS = ["window_end", "R", "k", "w", "s"]
 
@@ -42,21 +44,35 @@ class Sink(ABC):
     def write_batch(self, rows: DataFrame) -> None:
         """Writes the converted rows of a table."""
 
-    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
-        """Writes the converted rows of a stream's micro-batch. After a failure Spark gives a batch again, with its number.
+    def write_stream_batch(self, rows: DataFrame, batch: int, query: str) -> None:
+        """Writes the converted rows of a micro-batch of the query of this id. A batch that has been written is not given again.
 
-        By default a number that the sink has seen already, in this process, is passed over.
+        Only a batch whose writing broke off comes once more; a sink that can tell may then replace what it wrote.
         """
-        if batch > getattr(self, "_last_batch", -1):
-            self.write_batch(rows)
-            self._last_batch = batch
+        self.write_batch(rows)
 
     def write(self, results: DataFrame, **options: str) -> Any:
-        """Writes a table and returns None, or starts a stream's query and returns it; options such as checkpointLocation are the stream's."""
+        """Writes a table and returns None, or starts a stream's query and returns it; options such as checkpointLocation are the stream's.
+
+        Written batches of a stream are noted beside its checkpoint, by the query's id, which stays when it is started again.
+        What has been noted is passed over, in any process; one sink may serve several queries.
+        """
         if not results.isStreaming:
             return self.write_batch(self.convert(aggregated(results)))
-        each = lambda rows, batch: self.write_stream_batch(self.convert(aggregated(rows)), batch)
-        return results.writeStream.options(**options).outputMode("append").foreachBatch(each).start()
+        spark, known, number = results.sparkSession, threading.Event(), []
+        log = options.setdefault("checkpointLocation", new_path(spark, "stream-checkpoint"))
+
+        def each(rows: DataFrame, batch: int) -> None:
+            known.wait()
+            ledger = f"{log.rstrip('/')}/written/{number[0]}/{batch}"
+            if not exists(spark, ledger):
+                self.write_stream_batch(self.convert(aggregated(rows)), batch, number[0])
+                mark(spark, ledger)
+
+        query = results.writeStream.options(**options).outputMode("append").foreachBatch(each).start()
+        number.append(str(query.id))
+        known.set()
+        return query
 
 
 class PrintSink(Sink):
@@ -71,7 +87,7 @@ class PrintSink(Sink):
 
 
 class TextSink(Sink):
-    """Lines of a format as text files under a folder. A stream's batch has a folder of its own, which replaces that of the same batch."""
+    """Lines of a format as text files under a folder. A query's batch has a folder of its own, which replaces that of the same batch."""
 
     def __init__(self, path: str, line: Callable[[], Column] = printed):
         self.path, self.line = path, line
@@ -82,8 +98,8 @@ class TextSink(Sink):
     def write_batch(self, rows: DataFrame) -> None:
         rows.write.mode("append").text(self.path)
 
-    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").text(f"{self.path}/batch={batch}")
+    def write_stream_batch(self, rows: DataFrame, batch: int, query: str) -> None:
+        rows.write.mode("overwrite").text(f"{self.path}/query={query}/batch={batch}")
 
 
 class InfluxDBSink(Sink):
@@ -114,9 +130,6 @@ class InfluxDBSink(Sink):
 
         rows.foreachPartition(post)
 
-    def write_stream_batch(self, rows: DataFrame, batch: int) -> None:
-        self.write_batch(rows)
-
 
 class CollectorSink(Sink):
     """Calls a function with (window_end, {R, k, w, s}, outliers) for every result, then `close`. For small results: they come to the driver one by one."""

@@ -43,6 +43,30 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def _file(spark: SparkSession, path: str):
+    """(Hadoop's file system, path) of a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file(spark, path)
+    return fs.exists(target)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, with its folders; it may be there already."""
+    fs, target = _file(spark, path)
+    fs.create(target, True).close()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A folder with all that is in it; the target must not be there."""
+    (fs, a), (other, b) = _file(spark, source), _file(spark, target)
+    other.mkdirs(b.getParent())
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
     spark = df.sparkSession

@@ -1,11 +1,15 @@
-"""Detection on streams with keyed state: each partition keeps its points and reports at event-time timers.
+"""Detection on streams with keyed state: each partition keeps its points and its strategy's evidence from slide to slide.
 
-A point is stored once, whatever the number of windows that it is in; it leaves when its last window has been reported.
+A partition has one timer, for its next slide. When the watermark has passed it, all slides up to the watermark are played on
+the partition's detector (streaming.evidence): its state is read and written once for each micro-batch, however many slides
+that holds. Points are written once, by pane. The partitions' counts of a window meet in a second stateful aggregation, so
+that a window leaves the query as one row for each of its queries.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from panewise.config import QuerySet
+from panewise.config import Algorithm, QuerySet
+from panewise.job import OBSERVED
+from panewise.operators.partitioning import Stripes
 from panewise.plans.counting import reported
-from panewise.streaming.windows import counts_of
+from panewise.streaming.evidence import Arrays, Detector, detector, pack, unpack
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,113 +32,179 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-class OutlierProcessor(StatefulProcessor):
-    """The points of one partition; counts at the end of every window on the common slide.
+def columns_of(table: pd.DataFrame) -> Arrays:
+    return {
+        "ids": table["id"].to_numpy(dtype=np.int64), "arrival": table["arrival"].to_numpy(dtype=np.int64), "flag": table["flag"].to_numpy(dtype=np.int8),
+        "value": np.array([[float("nan") if x is None else x for x in v] for v in table["value"]], dtype=float),
+    }
 
-    Points are kept by pane of one slide, in the chunks that they came in: a new chunk is written without reading older ones,
-    and a timer reads the panes of its window only.
-    """
 
-    def __init__(self, q: QuerySet):
-        self.q = q
+def together(parts: list[Arrays]) -> Arrays:
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
+class SlideProcessor(StatefulProcessor):
+    """Plays a partition's slides on a detector of `make`."""
+
+    #: Names and pandas types of the rows that slides give.
+    types: dict[str, str] = {}
+
+    def __init__(self, q: QuerySet, make: Callable[[], Detector]):
+        self.q, self.make = q, make
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "pane long, number int", "ids array<bigint>, values array<array<double>>, arrivals array<bigint>, flags array<int>")
-        self.sizes = handle.getMapState("sizes", "pane long", "chunks int")
-        self.due = handle.getMapState("due", "window_end long", "set boolean")
-
-    def keep(self, table: pd.DataFrame) -> None:
-        """Stores a chunk of points and sets the timers of their windows."""
-        step, last = self.q.slide, self.q.max_window
-        arrivals = table["arrival"].to_numpy(dtype=np.int64)
-        ends = {e for a in np.unique(arrivals).tolist() for e in range((a // step + 1) * step, a + last + 1, step)}
-        for pane in np.unique(arrivals // step).tolist():
-            part = table[arrivals // step == pane]
-            number = self.sizes.getValue((pane,))[0] if self.sizes.containsKey((pane,)) else 0
-            values = [[float(x) for x in v] for v in part["value"]]
-            self.chunks.updateValue((pane, number), (part["id"].astype(int).tolist(), values, part["arrival"].astype(int).tolist(), part["flag"].astype(int).tolist()))
-            self.sizes.updateValue((pane,), (number + 1,))
-        for end in sorted(ends):
-            if not self.due.containsKey((end,)):
-                self.due.updateValue((end,), (True,))
-                self.handle.registerTimer(end)
-
-    def window(self, end: int) -> list[tuple]:
-        """(id, value, arrival, flag) of the longest window before `end`; panes that no later window needs are dropped."""
-        self.due.removeKey((end,))
-        step, start, out = self.q.slide, end - self.q.max_window, []
-        for pane in range(start // step, end // step):
-            if not self.sizes.containsKey((pane,)):
-                continue
-            number, latest = self.sizes.getValue((pane,))[0], start
-            for k in range(number):
-                ids, values, arrivals, flags = self.chunks.getValue((pane, k))
-                latest = max(latest, max(arrivals))
-                out += [x for x in zip(ids, values, arrivals, flags) if x[2] >= start]
-            if latest < start + step:
-                for k in range(number):
-                    self.chunks.removeKey((pane, k))
-                self.sizes.removeKey((pane,))
-        return out
+        self.waiting = handle.getListState("waiting", "points binary")
+        self.panes = handle.getMapState("panes", "pane long", "points binary")
+        self.kept = handle.getValueState("kept", "evidence binary")
+        #: The last slide that was played, and the slide of the timer (-1: none).
+        self.clock = handle.getValueState("clock", "done long, timer long")
+
+    def _clock(self) -> tuple[int, int]:
+        found = self.clock.get() if self.clock.exists() else None
+        return (int(found[0]), int(found[1])) if found else (-1, -1)
+
+    def _next(self, arrival: int) -> int:
+        return (arrival // self.q.slide + 1) * self.q.slide
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for table in rows:
-            self.keep(table)
-        yield pd.DataFrame({"window_end": pd.Series(dtype="int64"), "c": pd.Series(dtype="object")})
+        points = together([columns_of(t) for t in rows])
+        self.waiting.appendValue((pack(points),))
+        first, (done, timer) = self._next(int(points["arrival"].min())), self._clock()
+        if timer < 0 or first < timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            self.clock.update((done, first))
+        yield pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in self.types.items()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        live = self.window(end)
-        if live:
-            ids, values, arrivals, flags = zip(*live)
-            counts = counts_of(np.array(ids), np.array(arrivals), np.array(flags), np.array([list(v) for v in values], dtype=float), end, self.q)
-            yield pd.DataFrame({"window_end": [end], "c": [counts]})
+        done, _ = self._clock()
+        limit = timerValues.getCurrentWatermarkInMs() // self.q.slide * self.q.slide
+        chunks = [unpack(x[0]) for x in self.waiting.get()]
+        found, stored = self.make(), dict(sorted((int(k[0]), v[0]) for k, v in self.panes.iterator()))
+        found.load([unpack(x) for x in stored.values()], unpack(self.kept.get()[0]) if self.kept.exists() else {})
+        points = together(chunks) if chunks else None
+        if points is not None:
+            order = np.argsort(points["arrival"], kind="stable")
+            points = {name: x[order] for name, x in points.items()}
+        at, total = 0, 0 if points is None else len(points["ids"])
+        while len(found) or at < total:
+            end = done + self.q.slide if len(found) else self._next(int(points["arrival"][at]))
+            if end > limit:
+                break
+            upto = at if points is None else int(np.searchsorted(points["arrival"], end, "left"))
+            new = {name: x[at:upto] for name, x in points.items()} if upto > at else None
+            yield from self.play(found, end, new)
+            done, at = end, upto
+        live = set(np.unique(found.pane).tolist())
+        for pane in stored.keys() - live:
+            self.panes.removeKey((pane,))
+        for pane in live - stored.keys():
+            self.panes.updateValue((pane,), (pack(found.points(pane)),))
+        self.kept.update((pack(found.evidence()),))
+        rest = {name: x[at:] for name, x in points.items()} if at < total else None
+        if chunks:
+            self.waiting.put([(pack(rest),)]) if rest else self.waiting.clear()
+        timer = done + self.q.slide if len(found) else self._next(int(rest["arrival"][0])) if rest else -1
+        if timer >= 0:
+            self.handle.registerTimer(timer)
+        self.clock.update((done, timer))
+
+    def play(self, found: Detector, end: int, new: Arrays | None) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def detect_stateful(points: DataFrame, q: QuerySet) -> DataFrame:
-    """(window_end, R, k, w, s, outliers) of a stream of points, a row for each partition (column partition; one, if there is none).
+class CountProcessor(SlideProcessor):
+    """Counts of outliers of a partition at the end of every due slide, with the CPU time and the compared pairs since the last."""
+
+    types = {"window_end": "int64", "at": "datetime64[ns, UTC]", "c": "object", "cpu_us": "int64", "compared": "int64"}
 
-    Rows of partitions are partial counts: a sink sums them. All timers of a window's end expire in one micro-batch, that in
-    which the watermark passes it, so that a batch holds all of a window's partial counts. Points behind the watermark are dropped by Spark, so that times
-    should start above 0.
+    def __init__(self, q: QuerySet, make: Callable[[], Detector]):
+        super().__init__(q, make)
+        self.spent = self.compared = 0
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.spent = self.compared = 0
+        rows = [r for part in super().handleExpiredTimer(key, timerValues, expiredTimerInfo) for r in part]
+        if rows:
+            table = pd.DataFrame(rows, columns=list(self.types))
+            table["at"] = pd.to_datetime(table["at"], unit="ms", utc=True)
+            yield table
+
+    def play(self, found: Detector, end: int, new: Arrays | None) -> Iterator[list[tuple]]:
+        began = time.thread_time_ns()
+        counts = found.slide(end, new, any(end % s == 0 for s in self.q.slides))
+        self.spent += time.thread_time_ns() - began
+        if counts is not None and any(c is not None for c in counts):
+            yield [(end, end, counts, self.spent // 1000, found.compared - self.compared)]
+            self.spent, self.compared = 0, found.compared
+
+
+def detect_incremental(points: DataFrame, q: QuerySet, algorithm: Algorithm = Algorithm.PMCOD) -> DataFrame:
+    """(window_end, R, k, w, s, outliers) of a stream of points by a strategy: one row for each window and query.
+
+    Partitions are those of the column partition; without one, stripes of the first component with copies at their edges. A
+    point may come up to the slide later than the newest; Spark drops later ones, so that times should start above 0. All
+    partitions report a window in the micro-batch in which the watermark passes its end; there their counts are added up.
     """
     use_rocksdb(points.sparkSession)
-    rows = points if "partition" in points.columns else points.withColumn("partition", F.lit(0))
-    rows = rows.withColumn("ts", F.timestamp_millis("arrival")).withWatermark("ts", f"{q.lateness} milliseconds")
-    found = rows.groupBy("partition").transformWithStateInPandas(OutlierProcessor(q), "window_end long, c array<bigint>", "append", "EventTime")
+    rows = points if "partition" in points.columns else Stripes().partition(points, q.max_range)
+    rows = rows.select("partition", "id", "value", "arrival", "flag", F.timestamp_millis("arrival").alias("ts")).withWatermark("ts", f"{q.lateness} milliseconds")
+    processor = CountProcessor(q, lambda: detector(algorithm, q))
+    found = rows.groupBy("partition").transformWithStateInPandas(processor, "window_end long, at timestamp, c array<bigint>, cpu_us long, compared long", "append", "EventTime", eventTimeColumnName="at")
     n = len(q.ranges) * len(q.ks)
-    by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col("c")[i * n + j].alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
-    return reported(found.select("window_end", F.explode(by_window).alias("r")).select("window_end", "r.*").where("c0 is not null"), q)
+    sums = [F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(n * len(q.windows))]
+    sums = found.groupBy("at").agg(F.max("window_end").alias("window_end"), *sums, F.sum("cpu_us").alias("cpu_us"), F.sum("compared").alias("compared"))
+    sums = sums.observe(OBSERVED, F.count(F.lit(1)).alias("slides"), F.sum("cpu_us").alias("cpu_us"), F.sum("compared").alias("compared"), F.max("window_end").alias("last"))
+    by_window = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), *[F.col(f"c{i * n + j}").alias(f"c{j}") for j in range(n)]) for i, w in enumerate(q.windows)])
+    return reported(sums.select("window_end", F.explode(by_window).alias("r")).select("window_end", "r.*").where("c0 is not null"), q)
 
 
-class WindowProcessor(OutlierProcessor):
-    """Calls a user's function at the end of every due window, with a dictionary that lasts from window to window."""
+def detect_stateful(points: DataFrame, q: QuerySet) -> DataFrame:
+    """detect_incremental() by the strategy that suits any query set."""
+    return detect_incremental(points, q, Algorithm.PMCSKY)
 
-    def __init__(self, q: QuerySet, function: Callable, columns: list[str]):
+
+class Window(Detector):
+    """Live points and a dictionary of JSON values, for a user's function."""
+
+    def __init__(self, q: QuerySet):
         super().__init__(q)
-        self.function, self.columns = function, columns
+        self.state: dict = {}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", "state string")
+    def evidence(self) -> Arrays:
+        return {"state": np.frombuffer(json.dumps(self.state).encode(), dtype=np.uint8)}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for _ in super().handleInputRows(key, rows, timerValues):
-            pass
-        yield pd.DataFrame({c: pd.Series(dtype="object") for c in [*self.columns, "w", "window_end"]})
+    def load(self, points, evidence):
+        super().load(points, evidence)
+        if evidence:
+            self.state = json.loads(evidence["state"].tobytes())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        live = sorted((x[2], x[0], list(x[1]), x[3]) for x in self.window(end))
-        if live and any(end % s == 0 for s in self.q.slides):
-            state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
-            table = pd.DataFrame({"id": [x[1] for x in live], "value": [x[2] for x in live], "arrival": [x[0] for x in live], "flag": [x[3] for x in live]})
-            yield from windows_of(table, end, self.q, self.function, state)
-            self.kept.update((json.dumps(state),))
+    def slide(self, end, points, due):
+        self.expire(self.first_pane(end, self.q.max_window))
+        if points is not None:
+            self.append(points)
+
+    def table(self) -> pd.DataFrame:
+        order = np.lexsort((self.ids, self.arrival))
+        return pd.DataFrame({"id": self.ids[order], "value": list(self.value[order]), "arrival": self.arrival[order], "flag": self.flag[order]})
+
+
+class WindowProcessor(SlideProcessor):
+    """Calls a user's function at the end of every due window, with a dictionary that lasts from window to window."""
+
+    def __init__(self, q: QuerySet, function: Callable, columns: list[str]):
+        super().__init__(q, lambda: Window(q))
+        self.function, self.types = function, dict.fromkeys([*columns, "w", "window_end"], "object")
+
+    def play(self, found: Window, end: int, new: Arrays | None) -> Iterator[pd.DataFrame]:
+        found.slide(end, new, True)
+        if len(found) and any(end % s == 0 for s in self.q.slides):
+            yield from windows_of(found.table(), end, self.q, self.function, found.state)
 
 
 def windows_of(table: pd.DataFrame, end: int, q: QuerySet, function: Callable, state: dict) -> Iterator[pd.DataFrame]:
@@ -147,7 +219,8 @@ def by_window_with_state(points: DataFrame, q: QuerySet, function: Callable, sch
     """(window_end, R, k, w, s, outliers) by a function of (window_end, w, pandas table of points, dict); see strategies.by_window.
 
     Each partition (column partition; one, if there is none) has a dictionary of JSON values of its own, and its windows come
-    in order. In a table a partition's points are one group in one task, so that they should be dealt by a partitioner.
+    in order. In a table a partition's points are one group in one task, so that they should be dealt by a partitioner; a
+    function whose results can be merged should be a plans.combined.Combinable, which needs no such group.
     """
     rows = points if "partition" in points.columns else points.withColumn("partition", F.lit(0))
     rows, out = rows.select("partition", "id", "value", "arrival", "flag"), f"{schema}, w long, window_end long"

@@ -80,22 +80,127 @@ def test_replayed_points_are_detected(spark, tmp_path):
     job.query.processAllAvailable()
     assert job.status == "running"
     job.cancel()
-    assert job.wait(60) and job.status == "done" and job.statistics.rows == 52 and job.statistics.slides >= 1
+    assert job.wait(60) and job.status == "done" and job.statistics.rows == 52 and job.statistics.slides >= len(brute(points, q))
     assert {k: n for k, n in found.items() if k[0] < 500_000} == brute(points, q)
 
 
 RESULTS = "window_end long, R double, k int, w long, s long, outliers long"
 
 
+class Seen(sinks.Sink):
+    """Notes what it is given."""
+
+    def __init__(self):
+        self.rows = []
+
+    def write_batch(self, rows):
+        self.rows += [(r["window_end"], r["outliers"]) for r in rows.collect()]
+
+
+def _results_stream(spark, folder, numbers):
+    spark.createDataFrame([(n, 0.5, 3, 20, 5, n) for n in numbers], RESULTS).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(RESULTS).parquet(folder)
+
+
+def test_one_sink_serves_two_streams(spark, tmp_path):
+    sink = Seen()
+    for k in (1, 2):
+        query = sink.write(_results_stream(spark, str(tmp_path / f"in{k}"), [k, 10 * k]))
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(sink.rows) == [(1, 1), (2, 2), (10, 10), (20, 20)]
+
+
 def test_a_batch_that_comes_again_is_written_once(spark, tmp_path):
-    rows = lambda n: spark.createDataFrame([(n, 0.5, 3, 20, 5, n)], RESULTS)
-    text, seen = sinks.TextSink(str(tmp_path / "out")), []
-    collector = sinks.CollectorSink(lambda end, key, n: seen.append(n))
-    for number, n in ((0, 7), (1, 8), (1, 8), (2, 9)):
-        text.write_stream_batch(text.convert(rows(n)), number)
-        collector.write_stream_batch(rows(n), number)
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [f"{n};(20,5,0.5,3);{n}" for n in (7, 8, 9)]
-    assert seen == [7, 8, 9]
+    """Spark repeats a batch whose commit is missing; a new sink, as in a new process, is not given it again. A broken one is."""
+    log, folder = str(tmp_path / "log"), str(tmp_path / "in")
+    stream = _results_stream(spark, folder, [1])
+    text = sinks.TextSink(str(tmp_path / "text"))
+
+    class Broken(Seen):
+        def write_batch(self, rows):
+            raise RuntimeError("no connection")
+
+    broken = Broken().write(stream, checkpointLocation=log)
+    with pytest.raises(Exception):
+        broken.processAllAvailable()
+    for number, sink, want in ((1, Seen(), [(1, 1)]), (2, Seen(), [(2, 2)]), (None, Seen(), [])):
+        if number == 2:
+            _results_stream(spark, folder, [2])
+        if number is None:  # as if the process had died between writing and Spark's commit
+            last = max((tmp_path / "log" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+            last.unlink()
+            (tmp_path / "log" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+        query = sink.write(stream, checkpointLocation=log)
+        query.processAllAvailable()
+        query.stop()
+        assert sink.rows == want
+    query = text.write(stream, checkpointLocation=str(tmp_path / "log2"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "text")).collect()) == ["1;(20,5,0.5,3);1", "2;(20,5,0.5,3);2"]
+
+
+def test_a_restarted_users_source_goes_on_counting(tmp_path):
+    reader = custom._Reader(custom.Paced([(i, [0.0], i) for i in range(3)], speed=None, step=10))
+    rows, end = reader.read({"points": 1000})
+    assert [r[0] for r in rows] == [0, 1, 2] and end == {"points": 1003}
+    reader.commit(end)
+    assert reader.kept == [] and reader.first == 1003
+
+
+def test_a_partitioned_source_is_read_by_tasks_and_restarts(spark, tmp_path):
+    points = random_points(200, 2, seed=3, span=100)
+    stream = custom.replay_table(spark, sources.from_list(spark, points).repartition(3), None, 7, "own_replay_table")
+    rows = []
+    each = lambda df, n: rows.append((n, sorted(r["id"] for r in df.collect()), df.rdd.getNumPartitions()))
+    start = lambda: stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).start()
+    query = start()
+    while not rows or rows[-1][0] < 3:
+        time.sleep(0.02)
+    query.stop()
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    by_batch = dict((n, ids) for n, ids, _ in rows)
+    assert sorted(i for ids in by_batch.values() for i in ids) == sorted(p[0] for p in points) and len(by_batch) > 5
+    times = {p[0]: p[2] for p in points}
+    order = [(min(map(times.get, ids)), max(map(times.get, ids))) for _, ids in sorted(by_batch.items()) if ids]
+    assert all(a[1] < b[0] for a, b in zip(order, order[1:]))
+
+
+def test_a_job_is_suspended_resumed_and_copied(spark, tmp_path):
+    points = sorted(((i, v, t + 10_000) for i, v, t in random_points(60, 1, seed=5, span=60)), key=lambda p: p[2])
+    c = OutlierConfig.builder().for_algorithm("pmcod").in_single_space().querying(2, 1.0, 20, 5).build()
+    folder, last = str(tmp_path / "in"), [(10**6, [1e9], 10**6), (10**6 + 1, [2e9], 2 * 10**6)]
+    put = lambda part: sources.from_list(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    put(points[:30])
+    chain, sink = Pipeline.create(spark, c).read_from(sources.replayed(spark, folder)), sinks.TextSink(str(tmp_path / "out"))
+    job = chain.start(sink)
+    job.query.processAllAvailable()
+    job.suspend()
+    assert job.status == "suspended" and job.statistics.rows == 30
+    put(points[30:])
+    job.resume()
+    assert job.status == "running"
+    job.query.processAllAvailable()
+    copied, other = job.snapshot(str(tmp_path / "snapshot")), sinks.TextSink(str(tmp_path / "other"))
+    assert job.status == "running"
+    put(last[:1])
+    job.query.processAllAvailable()
+    put(last[1:])
+    job.query.processAllAvailable()
+    job.cancel()
+    assert job.status == "done"
+    want, stats = brute(points, QuerySet.of(2, 1.0, 20, 5)), job.statistics
+    assert stats.rows == 62 and stats.slides >= len(want) and stats.cpu_seconds > 0 and stats.compared > 0 and stats.ms_per_slide > 0
+    again = chain.resume_from(copied, other)
+    again.query.processAllAvailable()
+    again.cancel()
+    lines = lambda p: sorted(r["value"] for r in spark.read.text(str(p)).collect() if int(r["value"].split(";")[0]) < 500_000)
+    found = lines(tmp_path / "out")
+    assert found == sorted(f"{e};({w},{s},{r},{k});{n}" for (e, r, k, w, s), n in want.items())
+    assert lines(tmp_path / "other") and set(lines(tmp_path / "other")) <= set(found)
 
 
 def _growth(end, w, table, state):
