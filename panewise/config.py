@@ -42,11 +42,13 @@ class Algorithm(_Named):
     SOP = "sop"
     PSOD = "psod"
     PMCSKY = "pmcsky"
+    #: Not by points but by their values; for tables of which many points share a value.
+    BY_VALUE = "by_value"
     USER_DEFINED = "user_defined"
 
     @property
     def spaces(self) -> frozenset[Space]:
-        if self is Algorithm.USER_DEFINED:
+        if self in (Algorithm.USER_DEFINED, Algorithm.BY_VALUE):
             return frozenset(Space)
         if self is Algorithm.AMCOD:
             return frozenset({Space.RK})

@@ -15,8 +15,10 @@ from panewise.config import QuerySet
 from panewise.functions.distance import cells, combinations, euclid, touched, widths
 from panewise.storage import bounded_broadcast, written
 
-#: At most so many leading components make up a grid cell: a range touches up to 2 ** AXES cells.
+#: At most so many leading components, or distances to pivots, make up a grid cell: a range touches up to 2 ** AXES cells.
 AXES = 3
+#: Cells of distances to pivots are wider by this, for the rounding of distances of many components.
+ROUNDING = 1e-6
 
 
 def with_panes(points: DataFrame, q: QuerySet) -> DataFrame:
@@ -32,26 +34,45 @@ def layer(distance: Column, q: QuerySet) -> Column:
     return out
 
 
-def pairs(points: DataFrame, q: QuerySet, probes: DataFrame | None = None, shape: tuple[int, int] | None = None, on: tuple[str, ...] = (), older_only: bool = False) -> DataFrame:
-    """(id, pane, arrival, other, other_pane, other_arrival, distance) of neighbours within the largest range and window.
+def candidates(points: DataFrame, q: QuerySet, probes: DataFrame | None = None, shape: tuple[int, int] | None = None, on: tuple[str, ...] = (), older_only: bool = False) -> DataFrame:
+    """The pairs of pairs() before their distance is taken, with the values of both; see there.
 
-    points and probes have panes. probes: the points to find neighbours of (all, if not given). on: more columns that must be
-    equal. older_only: each pair once, from its newer point (by arrival, then id); for this all points must be probes.
+    Points of more than AXES components, of the same number for all, meet by their distances to pivots.
     """
+    from panewise.operators.pivots import Pivots
+
     low, high = shape or widths(points)
     axes, panes, r = min(low, AXES), q.max_window // q.pane, q.max_range
-    even = low == high and low <= 8
+    even, probes = low == high and low <= 8, points if probes is None else probes
+    pivots = Pivots.choose(points, r) if low == high and low > AXES else None
+    place, more, reach = F.col("value"), [], r
+    if pivots and pivots.values:
+        place, more, axes, reach = F.col("_x"), ["_x"], min(AXES, len(pivots.values)), r * (1 + ROUNDING) + 1e-12
+        points, probes = (df.withColumn("_x", pivots.coordinates("value")) for df in (points, probes))
     values = lambda name: [F.col("value")[i].alias(f"{name}{i}") for i in range(low)] if even else [F.col("value").alias(name)]
     keys = ["_bucket", *[f"_c{i}" for i in range(axes)]]
     span = lambda pane: F.floor(pane / (2 * panes)).cast("long")
-    near = {"_bucket": F.sequence(span(F.col("pane") - panes + 1), span(F.col("pane") + (0 if older_only else panes - 1))), **{f"_c{i}": c for i, c in enumerate(touched("value", r, axes))}}
-    here = (points if probes is None else probes).select("id", "pane", "arrival", *values("_a"), *on, F.explode(combinations(near)).alias("_k")).select("*", *[f"_k.{k}" for k in keys]).drop("_k")
-    there = points.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), F.col("arrival").alias("other_arrival"), *values("_b"), *on, span(F.col("pane")).alias("_bucket"), *[c.alias(f"_c{i}") for i, c in enumerate(cells("value", r, axes))])
+    near = {"_bucket": F.sequence(span(F.col("pane") - panes + 1), span(F.col("pane") + (0 if older_only else panes - 1))), **{f"_c{i}": c for i, c in enumerate(touched(place, reach, axes))}}
+    here = probes.select("id", "pane", "arrival", *values("_a"), *[F.col(c).alias(f"_a{c}") for c in more], *on, F.explode(combinations(near)).alias("_k"))
+    here = here.select("*", *[f"_k.{k}" for k in keys]).drop("_k")
+    there = points.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), F.col("arrival").alias("other_arrival"), *values("_b"), *[F.col(c).alias(f"_b{c}") for c in more], *on, span(F.col("pane")).alias("_bucket"), *[c.alias(f"_c{i}") for i, c in enumerate(cells(place, reach, axes))])
     found = here.join(there, [*keys, *on]).where("id <> other").where(F.abs(F.col("pane") - F.col("other_pane")) < panes)
     if older_only:
         found = found.where((F.col("other_arrival") < F.col("arrival")) | (F.col("other_arrival") == F.col("arrival")) & (F.col("other") < F.col("id")))
+    return found.where(pivots.may_be_near(F.col("_a_x"), F.col("_b_x"), r)).drop("_a_x", "_b_x") if more else found
+
+
+def pairs(points: DataFrame, q: QuerySet, probes: DataFrame | None = None, shape: tuple[int, int] | None = None, on: tuple[str, ...] = (), older_only: bool = False) -> DataFrame:
+    """(id, pane, arrival, other, other_pane, other_arrival, distance) of neighbours within the largest range and window.
+
+    points and probes have panes. probes: the points to find neighbours of (all, if not given). on: more columns that must be
+    equal. older_only: each pair once, from its newer point (by arrival, then id); for this all points must be probes.
+    """
+    low, high = shape or widths(points)
+    found = candidates(points, q, probes, (low, high), on, older_only)
+    even = low == high and low <= 8
     distance = euclid(F.array(*[f"_a{i}" for i in range(low)]), F.array(*[f"_b{i}" for i in range(low)]), low) if even else euclid("_a", "_b", None)
-    found = found.withColumn("distance", distance).where(F.col("distance") <= r)
+    found = found.withColumn("distance", distance).where(F.col("distance") <= q.max_range)
     return found.select("id", "pane", "arrival", "other", "other_pane", "other_arrival", "distance", *on)
 
 
@@ -121,21 +142,18 @@ def reported(sums: DataFrame, q: QuerySet) -> DataFrame:
     return out.select("window_end", "_r.R", "_r.k", "w", "s", "_r.outliers")
 
 
-#: Points for each different value from which on values are worth counting instead of points.
-CROWDED = 8
-
-
-def crowded(points: DataFrame) -> bool:
-    """Points share few values, and no two points an id, so that neighbours can be counted for values."""
-    rows, values = points.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("value"))).first()
-    return rows >= CROWDED * max(values, 1) and not points.groupBy("id").count().where("count > 1").limit(1).count()
+#: Panes that a row of detect_by_value() holds, in a column each.
+SPAN = 32
+#: Pairs of near values that are broadcast at most.
+NEAR_VALUES = 500_000
 
 
 def detect_by_value(points: DataFrame, q: QuerySet) -> DataFrame:
-    """The result of detect() for points of few different values and with an id each.
+    """The result of detect() for points of which many share a value: distances are taken between values, once for all windows.
 
-    All points of a value have the same neighbours in a window. Distances are taken between values, once for all windows;
-    points are counted by value and window, and the counts of near values are added up.
+    All points of a value have the same neighbours in a window. Points are counted by value and pane, so many panes in a row;
+    the rows of near values are added up, and only these sums are expanded to windows. Ids must be different: a value's points
+    count each other as neighbours.
     """
     from panewise.operators.neighbours import range_neighbours
 
@@ -144,19 +162,22 @@ def detect_by_value(points: DataFrame, q: QuerySet) -> DataFrame:
     values = written(counted.select("value").distinct().withColumn("id", F.monotonically_increasing_id()), "values")
     near = range_neighbours(values, q.max_range).select("id", "other", layer(F.col("distance"), q).alias("layer"))
     near = written(near.unionByName(values.select("id", F.col("id").alias("other"), F.lit(0).alias("layer"))), "near-values")
-    counted = in_windows(counted.join(values, "value").select("id", "pane", "n", "own"), q, "pane", "pane")
-    counted = written(counted.groupBy("id", "w", "window_end").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "value-windows")
-    spread = counted.select(F.col("id").alias("other"), "w", "window_end", "n").join(bounded_broadcast(near, 500_000), "other")
-    rows = spread.select("id", "w", "window_end", "layer", "n", F.lit(0).cast("long").alias("own"))
-    less_self = counted.where("own > 0").select("id", "w", "window_end", F.lit(0).alias("layer"), F.lit(-1).cast("long").alias("n"), "own")
-    sums = rows.unionByName(less_self).groupBy("id", "w", "window_end").agg(*within(q), F.max("own").alias("own"))
-    return outlier_counts(sums.where("own > 0"), q)
+    counted = written(counted.join(values, "value").select("id", "pane", "n", "own"), "value-counts")
+    span, place = F.floor(F.col("pane") / SPAN).cast("long"), F.pmod("pane", F.lit(SPAN))
+    columns = [f"p{j}" for j in range(SPAN)]
+    rows = counted.groupBy(F.col("id").alias("other"), span.alias("span")).agg(*[F.sum(F.when(place == j, F.col("n"))).alias(c) for j, c in enumerate(columns)])
+    sums = rows.join(bounded_broadcast(near, NEAR_VALUES), "other").groupBy("id", "span", "layer").agg(*[F.sum(c).alias(c) for c in columns])
+    each = F.array(*[F.struct((F.col("span") * SPAN + j).alias("pane"), F.col(c).alias("n")) for j, c in enumerate(columns)])
+    sums = sums.select("id", "layer", F.explode(F.filter(each, lambda x: x["n"].isNotNull())).alias("x")).select("id", "layer", "x.pane", "x.n", F.lit(0).cast("long").alias("own"))
+    # A point is no neighbour of its own.
+    less_self = counted.where("own > 0").select("id", F.lit(0).alias("layer"), "pane", F.lit(0).cast("long").alias("n"), "own")
+    found = in_windows(sums.unionByName(less_self), q, "pane", "pane").groupBy("id", "w", "window_end").agg(*within(q), F.sum("own").alias("own"))
+    found = found.where("own > 0").select("w", "window_end", "own", *[(F.col(f"n{i}") - 1).alias(f"n{i}") for i in range(len(q.ranges))])
+    return outlier_counts(found, q)
 
 
 def detect(points: DataFrame, q: QuerySet) -> DataFrame:
     """(window_end, R, k, w, s, outliers): for each window with points and each query, how many have fewer than k neighbours."""
-    if crowded(points):
-        return detect_by_value(points, q)
     shape, panes = widths(points), with_panes(points, q)
     return outlier_counts(window_counts(panes, pane_counts(pairs(panes, q, panes.where("flag = 0"), shape), q), q), q)
 

@@ -106,12 +106,7 @@ def _open_ends_by_pane(cells: DataFrame, q: QuerySet) -> DataFrame:
 
 
 def _pruned(points: DataFrame, q: QuerySet, evidence: Callable[[DataFrame], DataFrame], open_ends: Callable[[DataFrame, QuerySet], DataFrame] = _open_ends) -> DataFrame:
-    """Counts neighbours only for points that some window's dense cells do not settle; evidence turns pairs into pane counts.
-
-    Where points share few values, the smallest of dense cells, these are counted instead.
-    """
-    if C.crowded(points):
-        return C.detect_by_value(points, q)
+    """Counts neighbours only for points that some window's dense cells do not settle; evidence turns pairs into pane counts."""
     shape = widths(points)
     width = shape[0]
     panes = C.with_panes(points, q)
@@ -206,9 +201,14 @@ def pmcsky(points: DataFrame, q: QuerySet) -> DataFrame:
     return _pruned(points, q, lambda found: _capped(C.pane_counts(found, q), q, cumulative=True))
 
 
+def by_value(points: DataFrame, q: QuerySet) -> DataFrame:
+    """Values against each other instead of points: for data of which many points share a value, on a lattice for example."""
+    return C.detect_by_value(points, q)
+
+
 STRATEGIES: dict[Algorithm, Strategy] = {
     Algorithm.NAIVE: naive, Algorithm.ADVANCED: advanced, Algorithm.ADVANCED_EXTENDED: advanced_extended, Algorithm.SLICING: slicing, Algorithm.PMCOD: pmcod,
-    Algorithm.PMCOD_NET: pmcod_net, Algorithm.AMCOD: amcod, Algorithm.SOP: sop, Algorithm.PSOD: psod, Algorithm.PMCSKY: pmcsky,
+    Algorithm.PMCOD_NET: pmcod_net, Algorithm.AMCOD: amcod, Algorithm.SOP: sop, Algorithm.PSOD: psod, Algorithm.PMCSKY: pmcsky, Algorithm.BY_VALUE: by_value,
 }
 
 

@@ -73,6 +73,8 @@ QUERIES: dict[str, Query] = {
     **{f"outliers_rk_{a.value}": lambda s, d, a=a: strategies.STRATEGIES[a](events(s, d), RK) for a in Algorithm if a.value in ("amcod", "sop", "psod", "pmcsky")},
     **{f"outliers_rkws_{a.value}": lambda s, d, a=a: strategies.STRATEGIES[a](events(s, d), RKWS) for a in Algorithm if a.value in ("sop", "psod", "pmcsky")},
     "outliers_3d": lambda s, d: strategies.pmcod(items(s, d), ITEMS),
+    "outliers_3d_by_value": lambda s, d: strategies.by_value(items(s, d), ITEMS),
+    "outliers_rkws_by_value": lambda s, d: strategies.by_value(events(s, d), RKWS),
     "outliers_embedding": lambda s, d: strategies.slicing(vectors(s, d), VECTORS),
     "outliers_user_defined": lambda s, d: strategies.by_window(_own_window)(events(s, d), SINGLE),
     "outlier_points": lambda s, d: counting.outlier_points(events(s, d), SINGLE),
@@ -145,6 +147,7 @@ SQL: dict[str, str] = {
     **{name: detect_sql(_EVENTS, RK, 1) for name in QUERIES if name.startswith("outliers_rk_")},
     **{name: detect_sql(_EVENTS, RKWS, 1) for name in QUERIES if name.startswith("outliers_rkws_")},
     "outliers_3d": detect_sql(_ITEMS, ITEMS, 3),
+    "outliers_3d_by_value": detect_sql(_ITEMS, ITEMS, 3),
     "outliers_embedding": detect_sql(_VECTORS, VECTORS, 64),
     "outliers_user_defined": f"""WITH {_EVENTS}, x AS (SELECT v[1] AS v, unnest(range((t // {SINGLE.slide} + 1) * {SINGLE.slide}, t + {SINGLE.max_window} + 1, {SINGLE.slide})) AS e FROM p),
 m AS (SELECT e, median(v) AS m FROM x GROUP BY 1)

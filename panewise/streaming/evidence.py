@@ -397,5 +397,6 @@ def detector(algorithm: Algorithm, q: QuerySet) -> Detector:
         Algorithm.SOP: lambda: Layers(q),
         Algorithm.PSOD: lambda: Layers(q, cumulative=False, lazy=False),
         Algorithm.PMCSKY: lambda: Layers(q, clusters="expiry"),
+        Algorithm.BY_VALUE: lambda: Recount(q),
     }
     return kinds[algorithm]()
