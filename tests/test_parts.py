@@ -218,8 +218,10 @@ def test_every_line_item_is_a_point(spark, tmp_path):
 
 def test_entry_imports_alone(spark):
     root = Path(__file__).resolve().parents[1]
-    code = "import sys; sys.modules['panewise.llm.queries'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'outliers_single_pmcod' in q and not [n for n in q if n.startswith('op')]; assert set(o) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+    code = "import sys; sys.modules['PACKAGE'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'outliers_single_pmcod' in q and not [n for n in q if n.startswith('op')]; assert set(o) <= set(q)"
+    for package in ("panewise.llm.queries", "panewise.llm", "xxhash"):
+        done = subprocess.run([sys.executable, "-c", code.replace("PACKAGE", package)], cwd=root, check=True, capture_output=True, text=True)
+        assert "left out" in done.stderr
 
 
 def test_nothing_imports_the_optional_part():
