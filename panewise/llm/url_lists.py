@@ -52,26 +52,25 @@ def judge(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col
     """captures with decision (block, allow or none), entry, since, until: the entry that decided on the day of the fetch.
 
     Equal addresses of a day are judged once. A null address or day, and an address without a host, match nothing: decision
-    none. Every row stays, repeated ones too; columns of these names in captures are replaced. An empty list decides nothing.
+    none. Every row stays, repeated ones too, with all its columns but of these four names, which are replaced. An empty list decides nothing.
     """
-    day = F.col(day_col).cast("date")
-    asked = captures.select(F.col(url_col).alias("_url"), day.alias("_day")).where("_url is not null and _day is not null").distinct()
-    last = captures.agg(F.max(day)).first()[0] or datetime.date(1970, 1, 1)
+    kept = [c for c in captures.columns if c not in ("decision", "entry", "since", "until")]
+    rows = captures.select(F.struct(*kept).alias("row"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("day"))
+    asked = rows.select("url", "day").where("url is not null and day is not null").distinct()
+    last = rows.agg(F.max("day")).first()[0] or datetime.date(1970, 1, 1)
     active = intervals(changes).where(F.col("since") <= F.lit(last))
     end = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last)), F.lit(last))
     months = F.sequence(F.trunc("since", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
-    active = written(active.withColumn("_month", F.explode(months)), "url-intervals")
-    looked = asked.select("_url", "_day", F.trunc("_day", "month").alias("_month"), F.explode(keys(F.col("_url"))).alias("_k"))
+    active = written(active.withColumn("month", F.explode(months)), "url-intervals")
+    looked = asked.select("url", "day", F.trunc("day", "month").alias("asked_month"), F.explode(keys(F.col("url"))).alias("k"))
     # Most keys are on no list; above all the short ones, that very many addresses share, mostly go here.
-    listed = bounded_broadcast(written(active.select(F.col("entry").alias("_listed")).distinct(), "url-entries"), broadcast_rows)
-    looked = looked.join(listed, F.col("_k.key") == F.col("_listed"), "left_semi")
-    hits = looked.join(bounded_broadcast(active, broadcast_rows), (F.col("_k.key") == F.col("entry")) & (looked["_month"] == active["_month"]))
-    hits = hits.where((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
-    best = hits.groupBy("_url", "_day").agg(F.max(F.struct(F.col("_k.rank"), (F.col("kind") == "allow").alias("allow"), "entry", "kind", "since", "until")).alias("_b"))
-    best = best.select(F.col("_url").alias("_u"), F.col("_day").alias("_d"), "_b")
-    rows = captures.drop("decision", "entry", "since", "until")
-    rows = rows.join(best, (F.col(url_col) == F.col("_u")) & (day == F.col("_d")), "left")
-    return rows.select(*rows.columns[: -3], F.coalesce("_b.kind", F.lit("none")).alias("decision"), "_b.entry", "_b.since", "_b.until")
+    listed = bounded_broadcast(written(active.select(F.col("entry").alias("listed")).distinct(), "url-entries"), broadcast_rows)
+    looked = looked.join(listed, F.col("k.key") == F.col("listed"), "left_semi")
+    hits = looked.join(bounded_broadcast(active, broadcast_rows), (F.col("k.key") == F.col("entry")) & (F.col("asked_month") == F.col("month")))
+    hits = hits.where((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    best = hits.groupBy(F.col("url").alias("best_url"), F.col("day").alias("best_day")).agg(F.max(F.struct(F.col("k.rank"), (F.col("kind") == "allow").alias("allow"), "entry", "kind", "since", "until")).alias("best"))
+    rows = rows.join(best, (F.col("url") == F.col("best_url")) & (F.col("day") == F.col("best_day")), "left")
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.coalesce("best.kind", F.lit("none")).alias("decision"), "best.entry", "best.since", "best.until")
 
 
 #: Changes that are drawn for each string of the sample list, and days over which they are spread.
