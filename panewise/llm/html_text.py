@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,6 +30,8 @@ HINTS = frozenset("ad ads adsbygoogle advert advertisement advertisements advert
 #: Open elements of these names end when one of the names opens (within the nearest of SCOPES).
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Blocks that end the search for an open element: for a paragraph, any but paragraphs; for its end tag, those that hold no list items or cells alone.
+FENCES = {"p": BLOCKS - {"p"}, "outer": BLOCKS - {"p", "li", "dt", "dd", "td", "th", "tr", "option"}}
 TOKEN = re.compile(r"<!--(?:(?!-->).)*+(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -63,6 +65,9 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
         self._stack = [0]
+        #: Places on the stack of open elements: of each name, and of the blocks that end a search for another element.
+        self._open_at: dict[str, list[int]] = {}
+        self._fences: dict[str, list[int]] = {"p": [], "outer": []}
         self._read(source)
         self._flush()
 
@@ -82,28 +87,48 @@ class Page:
         self.dropped.append(dropped or self.dropped[self._stack[-1]])
         self.content.append([])
         self.content[self._stack[-1]].append(node)
+        place = len(self._stack)
         self._stack.append(node)
-
-    def _end(self, names: set[str], scopes: set[str]) -> None:
-        """Closes the innermost open element of these names, unless one of the scopes comes first."""
-        for k in range(len(self._stack) - 1, 0, -1):
+        self._open_at.setdefault(tag, []).append(place)
+        for name, fence in FENCES.items():
+            if tag in fence:
+                self._fences[name].append(place)
+
+    def _last(self, names: Iterable[str]) -> int:
+        return max((x[-1] for n in names if (x := self._open_at.get(n))), default=0)
+
+    def _end(self, names: Iterable[str], scopes: Iterable[str] = (), fence: str | None = None) -> None:
+        """Closes the innermost open element of these names, unless a scope, or a block of a fence, is open inside it.
+
+        Takes as long as elements are closed, however many are open.
+        """
+        place = self._last(names)
+        stop = self._last(scopes) if fence is None else self._fences[fence][-1] if self._fences[fence] else 0
+        if not place or stop > place:
+            return
+        for k in range(len(self._stack) - 1, place - 1, -1):
             tag = self.tags[self._stack[k]]
-            if tag in names:
-                del self._stack[k:]
-                return
-            if tag in scopes:
-                return
+            self._open_at[tag].pop()
+            for name in FENCES:
+                if tag in FENCES[name]:
+                    self._fences[name].pop()
+        del self._stack[place:]
 
     def _read(self, source: str) -> None:
-        at, articles = 0, 0
+        at, last = 0, source.rfind(">") + 1
         while True:
-            found = TOKEN.search(source, at)
+            # beyond the last > no tag can end; an open comment still takes the rest
+            found = TOKEN.search(source, at, last) if at < last else None
+            if not found and (comment := source.find("<!--", max(at, 0))) >= 0:
+                source = source[:comment]
             piece = source[at : found.start()] if found else source[at:]
             if piece:
                 self._text.append(entities.unescape(piece) if "&" in piece else piece)
             if not found:
                 return
             at = found.end()
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                return
             tag = found[2] or found[5]
             if not tag:
                 continue
@@ -111,10 +136,13 @@ class Page:
             if closing:
                 if tag in BLOCKS:
                     self._flush()
-                    self._end({tag}, BLOCKS - {"p", "li", "dt", "dd", "td", "th", "tr", "option"} - {tag} if tag == "p" else SCOPES.get(tag, set()))
-                elif len(self._stack) > 1 and any(self.tags[i] == tag for i in self._stack):
+                    if tag == "p":
+                        self._end((tag,), fence="outer")
+                    else:
+                        self._end((tag,), SCOPES.get(tag, ()))
+                elif self._open_at.get(tag):
                     self._flush()
-                    self._end({tag}, BLOCKS - {"p"})
+                    self._end((tag,), fence="p")
                 elif tag == "br":
                     self._text.append(" ")
                 continue
@@ -128,12 +156,12 @@ class Page:
                 elif tag == "br":
                     self._text.append(" ")
                 continue
-            inside = any(self.tags[i] in ("article", "main") for i in self._stack)
+            inside = bool(self._open_at.get("article") or self._open_at.get("main"))
             dropped = tag in DROPPED or tag == "header" and not inside or bool(raw) and tag not in ("html", "body") and _marked(tag, raw, inside)
             if tag in BLOCKS or dropped:
                 self._flush()
                 if tag in BLOCKS:
-                    self._end({"p"}, BLOCKS - {"p"})
+                    self._end(("p",), fence="p")
                 if tag in ENDED_BY:
                     self._end(ENDED_BY[tag], SCOPES[tag])
                 if not raw.rstrip().endswith("/") or tag in BLOCKS:
