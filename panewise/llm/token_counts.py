@@ -72,7 +72,7 @@ class Counter:
         """Lengths by the library, in batches of about BATCH bytes."""
         out, start, total = [], 0, 0
         for k, text in enumerate(texts):
-            total += len(text) * 2
+            total += len(text) if text.isascii() else len(text.encode())
             if total >= BATCH:
                 out += self.lengths(texts[start : k + 1])
                 start, total = k + 1, 0
