@@ -36,8 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 4
 #: Bytes of a member that are unpacked at once.
 STEP = 8192
-#: Bytes of an output batch of records from which on the next begins.
-BYTES = 8 << 20
+#: Bytes of an output batch of records from which on the next begins, and of an archive: a longer record has one for itself.
+BYTES, ARCHIVE = 8 << 20, 64 << 20
 FIELDS = "path string, offset long, length long, problem string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, inner_offset long, inner_length long, payload binary"
 
 
@@ -61,8 +61,8 @@ def firsts(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return found.select("_digest", "_first")
 
 
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST, broadcast_rows: int = 50_000) -> None:
-    """Writes the rows (page_id, url, html) as archives under path.
+def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST, broadcast_rows: int = 50_000, most: int = ARCHIVE) -> None:
+    """Writes the rows (page_id, url, html) as archives of up to `most` bytes under path, each by the task that has its rows.
 
     A null html is an empty payload, a null url is left out. Of the rows with equal payloads of at least `least` bytes those
     with the smallest page_id are responses and the others refer to it; rows without page_id only count if no other has one.
@@ -74,21 +74,24 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     rows = rows.join(small.withColumn("_first", F.col("_first").cast("string")), "_digest", "left").select("page_id", "url", "html", "_digest", "_first")
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
+        out, total = [], 0
         for batch in given:
-            out, total = [], 0
-            for page, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                page, url, html, digest, first = (c[k].as_py() for c in batch.columns)
                 body, again = html.encode(), first is not None and first != page
                 text = record("revisit" if again else "response", page or "", url or "", date, digest, len(body), b"" if again else body, first if again else None)
-                out.append(gzip.compress(text, LEVEL, mtime=0))
-                total += len(out[-1])
-                if total > BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                member = gzip.compress(text, LEVEL, mtime=0)
+                if out and total + len(member) > most:
+                    yield archive(out)
                     out, total = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                out.append(member)
+                total += len(member)
+        if out:
+            yield archive(out)
 
     members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", 50_000).text(path)
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def _head(raw: bytes) -> dict[str, str]:
@@ -269,12 +272,16 @@ def gaps(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): pages written as archives and read back."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): pages written as archives and read back.
+
+    A gap in what has just been written fails the query: the pages in it would be missing.
+    """
     path = new_path(pages.sparkSession, "warc")
     write(pages, path)
     page = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
-    found = records(read(pages.sparkSession, path, payload=False))
-    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    found = read(pages.sparkSession, path, payload=False)
+    broken = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "problem")).cast("long")
+    return found.select(F.when(F.col("problem").isNotNull(), broken).otherwise(page("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 #: The query's rows in DuckDB's SQL.

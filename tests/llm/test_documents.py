@@ -274,6 +274,11 @@ def test_piece_ids_equal_the_library():
     assert [model.decode(i) for i in ids] == [model.library.decode(i) for i in ids]
 
 
+def test_columns_that_clash_with_pieces_and_counts(spark, awkward):
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(pieces.encoded(clashing(awkward)), pieces.encoded(awkward)) and same(token_counts.token_counts(clashing(awkward)), token_counts.token_counts(awkward))
+
+
 def test_pieces_of_awkward_rows(spark, awkward):
     found = pieces.digest(pieces.encoded(awkward)).collect()
     library = pieces.load(pieces.default_path()).library
@@ -301,6 +306,17 @@ def test_token_counts_equal_the_library(spark, awkward, name):
     assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
 
 
+def test_batches_of_fragments_are_bounded_by_bytes():
+    counter = token_counts.Counter(token_counts.default_path())
+    seen, real = [], counter.lengths
+    counter.lengths = lambda texts: seen.append(sum(len(t.encode()) for t in texts)) or real(texts)
+    for text in ("x y z " * 200_000, "é€ " * 200_000):
+        seen.clear()
+        parts = [text[k : k + 40] for k in range(0, len(text), 40)]
+        counter._encoded(parts)
+        assert len(seen) > 2 and max(seen) < token_counts.BATCH + 200 and min(seen[:-1]) >= token_counts.BATCH
+
+
 def test_a_remembered_fragment_is_not_lost_when_the_memory_is_full(monkeypatch):
     monkeypatch.setattr(token_counts, "MEMORY", 20)
     counter = token_counts.Counter(token_counts.default_path())

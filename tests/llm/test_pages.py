@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +31,122 @@ def test_main_text_rules():
     assert html_text.extract("<!-- never closed <p>x") == "" and html_text.extract("<script>never closed") == ""
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 200_000, "<div>x</i>" * 150_000, "<a " * 200_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<p><b>x" * 100_000 + "</p>" * 100_000, "<!-- " * 100_000, "<article><td><tr>x" * 60_000, "<a b='" * 100_000 + '"' * 3])
+def test_time_does_not_grow_with_the_square_of_a_page(page):
+    began = time.perf_counter()
+    html_text.extract(page)
+    assert time.perf_counter() - began < 8
+
+
+def random_tree(rng, depth=0):
+    """(name, children): children are words or trees. Names whose end tags nothing else implies."""
+    kids = []
+    for _ in range(rng.randint(1, 3)):
+        kids.append(random_tree(rng, depth + 1) if depth < 3 and rng.random() < 0.5 else " ".join(rng.choice(["a", "bb", "c"]) for _ in range(rng.randint(1, 3))))
+    return rng.choice(["div", "section", "blockquote"]), kids
+
+
+def written_tree(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(written_tree, tree[1]))}</{tree[0]}>"
+
+
+def blocks_of(tree, gone):
+    """Blocks of text outside the subtrees that are gone, in page order."""
+    if tree in gone:
+        return []
+    out, text = [], ""
+    for kid in tree[1]:
+        if isinstance(kid, str):
+            text += kid
+        else:
+            out += ([text] if text else []) + blocks_of(kid, gone)
+            text = ""
+    return out + ([text] if text else [])
+
+
+def normal(tree):
+    """The tree with neighbouring words as one text, so that equal subtrees are equal here too."""
+    kids = []
+    for kid in tree[1]:
+        kid = kid if isinstance(kid, str) else normal(kid)
+        if isinstance(kid, str) and kids and isinstance(kids[-1], str):
+            kids[-1] += kid
+        else:
+            kids.append(kid)
+    return tree[0], tuple(kids)
+
+
+def subtrees(tree):
+    return {tree}.union(*[subtrees(k) for k in tree[1] if not isinstance(k, str)])
+
+
+def test_templates_equal_counting_whole_subtrees(spark):
+    """Random pages without attributes against a count of the trees that they were written from."""
+    rng = random.Random(21)
+    shared, pages, trees = [normal(random_tree(rng)) for _ in range(5)], [], {}
+    for i in range(120):
+        host = f"h{i % 3}.example"
+        kids = [rng.choice(shared) if rng.random() < 0.5 else random_tree(rng) for _ in range(rng.randint(1, 4))]
+        trees[i] = host, normal(("div", kids))
+        pages.append((i, f"http://{host}/{i}", written_tree(trees[i][1])))
+    rule = html_text.Template(pages=6, share=0.2)
+    found = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(pages, PAGES), rule).collect()}
+    removed = 0
+    for host in {h for h, _ in trees.values()}:
+        mine = {i: t for i, (h, t) in trees.items() if h == host}
+        different = {tuple(blocks_of(t, ())): t for t in mine.values()}
+        by_text = {}
+        for i, t in mine.items():
+            by_text.setdefault(tuple(blocks_of(t, ())), []).append(t)
+        counts = {}
+        for text in different:
+            for sub in subtrees(by_text[text][0]):
+                counts[sub] = counts.get(sub, 0) + 1
+        gone = {s for s, n in counts.items() if n >= rule.pages and n >= rule.share * len(different)}
+        for i, t in mine.items():
+            if len(set(by_text[tuple(blocks_of(t, ()))])) > 1:
+                continue  # of different pages of one text only one counts, whichever
+            left = blocks_of(t, gone) or blocks_of(t, ())
+            removed += left != blocks_of(t, ())
+            assert found[i] == "\n\n".join(left)
+    assert removed > 20
+
+
+def clashes(df):
+    """df with further columns of names that operators might use inside."""
+    names = "_b _u _d _k _day _month _url url_ day row best best_url best_day entry listed month asked_month host hashes tree trees n pages page digest first value payload record_id problem offset path vec ids point block leaf name".split()
+    return df.select("*", *[warc.F.lit(f"own {i}").alias(x) for i, x in enumerate(names) if x not in df.columns])
+
+
+def test_columns_that_clash(spark):
+    rows = pages_of(spark, 12)
+    pages = clashes(spark.createDataFrame(rows, PAGES))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plain = pages.select("page_id", "url", "html")
+    assert same(html_text.main_texts(pages), html_text.main_texts(plain)) and same(warc.round_trip(pages), warc.round_trip(plain))
+    table = spark.createDataFrame([("b", "block", "add", datetime.date(2024, 1, 1))], url_lists.CHANGES)
+    dated = pages.withColumn("fetched", warc.F.lit(datetime.date(2024, 2, 1)))
+    found = url_lists.judge(dated, table)
+    assert [c for c in found.columns if c not in ("decision", "entry", "since", "until")] == [c for c in dated.columns if c != "entry"]
+    assert {r._b for r in found.collect()} == {"own 0"} and found.where("decision = 'block'").count() == 1 and found.count() == len(rows)
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert same(neighbours.search(clashes(vectors)), neighbours.search(vectors))
+
+
+def test_archives_are_cut_by_bytes_and_gaps_fail_the_trip(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, "http://a/", "".join(chr(rng.randint(33, 9000)) for _ in range(rng.choice([5, 2000, 9000])))) for i in range(60)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "out"), most=20_000)
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("part-*")]
+    assert len(files) > 10 and max(files) < 40_000 and sum(n > 20_100 for n in files) <= sum(len(h.encode()) > 19_000 for _, _, h in rows)
+    assert warc.records(warc.read(spark, str(tmp_path / "out"))).count() == 60
+    real = warc.record
+    monkeypatch.setattr(warc, "write", lambda pages, path: (tmp_path / "bad").mkdir() or (tmp_path / "bad" / "x").write_bytes(real("response", "1", "u", "d", "0" * 64, 3, b"abc")))
+    monkeypatch.setattr(warc, "new_path", lambda *_: str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="gap in"):
+        warc.round_trip(spark.createDataFrame(rows[:1], PAGES)).collect()
+
+
 def test_templates_of_a_host_go(spark):
     rows = [(i, f"http://User@Host.example:80/{i}", f"<div><div><b>Our shop</b> sells <i>things</i></div><p>Story {i} of {i * 7}</p><p>The.</p><div>Call us</div></div>") for i in range(20)]
     rows += [(100 + i, f"http://small.example/{i}", "<div>Our shop</div><p>same</p>") for i in range(5)]
