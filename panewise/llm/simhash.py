@@ -12,8 +12,10 @@ lists the few ways in which the first segments may differ. The later budgets pru
 Dense groups. Copies collapse into one fingerprint before any pairing. Thousands of different fingerprints can still lie
 close together; their pairs are not all listed: a bucket's members are first held against one leader, what links becomes one
 class, then every class has one head in a bucket. The last round compares every candidate pair whose ends are not yet in one
-class, from the smaller class to the larger, after probes of buckets that hold no larger class than their own have gone: a
-bucket of one class costs no pairs at all, and one of a large class and a few strangers as many as it has members for each.
+class, from the smaller class to the larger, after probes of buckets that hold no larger class than their own have gone. A
+probe is held against the head of each class in the bucket. Members of the class lie within a radius of the head, and their
+distances to it are known: by the triangle inequality the probe need only be compared with those whose distance to the head
+is within `limit` of its own. So two large classes that share a bucket and lie apart are not compared member by member.
 """
 
 from __future__ import annotations
@@ -119,8 +121,13 @@ def chain_holds(a: Column, b: Column, limit: int, depth: int) -> Column:
     return any_start
 
 
+def _bits(a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def _within(a: str, b: str, limit: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
+    return _bits(a, b) <= limit
 
 
 def _keys(nodes: DataFrame, limit: int, depth: int, probe: bool) -> DataFrame:
@@ -159,9 +166,18 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows:
     members = _keys(ranked, limit, depth, probe=False)
     top = members.groupBy(*on).agg(F.max("rank").alias("top"))
     rest = probes(ranked).join(top, on).where(F.col("rank") < F.col("top"))
-    rest = rest.join(members.select(*on, F.col("fp").alias("fp2"), F.col("rank").alias("rank2")), on).where(F.col("rank") < F.col("rank2"))
-    rest = rest.where(chain_holds(F.col("fp"), F.col("fp2"), limit, depth)).where(_within("fp", "fp2", limit))
-    return merged(roots, rest.select(F.col("rank.root").alias("u"), F.col("rank2.root").alias("v")), "simhash-rest")
+    # A class's members in a bucket lie around its head there: a probe farther from the head than their radius and the limit meets none of them.
+    several = members.where("rank.size > 1")
+    measured = several.join(leader(several, *on, "rank"), [*on, "rank"]).withColumn("d", _bits("fp", "leader"))
+    balls = measured.groupBy(*on, "rank").agg(F.min("leader").alias("leader"), F.max("d").alias("radius"))
+    balls = balls.unionByName(members.where("rank.size = 1").select(*on, "rank", F.col("fp").alias("leader"), F.lit(0).alias("radius")))
+    met = rest.join(balls.withColumnRenamed("rank", "rank2"), on).where(F.col("rank") < F.col("rank2")).withColumn("far", _bits("fp", "leader")).where(F.col("far") <= F.col("radius") + limit)
+    ends = ["rank.root", "rank2.root", "fp", "fp2"]
+    alone = met.where("radius = 0").withColumn("fp2", F.col("leader")).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
+    inside = measured.select(*on, F.col("rank").alias("rank2"), F.col("fp").alias("fp2"), "d")
+    among = met.where("radius > 0").drop("leader").join(inside, [*on, "rank2"]).where(F.abs(F.col("far") - F.col("d")) <= limit).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
+    found = alone.unionByName(among).where(chain_holds(F.col("a"), F.col("b"), limit, depth)).where(_within("a", "b", limit))
+    return merged(roots, found.select("u", "v"), "simhash-rest")
 
 
 def classes(prints: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows: int = 200_000) -> DataFrame:

@@ -87,6 +87,27 @@ def test_classes_of_dense_and_random_fingerprints(spark):
     assert [found[i] for i in range(len(prints))] == brute_classes(prints)
 
 
+def test_large_classes_that_share_buckets(spark):
+    """Two dense groups with the same first half of bits: linked by one pair only, or by none."""
+    rng = random.Random(17)
+    base = rng.getrandbits(64)
+    prints = []
+    for shift in (0, 1, 2):
+        centre = base ^ ((0x1FFF << 13) if shift == 1 else (0x3FF << 40) if shift == 2 else 0)
+        for _ in range(150):
+            x = centre
+            for b in rng.sample(range(26, 64) if shift != 2 else range(0, 26), rng.randint(0, 5)):
+                x ^= 1 << b
+            prints.append(x)
+    bridge = base
+    for k in range(0, 13, 3):
+        bridge ^= ((0x1FFF << 13) & (0b111 << (13 + k)))
+        prints.append(bridge)
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    found = simhash.classes(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).toPandas().set_index("doc_id")["component_id"]
+    assert [found[i] for i in range(len(prints))] == brute_classes(prints)
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward):
     found = simhash.near_duplicates(awkward).toPandas()
     assert len(found) == awkward.count()
