@@ -12,7 +12,8 @@ sets of similarity x share none with probability (1 - x ** ROWS) ** BANDS, at 0.
 Centres. The text that others were copied from shares more keys with the copies than they share with each other. Of a key's
 nodes the centre is that with the most companions over all its keys, and all are held against it: as many comparisons as the
 key has nodes, and not their square. A second round takes a further centre among the nodes that are not in the first one's
-class. Pairs of nodes neither of which is a centre, and that are no SimHash pair, only meet through others.
+class. Pairs of nodes neither of which is a centre, and that are no SimHash pair, only meet through others; with exact=True
+they, and pairs without a common key, are found by a prefix filter on rare shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panewise.llm import simhash
@@ -128,6 +129,34 @@ def link_roots(members: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
     return merged(roots, stars(rows, centre(others)), "near-others")
 
 
+def prefix_roots(roots: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
+    """roots (node, root) after all links between different classes: none is lost.
+
+    A set's shingles are ordered by how many sets have them, the rarest first. Two sets of n shingles and of the similarity share one
+    of the first n - ceil(0.8 n) + 1 of both (the prefix filter), so that all pairs to be compared meet in these. A shingle that
+    one set alone has is no key, but takes a place of the prefix: a set that is new in over a fifth has no key at all. Of a
+    key's members first the most common class's one centre is compared, then those of different classes and of fitting sizes.
+    """
+    grams = sets.select("node", F.size("found").alias("size"), F.explode("found").alias("key"))
+    common = grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "key")
+    ranked = grams.join(common, "key", "left").withColumn("place", F.row_number().over(order))
+    first = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
+    keys = written(ranked.where((F.col("place") <= first) & F.col("n").isNotNull()).select("key", "node", "size"), "prefix-keys")
+    for step in ("stars", "pairs"):
+        rows = written(keys.join(roots, "node"), f"prefix-{step}-rows")
+        if step == "stars":
+            other = rows.groupBy("key").agg(F.max(F.struct("size", "node", "root")).alias("c")).select("key", F.col("c.node").alias("v"), F.col("c.size").alias("size2"), F.col("c.root").alias("rv"))
+        else:
+            other = rows.select("key", F.col("node").alias("v"), F.col("size").alias("size2"), F.col("root").alias("rv"))
+        pairs = rows.select("key", F.col("node").alias("u"), "size", F.col("root").alias("ru")).join(other, "key").where(F.col("ru") != F.col("rv")).where(_may_reach("size", "size2"))
+        pairs = pairs if step == "stars" else pairs.where(F.col("u") < F.col("v"))
+        pairs = written(pairs.select("u", "v", "ru", "rv").distinct(), f"prefix-{step}")
+        edges = _confirmed(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        roots = written(_lowered(roots, edges, f"prefix-{step}", broadcast_rows), f"prefix-{step}-roots")
+    return roots
+
+
 def _lowered(roots: DataFrame, edges: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
     """roots (node, root) after the roots that edges (u, v) join have become one."""
     joined = connected(edges, name).where("node <> root").select(F.col("node").alias("was"), F.col("root").alias("lower"))
@@ -135,8 +164,11 @@ def _lowered(roots: DataFrame, edges: DataFrame, name: str, broadcast_rows: int)
     return roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("lower", "root").alias("root"))
 
 
-def classes(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, digest, root) of each row of docs (doc_id, text); rows of equal root are one class."""
+def classes(docs: DataFrame, broadcast_rows: int = 200_000, exact: bool = False) -> DataFrame:
+    """(doc_id, digest, root) of each row of docs (doc_id, text); rows of equal root are one class.
+
+    exact: with prefix_roots() over all sets, so that no link is lost; it shuffles every shingle of every different set.
+    """
     rows = _rows(docs)
     prints = written(_prints(rows), "near-prints")
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "size", "fp", "keys")).alias("p"))
@@ -146,11 +178,14 @@ def classes(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     members = written(members.join(shared, "key"), "near-shared")
     weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
     members = written(members.join(weights, "node").select("key", "node", "size", "weight"), "near-members")
-    asked = nodes.join(weights, "node", "left_semi").select("node", "doc_id", "digest")
+    asked = (nodes.where("size > 0") if exact else nodes.join(weights, "node", "left_semi")).select("node", "doc_id", "digest")
     asked = bounded_broadcast(written(asked, "near-asked"), broadcast_rows).alias("x")
     texts = rows.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.digest") == F.col("x.digest")))
     sets = written(_sets(texts.select("x.node", "t.text")).dropDuplicates(["node"]), "near-sets")
     roots = link_roots(members, sets, broadcast_rows)
+    if exact:
+        every = nodes.where("size > 0").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        roots = prefix_roots(written(every, "near-every"), sets, broadcast_rows)
 
     # SimHash classes on top: a class's roots become one.
     alike = simhash.link_roots(nodes.select("fp").distinct(), LIMIT, broadcast_rows=broadcast_rows)
@@ -163,9 +198,9 @@ def classes(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     return prints.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_rows: int = 200_000, exact: bool = False) -> DataFrame:
     """The documents with one row of each class left, one of the smallest doc_id, as it was; see simhash.keep_first().
 
     A null or empty text, or one without words, has no shingles; such texts are one class.
     """
-    return simhash.keep_first(docs, classes(docs, broadcast_rows), broadcast_rows)
+    return simhash.keep_first(docs, classes(docs, broadcast_rows, exact), broadcast_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from panewise.llm import near_text
+from panewise.llm import near_text, simhash
 from tests.llm.test_documents import clashing, documents
 
 
@@ -13,15 +13,16 @@ def similarity(a, b):
     sets = []
     for text in (a, b):
         w = text.lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
 
 
 def brute_kept(texts):
-    root = list(range(len(texts)))
+    """The smallest of each class; texts link by similarity or by at most four differing bits of their fingerprints."""
+    root, prints = list(range(len(texts))), [simhash.fingerprint(t, near_text.WORDS) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if similarity(texts[i], texts[j]) >= 0.8:
+            if similarity(texts[i], texts[j]) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= near_text.LIMIT:
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     return [i for i, r in enumerate(root) if r == i]
 
@@ -67,3 +68,26 @@ def test_a_chain_and_the_bound(spark):
     texts = [*chain, " ".join(one), " ".join(two), "e " + " ".join(three[::-1]), " ".join(one[::-1])]
     kept = [r.doc_id for r in near_text.keep_one(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()]
     assert sorted(kept) == brute_kept(texts)
+
+
+def test_the_exact_mode_loses_no_link(spark, monkeypatch):
+    """Texts of a few sentences each, in many mixtures: classes equal those of all pairs, also where no MinHash key is shared."""
+    rng = random.Random(8)
+    sentences = [[f"s{k}w{rng.randrange(400)}" for _ in range(14)] for k in range(40)]
+    texts = []
+    for _ in range(30):
+        base = rng.sample(range(40), 8)
+        for _ in range(5):
+            picked = [k for k in base if rng.random() < 0.95]
+            words = [w for k in picked for w in sentences[k]]
+            for place in rng.sample(range(len(words)), rng.randint(0, 3)):
+                words[place] = rng.choice(["x", "y", f"z{rng.randrange(10**6)}"])
+            texts.append(" ".join(words))
+    texts += ["the common line of all texts " * 2 + f"n{i} m{i}" for i in range(40)] + ["", "one two"]
+    want = brute_kept(texts)
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert 40 < len(want) < len(texts) - 40
+    assert sorted(r.doc_id for r in near_text.keep_one(docs, exact=True).collect()) == want
+    monkeypatch.setattr(near_text, "band_keys", lambda found: [])  # the exact mode alone
+    assert sorted(r.doc_id for r in near_text.keep_one(docs, exact=True).collect()) == want
+    assert near_text.keep_one(docs.limit(0), exact=True).count() == 0
