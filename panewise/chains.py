@@ -113,6 +113,27 @@ def tree_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Pipeline.create(spark, config).read_from(rows).partition().detect_outliers().aggregate()
 
 
+class Bands(partitioning.Partitioner):
+    """A user's partitioner: bands of values, 20 wide, with copies for the bands that the range touches."""
+
+    def memberships(self, r: float):
+        band = lambda x: F.floor(x / 20).cast("int")
+        x = F.col("value")[0]
+        return F.transform(F.sequence(band(x - r), band(x + r)), lambda p: F.struct(p.alias("partition"), F.when(p == band(x), 0).otherwise(1).alias("flag")))
+
+
+def users_partitioner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outliers are counted inside the partitions of a user's class."""
+    chain = Pipeline.create(spark, _config("advanced_extended").build()).read_from(events(spark, sf_dir))
+    return chain.partition(Bands()).detect_outliers().aggregate()
+
+
+def stream_users_partitioner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream: evidence is kept by the user's partitions."""
+    chain = Pipeline.create(spark, _config("advanced_extended").build())
+    return streamed(spark, events(spark, sf_dir), lambda s, sink, log: chain.read_from(s).partition(Bands()).detect_outliers().aggregate_and_write_to(sink, checkpointLocation=log))
+
+
 def tree_file_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, owners): every point has one partition of its own, whatever tree the sample gives."""
     file, rows = new_path(spark, "sample"), events(spark, sf_dir)
@@ -261,6 +282,8 @@ QUERIES: dict[str, Query] = {
     "chain_tree_file": tree_file,
     "chain_tree_file_owners": tree_file_owners,
     "chain_users_source": users_source,
+    "chain_users_partitioner": users_partitioner,
+    "stream_users_partitioner": stream_users_partitioner,
     "chain_users_detector": users_detector,
     "chain_state_between_windows": state_between_windows,
     "chain_list_source": list_source,
@@ -295,6 +318,8 @@ _NATIONS = "p AS (SELECT n_nationkey AS id, n_nationkey AS t, [n_regionkey::DOUB
 SQL: dict[str, str] = {
     "chain_command_line": detect_sql(_EVENTS.replace("epoch_us(ts) // 1000", "event_id"), BY_ID, 1),
     "chain_tree_file": PLAIN_SQL["outliers_single_slicing"],
+    "chain_users_partitioner": PLAIN_SQL["outliers_single_slicing"],
+    "stream_users_partitioner": PLAIN_SQL["outliers_single_slicing"],
     "chain_tree_file_owners": "SELECT event_id AS id, 1 AS owners FROM events",
     "chain_users_source": f"SELECT * FROM ({detect_sql(_EVENTS[:-1] + ' WHERE event_id % 2 = 0)', RKWS, 1)}) WHERE k > 3",
     "chain_users_detector": detect_sql(_EVENTS[:-1] + " WHERE value < 50)", RKWS, 1),

@@ -16,27 +16,32 @@ from panewise.config import Algorithm, QuerySet, Space
 from panewise.errors import UnsupportedSpaceError
 from panewise.functions.distance import cell, dense_side, euclid, widths
 from panewise.plans import counting as C
+from panewise.storage import bounded_broadcast, written
 
 Strategy = Callable[[DataFrame, QuerySet], DataFrame]
 
 
-#: Parts into which the exhaustive strategy deals a pane's probing points.
-PARTS = 8
+#: Points of a pane for each part into which the exhaustive strategy deals them, and panes whose parts are broadcast at most.
+PART, PANES = 4_096, 200_000
 
 
 def naive(points: DataFrame, q: QuerySet) -> DataFrame:
     """Every point against all others that share a window with it: an equality join on the pane, the distance as its condition.
 
-    A point goes to each pane that its windows reach, so that a pair is compared once and not in every window. A pane's
-    probing points are dealt into PARTS, and its other points copied to them: a crowded pane is as many tasks' work.
+    A point goes to each pane that its windows reach, so that a pair is compared once and not in every window. The points of a
+    pane are dealt into as many parts as their number asks for, and those that probe it are copied to all of them: a crowded pane
+    is as many tasks' work.
     """
     low, high = widths(points)
     panes, span = C.with_panes(points, q), q.max_window // q.pane
     even = low == high and low <= 8
     values = lambda name: [F.col("value")[i].alias(f"{name}{i}") for i in range(low)] if even else [F.col("value").alias(name)]
-    own = panes.where("flag = 0").select("id", "pane", *values("_a"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("_part"))
-    own = own.withColumn("other_pane", F.explode(F.sequence(F.col("pane") - span + 1, F.col("pane") + span - 1)))
-    other = panes.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), *values("_b"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("_part"))
+    parts = panes.groupBy(F.col("pane").alias("other_pane")).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    parts = bounded_broadcast(written(parts, "pane-parts"), PANES)
+    own = panes.where("flag = 0").select("id", "pane", *values("_a"), F.explode(F.sequence(F.col("pane") - span + 1, F.col("pane") + span - 1)).alias("other_pane"))
+    own = own.join(parts, "other_pane").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    other = panes.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), *values("_b"))
+    other = other.join(parts, "other_pane").withColumn("_part", F.pmod(F.xxhash64("other"), F.col("_parts")).cast("int")).drop("_parts")
     distance = euclid(F.array(*[f"_a{i}" for i in range(low)]), F.array(*[f"_b{i}" for i in range(low)]), low) if even else euclid("_a", "_b", None)
     found = own.join(other, ["other_pane", "_part"]).where("id <> other").withColumn("distance", distance).where(F.col("distance") <= q.max_range)
     return C.outlier_counts(C.window_counts(panes, C.pane_counts(found, q), q), q)
