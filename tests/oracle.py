@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -26,3 +27,13 @@ def compare(spark, query, sql, data=DATA):
     columns = [c[0] for c in want.description]
     assert sorted(found.columns) == sorted(columns)
     assert rows_of(found.columns, found.collect()) == rows_of(columns, want.fetchall())
+
+
+def started(spark, request, queries, sql, threads=5):
+    """For a module's fixture: {name: future of compare()} for the queries whose tests were selected, some at a time.
+
+    On small tables a query waits for its many short jobs more than it works.
+    """
+    wanted = [i.callspec.params["name"] for i in request.session.items if i.fspath == request.fspath and hasattr(i, "callspec")]
+    with ThreadPoolExecutor(threads) as pool:
+        yield {name: pool.submit(compare, spark, queries[name], sql[name]) for name in wanted}
