@@ -172,6 +172,7 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows:
     balls = measured.groupBy(*on, "rank").agg(F.min("leader").alias("leader"), F.max("d").alias("radius"))
     balls = balls.unionByName(members.where("rank.size = 1").select(*on, "rank", F.col("fp").alias("leader"), F.lit(0).alias("radius")))
     met = rest.join(balls.withColumnRenamed("rank", "rank2"), on).where(F.col("rank") < F.col("rank2")).withColumn("far", _bits("fp", "leader")).where(F.col("far") <= F.col("radius") + limit)
+    met = written(met.select("fp", "rank", *on, "rank2", "leader", "radius", "far"), "simhash-met")
     ends = ["rank.root", "rank2.root", "fp", "fp2"]
     alone = met.where("radius = 0").withColumn("fp2", F.col("leader")).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
     inside = measured.select(*on, F.col("rank").alias("rank2"), F.col("fp").alias("fp2"), "d")
