@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panewise.llm._common import bounded_broadcast, written
+from panewise.llm._common import written
 
 # Elements by what a page's text does with them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -42,7 +42,9 @@ class Template:
 
     pages: int = 10
     share: float = 0.5
+    #: Hosts with templates, and templates of all of them, that are broadcast at most.
     broadcast_hosts: int = 20_000
+    broadcast_hashes: int = 2_000_000
 
 
 def _marked(tag: str, raw: str, in_article: bool) -> bool:
@@ -233,7 +235,9 @@ def main_texts(pages: DataFrame, rule: Template = Template()) -> DataFrame:
     A null html counts as empty and gives an empty text; a page without a host has no templates. An empty table gives no
     rows. Pages are read whole; columns besides page_id, url and html are not read.
     """
-    found = bounded_broadcast(written(templates(pages, rule), "html-templates").withColumnRenamed("host", "_host"), rule.broadcast_hosts)
+    found = written(templates(pages, rule), "html-templates").withColumnRenamed("host", "_host")
+    hosts, hashes = found.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
+    found = F.broadcast(found) if hosts <= rule.broadcast_hosts and hashes <= rule.broadcast_hashes else found
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("_own"))
     rows = rows.join(found, F.col("_own") == F.col("_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "hashes")
 
