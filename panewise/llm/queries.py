@@ -34,6 +34,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over archives of all pages that were damaged by a rule."""
+    return warc.salvaged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_conversations": op11_conversations,
     "op12_classifier": op12_classifier,
     "op13_periodic": op13_periodic,
+    "warc_salvage": warc_salvage,
 }
 
 SQL: dict[str, str] = {
@@ -86,4 +92,5 @@ SQL: dict[str, str] = {
     "op9_warc": warc.ROUND_TRIP_SQL,
     "op11_conversations": conversations.REPAIR_SQL,
     "op13_periodic": periodic.PERIODIC_SQL,
+    "warc_salvage": warc.SALVAGED_SQL,
 }

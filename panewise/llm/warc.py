@@ -15,10 +15,10 @@ import gzip
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panewise.llm._common import bounded_broadcast, new_path, written
@@ -61,12 +61,17 @@ def firsts(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return found.select("_digest", "_first")
 
 
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST, broadcast_rows: int = 50_000, most: int = ARCHIVE) -> None:
+def packed(page: str, kind: str, text: bytes) -> bytes:
+    """A record as a gzip member."""
+    return gzip.compress(text, LEVEL, mtime=0)
+
+
+def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST, broadcast_rows: int = 50_000, most: int = ARCHIVE, pack: Callable[[str, str, bytes], bytes] = packed) -> None:
     """Writes the rows (page_id, url, html) as archives of up to `most` bytes under path, each by the task that has its rows.
 
     A null html is an empty payload, a null url is left out. Of the rows with equal payloads of at least `least` bytes those
     with the smallest page_id are responses and the others refer to it; rows without page_id only count if no other has one.
-    An empty table gives no records.
+    An empty table gives no records. `pack` makes the bytes of a page's record, from its id, kind and text.
     """
     small = bounded_broadcast(written(firsts(pages, least), "warc-firsts"), broadcast_rows)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -80,8 +85,8 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
             for k in range(batch.num_rows):
                 page, url, html, digest, first = (c[k].as_py() for c in batch.columns)
                 body, again = html.encode(), first is not None and first != page
-                text = record("revisit" if again else "response", page or "", url or "", date, digest, len(body), b"" if again else body, first if again else None)
-                member = gzip.compress(text, LEVEL, mtime=0)
+                kind = "revisit" if again else "response"
+                member = pack(page or "", kind, record(kind, page or "", url or "", date, digest, len(body), b"" if again else body, first if again else None))
                 if out and total + len(member) > most:
                     yield archive(out)
                     out, total = [], 0
@@ -292,3 +297,62 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END A
 SELECT page_id, n AS payload_bytes, h AS payload_digest,
   CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to FROM f
 """
+
+
+#: What a drill does to the record of a page, by its id modulo DRILL.
+DRILL, BYTES_CHANGE, CUT, NOISE, LENGTH, DIGEST = 20, 1, 5, 9, 13, 17
+#: Problems of a member that breaks off; which of them is met depends on the bytes behind it.
+BROKEN = (DAMAGED, "member is cut off")
+
+
+def damaged(page: str, kind: str, text: bytes) -> bytes:
+    """The bytes of a page's record as a drill leaves them, and behind them, untouched, a metadata record that refers to the page.
+
+    Of every DRILL pages one has bytes in the middle of its member inverted, one loses its member's end, one has noise before
+    its member, one tells a wrong length, and one, if it is a response, a wrong digest. A page without an id stays whole.
+    """
+    rule = int(page) % DRILL if page else None
+    if rule == LENGTH:
+        text = re.sub(rb"(\r\nContent-Length: )(?=[0-9]+\r\n\r\nHTTP)", rb"\g<1>1", text, count=1)
+    if rule == DIGEST and kind == "response":
+        text = re.sub(rb"(\r\nWARC-Payload-Digest: sha256:)[0-9a-f]{64}", rb"\g<1>" + b"0" * 64, text, count=1)
+    member = packed(page, kind, text)
+    if rule == BYTES_CHANGE:
+        at = len(member) // 2
+        member = member[:at] + bytes(x ^ 0xFF for x in member[at : at + 3]) + member[at + 3 :]
+    elif rule == CUT:
+        member = member[:-12]
+    elif rule == NOISE:
+        member = b"\x00noise\r\n" + member
+    return member + packed(page, "metadata", record("metadata", f"{page}/about", "", "2024-01-01T00:00:00Z", hashlib.sha256(b"").hexdigest(), 0, b"", page))
+
+
+def salvaged(pages: DataFrame) -> DataFrame:
+    """(page_id, record_type, payload_bytes, payload_digest, problem): a row for each row of pages, from archives that damaged() spoiled.
+
+    Of a page whose record is lost only page_id and the problem of its gap are given; one that was recovered behind a gap has
+    both. The metadata records tell which page a gap belongs to: a page's gap and record, if there are any, are what stands
+    between two of them. Repeated rows stay; null ids and payloads are as in write(); an empty table gives no rows.
+    """
+    path = new_path(pages.sparkSession, "warc-drill")
+    write(pages, path, pack=damaged)
+    found = read(pages.sparkSession, path, payload=False).select("path", "offset", "problem", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    order = Window.partitionBy("path").orderBy("offset")  # an archive, which is bounded by bytes
+    row = F.struct("problem", "record_type", "payload_bytes", "payload_digest")
+    seen = found.select("*", F.lag(row, 1).over(order).alias("last"), F.lag(row, 2).over(order).alias("before")).where("record_type = 'metadata'")
+    lost = F.col("last.problem").isNotNull()
+    problem = F.when(lost, F.col("last.problem")).otherwise(F.col("before.problem"))
+    whole = [F.when(~lost, F.col(f"last.{c}")).alias(c) for c in ("record_type", "payload_bytes", "payload_digest")]
+    return seen.select(F.nullif("refers_to", F.lit("")).cast("long").alias("page_id"), *whole, F.when(problem.isin(*BROKEN), "broken member").otherwise(problem).alias("problem"))
+
+
+#: The drill's rows in DuckDB's SQL.
+SALVAGED_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS h FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 AND min(page_id) OVER (PARTITION BY h) <> page_id THEN 'revisit' ELSE 'response' END AS kind FROM d),
+g AS (SELECT *, CASE WHEN page_id % {DRILL} IN ({BYTES_CHANGE}, {CUT}) THEN 'broken member' WHEN page_id % {DRILL} = {LENGTH} THEN 'length does not lead to the record''s end'
+  WHEN page_id % {DRILL} = {DIGEST} AND kind = 'response' THEN 'payload digest' END AS loss FROM f)
+SELECT page_id, CASE WHEN loss IS NULL THEN kind END AS record_type, CASE WHEN loss IS NULL THEN n END AS payload_bytes, CASE WHEN loss IS NULL THEN h END AS payload_digest,
+  CASE WHEN page_id % {DRILL} = {NOISE} THEN 'no version line' ELSE loss END AS problem FROM g
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import gzip
+import hashlib
 import random
 import time
 from pathlib import Path
@@ -174,8 +175,6 @@ def test_archives_come_back_whole(spark, tmp_path):
     pages = spark.createDataFrame(rows, PAGES).withColumn("payload", warc.F.lit(1))
     found = {r.page_id: r for r in warc.round_trip(pages).collect()}
     assert len(found) == len(rows)
-    import hashlib
-
     firsts = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
         firsts.setdefault(h or "", i)
@@ -192,6 +191,25 @@ def test_archives_come_back_whole(spark, tmp_path):
     assert warc.gaps(warc.read(spark, path)).count() == 0
 
 
+def test_pages_of_damaged_archives(spark):
+    rows = pages_of(spark, 90) + [(1, "http://twice/", "bytes change"), (9, "http://twice/", "noise")]
+    pages = spark.createDataFrame(rows, PAGES).withColumn("last", warc.F.lit(1)).repartition(3)
+    found = warc.salvaged(pages).collect()
+    assert sorted(str(r.page_id) for r in found) == sorted(str(i) for i, _, _ in rows)
+    firsts = {}
+    for i, _, h in sorted(rows, key=lambda r: r[0]):
+        firsts.setdefault(h or "", i)
+    bodies = [(i, (h or "").encode(), len((h or "").encode()) >= 100 and firsts[h or ""] != i) for i, _, h in rows]
+    problems = {warc.BYTES_CHANGE: "broken member", warc.CUT: "broken member", warc.LENGTH: "length does not lead to the record's end", warc.DIGEST: "payload digest"}
+    want = []
+    for i, body, again in bodies:
+        problem = problems.get(i % warc.DRILL) if i % warc.DRILL != warc.DIGEST or not again else None
+        kept = ("revisit" if again else "response", len(body), hashlib.sha256(body).hexdigest()) if problem is None else (None, None, None)
+        want.append((i, *kept, "no version line" if i % warc.DRILL == warc.NOISE else problem))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    assert warc.salvaged(pages.limit(0)).count() == 0
+
+
 def members(n=12):
     return [warc.record("response", str(i), "http://x/", "2024-01-01T00:00:00Z", __import__("hashlib").sha256(b := f"page {i} WARC/1.1\r\n\x1f\x8b\x08".encode() * 9).hexdigest(), len(b), b) for i in range(n)]
 

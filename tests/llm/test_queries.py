@@ -9,7 +9,7 @@ from tests.oracle import DATA, started
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
