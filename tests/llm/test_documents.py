@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panewise.llm import _common, mixing, pieces, pii, quality, simhash, token_counts
 
@@ -253,6 +255,31 @@ def test_spans_that_look_alike_are_told_apart(spark):
     assert sum(bool(x) for i, x in found.items() if i >= 1000) < 4
 
 
+def test_a_gazetteer_decides_within_a_kind(spark):
+    """Numbers of one form: those that a caller's table lists as made up get a no, and listed and unlisted keys of every kind are found."""
+    texts = ["user.7@site.org", "an@domain.com", "a@b.zz", "192.0.2.7", "12.0.0.1", "230.1.1.1", "4111111111111111", "4785380592391139", "token=changeme", "+1 (743) 555-3824"]
+    more = spark.createDataFrame([("email", "B.ZZ", True), ("ip", "12.0.0.1", False), ("card", "4785", False), (None, "x", True), ("email", None, True)], "kind string, key string, known boolean")
+    said = lambda table: [r.s for r in pii.candidates(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), more=table).select("row.doc_id", F.expr("spans[0].votes[1]").alias("s")).orderBy("doc_id").collect()]
+    assert said(None) == [-1, -1, 0, -1, 1, -1, -1, 1, -1, 1]
+    assert said(more) == [-1, -1, 1, -1, -1, -1, -1, -1, -1, 1]
+    with pytest.raises(ValueError, match="gazetteer"):
+        pii.gazetteer(spark.range(pii.GAZETTEER_ROWS + 1).selectExpr("'ip' AS kind", "string(id) AS key", "true AS known"))
+
+
+def test_accounts_of_the_generated_tables_are_told_apart(spark):
+    """Numbers that a base pattern passes over, as digits stand before them, but whose check digit is right, are kept; those with a wrong one go."""
+    path = Path("/root/testdata/sf0.1/documents.parquet")
+    if not path.exists():
+        pytest.skip("no generated tables")
+    docs = spark.read.parquet(f"file://{path}").where("text RLIKE '[0-9]{9}|[=:@]|[0-9][.][0-9]'")
+    rows = _common.written(pii.candidates(docs.select("doc_id", "text")), "pii-test")
+    model = pii.train(rows)
+    spans = rows.select(F.explode("spans").alias("s")).where(F.col("s.kind") == pii.KINDS.index("account"))
+    found = spans.select("s.features", (model.score(F.col("s.kind"), F.col("s.features")) > 0).alias("ok")).collect()
+    right = [bool(r.features[-1]) for r in found]
+    assert len(set(right)) == 2 and [r.ok for r in found] == right
+
+
 def test_expectation_maximisation_beats_the_majority():
     """Two labelers know, three say yes to almost anything; the classifier only sees a feature, never votes."""
     rng = np.random.default_rng(0)
