@@ -120,13 +120,16 @@ def link_roots(members: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
         found = rows.join(centres, "key").where(F.col("root") != F.col("c.root")).where(_may_reach("size", "c.size"))
         return found.select(F.col("node").alias("u"), F.col("c.node").alias("v"), F.col("root").alias("ru"), F.col("c.root").alias("rv"))
 
-    centre = lambda rows: rows.groupBy("key").agg(F.max(F.struct("weight", "node", "size", "root")).alias("c"))
+    def centres(rows: DataFrame, name: str) -> DataFrame:
+        """(key, c): each key's centre, as a table. A join with a table is split where a key is hot, one with an aggregate is not."""
+        return written(rows.groupBy("key").agg(F.max(F.struct("weight", "node", "size", "root")).alias("c")), name)
+
     rows = members.withColumn("root", F.col("node"))
-    roots = merged(rows.select("node", "root").distinct(), stars(rows, centre(rows)), "near-stars")
+    roots = merged(rows.select("node", "root").distinct(), stars(rows, centres(rows, "near-first")), "near-stars")
     rows = written(members.join(roots, "node"), "near-rows")
-    first = centre(rows).select("key", F.col("c.root").alias("taken"))
-    others = rows.join(first, "key").where(F.col("root") != F.col("taken"))
-    return merged(roots, stars(rows, centre(others)), "near-others")
+    first = centres(rows, "near-taken").select("key", F.col("c.root").alias("taken"))
+    others = written(rows.join(first, "key").where(F.col("root") != F.col("taken")).drop("taken"), "near-untaken")
+    return merged(roots, stars(rows, centres(others, "near-second")), "near-others")
 
 
 def prefix_roots(roots: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -174,7 +177,7 @@ def classes(docs: DataFrame, broadcast_rows: int = 200_000, exact: bool = False)
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "digest", "size", "fp", "keys")).alias("p"))
     nodes = written(nodes.select("node", "p.*"), "near-nodes")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")  # as a table: see centres()
     members = written(members.join(shared, "key"), "near-shared")
     weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
     members = written(members.join(weights, "node").select("key", "node", "size", "weight"), "near-members")
