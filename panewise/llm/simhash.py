@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panewise.llm._common import bounded_broadcast, connected, written
+from panewise.llm._common import connected, few_or_shuffled, shuffled, written
 
 BITS = 64
 #: Fingerprints of a task that lists the keys of probes.
@@ -147,36 +147,36 @@ def link_roots(nodes: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows:
 
     def merged(roots: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         """roots after the classes that the edges (u, v: roots) join have become one. Few roots change, and a class may have many nodes: the changes are broadcast."""
-        joined = bounded_broadcast(written(connected(edges, name).where("node <> root").withColumnRenamed("root", "lower"), f"{name}-joined"), broadcast_rows)
+        joined = few_or_shuffled(written(connected(edges, name).where("node <> root").withColumnRenamed("root", "lower"), f"{name}-joined"), broadcast_rows)
         out = roots.join(joined, roots.root == joined.node, "left").select("fp", F.coalesce("lower", "root").alias("root"))
         return written(out, f"{name}-roots")
 
     exact = _keys(nodes, limit, depth, probe=False)
-    stars = exact.join(leader(exact, *on), on).where((F.col("fp") != F.col("leader")) & _within("fp", "leader", limit))
+    stars = exact.join(shuffled(leader(exact, *on)), on).where((F.col("fp") != F.col("leader")) & _within("fp", "leader", limit))
     roots = merged(nodes.select("fp", F.col("fp").alias("root")), stars.select(F.col("fp").alias("u"), F.col("leader").alias("v")), "simhash-stars")
 
     members = _keys(roots, limit, depth, probe=False)
     heads = leader(members, *on, "root").withColumnRenamed("root", "other")
-    near = probes(roots).join(heads, on).where(F.col("root") != F.col("other")).where(_within("fp", "leader", limit))
+    near = probes(roots).join(shuffled(heads), on).where(F.col("root") != F.col("other")).where(_within("fp", "leader", limit))
     roots = merged(roots, near.select(F.col("root").alias("u"), F.col("other").alias("v")), "simhash-heads")
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = bounded_broadcast(written(sizes, "simhash-sizes"), broadcast_rows)
+    sizes = few_or_shuffled(written(sizes, "simhash-sizes"), broadcast_rows)
     ranked = roots.join(sizes, "root", "left").select("fp", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root").alias("rank"))
     members = _keys(ranked, limit, depth, probe=False)
     top = members.groupBy(*on).agg(F.max("rank").alias("top"))
-    rest = probes(ranked).join(top, on).where(F.col("rank") < F.col("top"))
+    rest = probes(ranked).join(shuffled(top), on).where(F.col("rank") < F.col("top"))
     # A class's members in a bucket lie around its head there: a probe farther from the head than their radius and the limit meets none of them.
     several = members.where("rank.size > 1")
-    measured = several.join(leader(several, *on, "rank"), [*on, "rank"]).withColumn("d", _bits("fp", "leader"))
+    measured = several.join(shuffled(leader(several, *on, "rank")), [*on, "rank"]).withColumn("d", _bits("fp", "leader"))
     balls = measured.groupBy(*on, "rank").agg(F.min("leader").alias("leader"), F.max("d").alias("radius"))
     balls = balls.unionByName(members.where("rank.size = 1").select(*on, "rank", F.col("fp").alias("leader"), F.lit(0).alias("radius")))
-    met = rest.join(balls.withColumnRenamed("rank", "rank2"), on).where(F.col("rank") < F.col("rank2")).withColumn("far", _bits("fp", "leader")).where(F.col("far") <= F.col("radius") + limit)
+    met = rest.join(shuffled(balls.withColumnRenamed("rank", "rank2")), on).where(F.col("rank") < F.col("rank2")).withColumn("far", _bits("fp", "leader")).where(F.col("far") <= F.col("radius") + limit)
     met = written(met.select("fp", "rank", *on, "rank2", "leader", "radius", "far"), "simhash-met")
     ends = ["rank.root", "rank2.root", "fp", "fp2"]
     alone = met.where("radius = 0").withColumn("fp2", F.col("leader")).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
     inside = measured.select(*on, F.col("rank").alias("rank2"), F.col("fp").alias("fp2"), "d")
-    among = met.where("radius > 0").drop("leader").join(inside, [*on, "rank2"]).where(F.abs(F.col("far") - F.col("d")) <= limit).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
+    among = met.where("radius > 0").drop("leader").join(shuffled(inside), [*on, "rank2"]).where(F.abs(F.col("far") - F.col("d")) <= limit).select(*[F.col(c).alias(n) for c, n in zip(ends, "uvab")])
     found = alone.unionByName(among).where(chain_holds(F.col("a"), F.col("b"), limit, depth)).where(_within("a", "b", limit))
     return merged(roots, found.select("u", "v"), "simhash-rest")
 
@@ -189,12 +189,12 @@ def classes(prints: DataFrame, limit: int = 4, depth: int = 2, broadcast_rows: i
     """
     prints = written(prints, "simhash-prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = nodes.join(link_roots(nodes.select("fp"), limit, depth, broadcast_rows), "fp")
+    roots = nodes.join(shuffled(link_roots(nodes.select("fp"), limit, depth, broadcast_rows)), "fp")
     # Only classes of several fingerprints need their smallest id looked up.
     least = roots.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
-    roots = roots.join(bounded_broadcast(written(least, "simhash-least"), broadcast_rows), "root", "left")
+    roots = roots.join(few_or_shuffled(written(least, "simhash-least"), broadcast_rows), "root", "left")
     ids = roots.select("fp", "root", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(ids, "fp").select(*prints.columns, "root", "component_id")
+    return prints.join(shuffled(ids), "fp").select(*prints.columns, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, limit: int = 4, depth: int = 2) -> DataFrame:
@@ -216,11 +216,11 @@ def keep_first(docs: DataFrame, found: DataFrame, broadcast_rows: int = 200_000)
     known = found.where("doc_id is not null").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
     known = written(known, "first-rows")
     first = known.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    first = bounded_broadcast(written(first.drop("rows"), "first-of-classes"), broadcast_rows)
+    first = few_or_shuffled(written(first.drop("rows"), "first-of-classes"), broadcast_rows)
     stays = F.coalesce(F.struct("doc_id", "digest") == F.col("first"), F.lit(True))
     marked = known.join(first, "root", "left").select("doc_id", "digest", stays.alias("stays"), "n").where("not stays or n > 1")
     marked = written(marked, "first-marked")
-    some = lambda rows: bounded_broadcast(marked.where(rows).select("doc_id", "digest"), broadcast_rows)
+    some = lambda rows: few_or_shuffled(marked.where(rows).select("doc_id", "digest"), broadcast_rows)
     on = ["doc_id", "digest"]
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
     kept = rows.join(some("not stays"), on, "left_anti")

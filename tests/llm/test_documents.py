@@ -129,6 +129,41 @@ def test_connected_components_of_a_hub_and_a_path(spark):
     assert found == {**dict.fromkeys(range(1, 40), 1), **dict.fromkeys(range(100, 141), 100)}
 
 
+def planned(monkeypatch, *modules):
+    """A list that gets (name, plan) of every table that the modules write and of the edges that they connect."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for module in modules:
+        for kind in ("written", "connected"):
+            if hasattr(module, kind) and (kind, module) != ("connected", _common):
+                monkeypatch.setattr(module, kind, lambda df, name, f=getattr(module, kind), kind=kind: plans.append((f"{kind} {name}", plan(df))) or f(df, name))
+    return plans
+
+
+def test_no_join_of_fingerprints_is_left_to_an_estimate_of_size(spark, monkeypatch):
+    """Spark takes what explode() multiplies for small, and broadcast it from the driver: only counted tables may be."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = base + [p ^ 1 << rng.randrange(64) for p in base] + [base[0] ^ 15, base[0] ^ 255]
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    plans = planned(monkeypatch, simhash)
+    found = simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long"), broadcast_rows=-1)  # no table is small
+    plans.append(("classes", found._jdf.queryExecution().sparkPlan().toString()))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(brute_classes(prints)))
+    assert {"written simhash-met", "connected simhash-rest"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan] == []
+
+
+def test_many_edges_are_joined_by_shuffle_and_merge(spark, monkeypatch):
+    plans = planned(monkeypatch, _common)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "u long, v long")
+    want = dict.fromkeys(range(10), 0) | {20: 20, 21: 20}
+    monkeypatch.setattr(_common, "EDGES", 0)
+    assert dict(_common.connected(edges).collect()) == want
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in plan for _, plan in plans)
+    assert _common.connected(edges.where("u > 99")).count() == 0
+
+
 def quality_of(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
