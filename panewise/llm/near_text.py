@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panewise.llm import simhash
-from panewise.llm._common import bounded_broadcast, connected, written
+from panewise.llm._common import connected, few_or_shuffled, shuffled, written
 
 WORDS, SEED, LIMIT = 5, 42, 4
 NUMERATOR, DENOMINATOR = 4, 5
@@ -100,9 +100,10 @@ def _may_reach(a: str, b: str) -> Column:
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
     """The pairs (u, v) of at least the similarity, compared on their whole sets."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("b")), "v")
+    first = sets.select(F.col("node").alias("u"), F.col("found").alias("a")).join(few_or_shuffled(pairs, broadcast_rows), "u")
+    both = first.join(shuffled(sets.select(F.col("node").alias("v"), F.col("found").alias("b"))), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common * DENOMINATOR >= (F.size("a") + F.size("b") - common) * NUMERATOR).select("u", "v")
 
@@ -113,11 +114,11 @@ def link_roots(members: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
     def merged(roots: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """roots after the classes that confirmed pairs (u, v, ru, rv: roots) join have become one."""
         pairs = written(pairs.distinct(), f"{name}-pairs")
-        edges = _confirmed(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        edges = _confirmed(pairs.select("u", "v"), sets, broadcast_rows).join(shuffled(pairs), ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         return written(_lowered(roots, edges, name, broadcast_rows), f"{name}-roots")
 
     def stars(rows: DataFrame, centres: DataFrame) -> DataFrame:
-        found = rows.join(centres, "key").where(F.col("root") != F.col("c.root")).where(_may_reach("size", "c.size"))
+        found = rows.join(shuffled(centres), "key").where(F.col("root") != F.col("c.root")).where(_may_reach("size", "c.size"))
         return found.select(F.col("node").alias("u"), F.col("c.node").alias("v"), F.col("root").alias("ru"), F.col("c.root").alias("rv"))
 
     def centres(rows: DataFrame, name: str) -> DataFrame:
@@ -126,9 +127,9 @@ def link_roots(members: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
 
     rows = members.withColumn("root", F.col("node"))
     roots = merged(rows.select("node", "root").distinct(), stars(rows, centres(rows, "near-first")), "near-stars")
-    rows = written(members.join(roots, "node"), "near-rows")
+    rows = written(members.join(shuffled(roots), "node"), "near-rows")
     first = centres(rows, "near-taken").select("key", F.col("c.root").alias("taken"))
-    others = written(rows.join(first, "key").where(F.col("root") != F.col("taken")).drop("taken"), "near-untaken")
+    others = written(rows.join(shuffled(first), "key").where(F.col("root") != F.col("taken")).drop("taken"), "near-untaken")
     return merged(roots, stars(rows, centres(others, "near-second")), "near-others")
 
 
@@ -143,19 +144,19 @@ def prefix_roots(roots: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
     grams = sets.select("node", F.size("found").alias("size"), F.explode("found").alias("key"))
     common = grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "key")
-    ranked = grams.join(common, "key", "left").withColumn("place", F.row_number().over(order))
+    ranked = grams.join(shuffled(common), "key", "left").withColumn("place", F.row_number().over(order))
     first = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
     keys = written(ranked.where((F.col("place") <= first) & F.col("n").isNotNull()).select("key", "node", "size"), "prefix-keys")
     for step in ("stars", "pairs"):
-        rows = written(keys.join(roots, "node"), f"prefix-{step}-rows")
+        rows = written(keys.join(shuffled(roots), "node"), f"prefix-{step}-rows")
         if step == "stars":
             other = rows.groupBy("key").agg(F.max(F.struct("size", "node", "root")).alias("c")).select("key", F.col("c.node").alias("v"), F.col("c.size").alias("size2"), F.col("c.root").alias("rv"))
         else:
             other = rows.select("key", F.col("node").alias("v"), F.col("size").alias("size2"), F.col("root").alias("rv"))
-        pairs = rows.select("key", F.col("node").alias("u"), "size", F.col("root").alias("ru")).join(other, "key").where(F.col("ru") != F.col("rv")).where(_may_reach("size", "size2"))
+        pairs = rows.select("key", F.col("node").alias("u"), "size", F.col("root").alias("ru")).join(shuffled(other), "key").where(F.col("ru") != F.col("rv")).where(_may_reach("size", "size2"))
         pairs = pairs if step == "stars" else pairs.where(F.col("u") < F.col("v"))
         pairs = written(pairs.select("u", "v", "ru", "rv").distinct(), f"prefix-{step}")
-        edges = _confirmed(pairs.select("u", "v"), sets).join(pairs, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        edges = _confirmed(pairs.select("u", "v"), sets, broadcast_rows).join(shuffled(pairs), ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         roots = written(_lowered(roots, edges, f"prefix-{step}", broadcast_rows), f"prefix-{step}-roots")
     return roots
 
@@ -163,7 +164,7 @@ def prefix_roots(roots: DataFrame, sets: DataFrame, broadcast_rows: int) -> Data
 def _lowered(roots: DataFrame, edges: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
     """roots (node, root) after the roots that edges (u, v) join have become one."""
     joined = connected(edges, name).where("node <> root").select(F.col("node").alias("was"), F.col("root").alias("lower"))
-    joined = bounded_broadcast(written(joined, f"{name}-joined"), broadcast_rows)
+    joined = few_or_shuffled(written(joined, f"{name}-joined"), broadcast_rows)
     return roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("lower", "root").alias("root"))
 
 
@@ -178,26 +179,26 @@ def classes(docs: DataFrame, broadcast_rows: int = 200_000, exact: bool = False)
     nodes = written(nodes.select("node", "p.*"), "near-nodes")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")  # as a table: see centres()
-    members = written(members.join(shared, "key"), "near-shared")
+    members = written(members.join(shuffled(shared), "key"), "near-shared")
     weights = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
-    members = written(members.join(weights, "node").select("key", "node", "size", "weight"), "near-members")
-    asked = (nodes.where("size > 0") if exact else nodes.join(weights, "node", "left_semi")).select("node", "doc_id", "digest")
-    asked = bounded_broadcast(written(asked, "near-asked"), broadcast_rows).alias("x")
+    members = written(members.join(shuffled(weights), "node").select("key", "node", "size", "weight"), "near-members")
+    asked = (nodes.where("size > 0") if exact else nodes.join(shuffled(weights), "node", "left_semi")).select("node", "doc_id", "digest")
+    asked = few_or_shuffled(written(asked, "near-asked"), broadcast_rows).alias("x")
     texts = rows.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.digest") == F.col("x.digest")))
     sets = written(_sets(texts.select("x.node", "t.text")).dropDuplicates(["node"]), "near-sets")
     roots = link_roots(members, sets, broadcast_rows)
     if exact:
-        every = nodes.where("size > 0").select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        every = nodes.where("size > 0").select("node").join(shuffled(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         roots = prefix_roots(written(every, "near-every"), sets, broadcast_rows)
 
     # SimHash classes on top: a class's roots become one.
     alike = simhash.link_roots(nodes.select("fp").distinct(), LIMIT, broadcast_rows=broadcast_rows)
-    every = nodes.select("node", "fp").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-    every = written(every.join(alike.select("fp", F.col("root").alias("alike")), "fp").select("node", "root", "alike"), "near-alike")
+    every = nodes.select("node", "fp").join(shuffled(roots), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    every = written(every.join(shuffled(alike.select("fp", F.col("root").alias("alike"))), "fp").select("node", "root", "alike"), "near-alike")
     least = every.groupBy("alike").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("alike", "least")
-    edges = every.join(bounded_broadcast(written(least, "near-least"), broadcast_rows), "alike").where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v"))
+    edges = every.join(few_or_shuffled(written(least, "near-least"), broadcast_rows), "alike").where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v"))
     found = _lowered(every.select("node", "root"), edges, "near-simhash", broadcast_rows).where("node <> root")
-    found = bounded_broadcast(written(found, "near-classes"), broadcast_rows)
+    found = few_or_shuffled(written(found, "near-classes"), broadcast_rows)
     return prints.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 

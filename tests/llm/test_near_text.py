@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from panewise.llm import near_text, simhash
-from tests.llm.test_documents import clashing, documents
+from tests.llm.test_documents import clashing, documents, planned
 
 
 def similarity(a, b):
@@ -89,3 +89,16 @@ def test_the_exact_mode_loses_no_link(spark, monkeypatch):
     assert 40 < len(want) < len(texts) - 40
     monkeypatch.setattr(near_text, "band_keys", lambda found: [])  # the exact mode finds them alone
     assert sorted(r.doc_id for r in near_text.keep_one(docs, exact=True).collect()) == want
+
+
+def test_no_join_is_left_to_an_estimate_of_size(spark, monkeypatch):
+    """Spark takes what explode() multiplies for small, and broadcast it from the driver: only counted tables may be."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(12)]
+    texts = [t + more for t in texts for more in ("", "", " x", " y z")]
+    plans = planned(monkeypatch, near_text, simhash)
+    kept = near_text.keep_one(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), broadcast_rows=-1)  # no table is small
+    plans.append(("kept", kept._jdf.queryExecution().sparkPlan().toString()))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
+    assert {"written near-sets", "connected near-stars", "written first-marked"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan] == []
