@@ -15,7 +15,7 @@ import codecs
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 codecs.register_error("panewise_bytewise", lambda error: ("\ufffd", error.start + 1))
 #: Parts that a task remembers at most, and characters of the longest part that it remembers.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 200_000, 48
 #: Parts, of those that came again, that stay for a worker's next task at most.
 KEPT = 50_000
 #: Rows of an output batch at most, and texts' bytes from which on a batch ends sooner.
@@ -168,7 +168,7 @@ def default_path() -> str:
 def batches(rows: list[pa.RecordBatch], count: int = ROWS, most: int = BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose last column is text: at most `count` rows, and no more than `most` bytes unless one row has them."""
     for batch in rows:
-        sizes, start, total = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist(), 0, 0
+        sizes, start, total = [size or 0 for size in pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_pylist()], 0, 0
         for k, size in enumerate(sizes):
             if k > start and (k - start >= count or total + size > most):
                 yield batch.slice(start, k - start)
@@ -178,6 +178,25 @@ def batches(rows: list[pa.RecordBatch], count: int = ROWS, most: int = BYTES) ->
             yield batch.slice(start)
 
 
+def column(kind: pa.DataType, values: np.ndarray) -> pa.Array:
+    """Numbers as they lie in memory; pa.array() and fill_null() load pandas, which takes 23 MB of each worker."""
+    return pa.Array.from_buffers(kind, len(values), [None, pa.py_buffer(values)])
+
+
+def starts(sizes: Iterable[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes], dtype=np.int32)
+
+
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate([*ids, np.array([], dtype=np.int32)])
+    return pa.ListArray.from_arrays(column(pa.int32(), starts(map(len, ids))), column(pa.int32(), values))
+
+
+def strings(texts: list[str]) -> pa.Array:
+    raw = [t.encode() for t in texts]
+    return pa.StringArray.from_buffers(len(raw), pa.py_buffer(starts(map(len, raw))), pa.py_buffer(b"".join(raw)))
+
+
 def encoded(docs: DataFrame, model_path: str | None = None, check: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string): a row for each row of docs, null ids and repeated rows too.
 
@@ -193,10 +212,7 @@ def encoded(docs: DataFrame, model_path: str | None = None, check: bool = True)
         try:
             for batch in (b for whole in given for b in batches([whole])):
                 ids = model.encode([t or "" for t in batch.column(1).to_pylist()], check)
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                values = np.concatenate([*ids, np.array([], dtype=np.int32)])
-                texts = [model.decode(i.tolist()) for i in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids), strings([model.decode(i.tolist()) for i in ids])], names=["doc_id", "ids", "decoded"])
         finally:
             model.forget()
 

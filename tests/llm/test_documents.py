@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -410,6 +413,21 @@ def test_a_remembered_fragment_is_not_lost_when_the_memory_is_full(monkeypatch):
     assert [model.encode([t])[0].tolist() for t in texts] == model.library.encode(texts)
 
 
+def test_a_worker_of_pieces_does_not_load_pandas():
+    code = """
+import sys
+import numpy as np, pyarrow as pa, pyarrow.compute
+from panewise.llm import pieces
+texts = pieces.strings(["\u00e9 b", "", "c" * 9])
+batch = pa.RecordBatch.from_arrays([texts, texts], names=["doc_id", "text"])
+print([b.column(1).to_pylist() for b in pieces.batches([batch], 256, 8)], pieces.strings([]).to_pylist())
+print(pieces.lists([np.array([1, 2], np.int32), np.array([], np.int32), np.array([3], np.int32)]).to_pylist(), pieces.lists([]).to_pylist())
+sys.exit("pandas" in sys.modules)
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, encoding="utf-8", env=os.environ | {"PYTHONUTF8": "1"}, cwd=Path(__file__).parents[2])
+    assert (ran.returncode, ran.stdout) == (0, "[['\u00e9 b', ''], ['ccccccccc']] []\n[[1, 2], [], [3]] []\n"), ran.stderr
+
+
 def test_bisection_meets_both_targets(spark):
     totals = [("a", 9000), ("b", 300), ("c", 700)]
     sources = spark.createDataFrame(totals, "source string, total long")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from panewise.llm import pieces, simhash
 from tests.llm.test_documents import brute_classes, documents, quality_of
@@ -48,3 +52,20 @@ def test_the_whole_run_and_its_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
     documents(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(("own", "most"), [("64m", corpus_pipeline.BATCH), ("67108864b", corpus_pipeline.BATCH), ("1m", 1 << 20)])
+def test_a_batch_of_texts_is_not_a_whole_task(spark, own, most):
+    def sizes(given):
+        for batch in given:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij"), 500).alias("text"))
+    before = spark.conf.get(corpus_pipeline.LIMIT)
+    spark.conf.set(corpus_pipeline.LIMIT, own)
+    try:
+        corpus_pipeline.piece_ids(spark, docs, "")
+        found = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    finally:
+        spark.conf.set(corpus_pipeline.LIMIT, before)
+    assert sum(r.n for r in found) == 3000 and max(r.bytes for r in found) < 1.1 * most
