@@ -189,7 +189,8 @@ def _capped(counts: DataFrame, q: QuerySet, cumulative: bool) -> DataFrame:
 
 def sop(points: DataFrame, q: QuerySet) -> DataFrame:
     """One join at the largest range; of a point's neighbours the skyband by pane and layer, newest first."""
-    shape, panes = widths(points), C.with_panes(points, q)
+    shape = widths(points)
+    panes = C.together(points, q, shape)
     counts = C.pane_counts(C.pairs(panes, q, panes.where("flag = 0"), shape), q)
     return C.outlier_counts(C.window_counts(panes, _capped(counts, q, cumulative=True), q), q)
 
