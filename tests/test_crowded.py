@@ -51,6 +51,7 @@ class Joined:
 
 
 DETECTED = {
+    "rk_psod": (strategies.psod, RK),
     "rk_sop": (strategies.sop, RK),
 }
 
