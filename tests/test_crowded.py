@@ -53,6 +53,7 @@ class Joined:
 DETECTED = {
     "rk_psod": (strategies.psod, RK),
     "rk_sop": (strategies.sop, RK),
+    "rkws_psod": (strategies.psod, RKWS),
     "rkws_sop": (strategies.sop, RKWS),
 }
 
