@@ -86,5 +86,13 @@ def all_pairs(points, q):
     return out
 
 
+def test_pane_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
+    joined, want = Joined(monkeypatch), {}
+    for i, pane, _, other, layer in all_pairs(crowd(), RK):
+        want[i, pane, other, layer] = want.get((i, pane, other, layer), 0) + 1
+    rows = counting.neighbour_counts(sources.from_list(spark, crowd()), RK).collect()
+    assert len(rows) == len(want) and {(r.id, r.pane, r.other_pane, r.layer): r.n for r in rows} == want and joined.few()
+
+
 KEPT = {
 }
