@@ -75,6 +75,12 @@ def test_ids_that_come_twice_are_told_apart(spark, name):
     assert found.keys() == once.keys() and all(found[key] <= once[key] for key in found)
 
 
+def test_users_detector_joins_points_of_a_value_and_pane_once(spark, monkeypatch):
+    joined, points = Joined(monkeypatch), crowd()
+    found = chains.Cheap()(sources.from_list(spark, points), RKWS)
+    assert counted(found) == brute([p for p in points if p[1][0] < 50], RKWS) and joined.few()
+
+
 def all_pairs(points, q):
     """(id, pane, other, other pane, layer) of neighbours that some window may hold."""
     out = []
