@@ -100,5 +100,18 @@ def test_pane_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
     assert len(rows) == len(want) and {(r.id, r.pane, r.other_pane, r.layer): r.n for r in rows} == want and joined.few()
 
 
+def test_range_limit_does_not_make_all_pairs_within_the_range(spark, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(neighbours, "range_neighbours", never)
+    points, want = crowd(), []
+    for i, v, _ in points:
+        near = sorted((abs(v[0] - u[0]), j) for j, u, _ in points if j != i and abs(v[0] - u[0]) <= 1.0)
+        want += [(i, rank, j, d) for rank, (d, j) in enumerate(near[:3], 1) if i % 3 == 0]
+    table = sources.from_list(spark, points)
+    assert sorted(map(tuple, neighbours.range_limit(table, 1.0, 3, table.where("id % 3 = 0")).collect())) == sorted(want)
+
+
 KEPT = {
 }
