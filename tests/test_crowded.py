@@ -100,6 +100,14 @@ def test_pane_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
     assert len(rows) == len(want) and {(r.id, r.pane, r.other_pane, r.layer): r.n for r in rows} == want and joined.few()
 
 
+def test_skyband_joins_points_of_a_value_and_pane_once(spark, monkeypatch):
+    points = sources.from_list(spark, crowd())
+    want = strategies.k_skyband(counting.pairs(counting.with_panes(points, RK), RK), RK).select("id", "other", "layer").collect()
+    joined = Joined(monkeypatch)
+    found = strategies.skyband(points, RK).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and joined.few()
+
+
 def test_range_limit_does_not_make_all_pairs_within_the_range(spark, monkeypatch):
     def never(*a, **k):
         raise AssertionError("all pairs")
