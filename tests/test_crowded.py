@@ -121,5 +121,19 @@ def test_range_limit_does_not_make_all_pairs_within_the_range(spark, monkeypatch
     assert sorted(map(tuple, neighbours.range_limit(table, 1.0, 3, table.where("id % 3 = 0")).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_latest_predecessors_do_not_make_all_pairs(spark, monkeypatch, width):
+    def never(*a, **k):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(counting, "pairs", never)
+    points, want = [(i, v * width, t) for i, v, t in crowd()], []
+    for i, v, t in points:
+        older = sorted(((s, j) for j, u, s in points if math.dist(v, u) <= 1.0 and (s, j) < (t, i) and t // 10 - s // 10 < 2), reverse=True)
+        want += [(i, rank, j, s) for rank, (s, j) in enumerate(older[:4], 1)]
+    found = evidence.latest_predecessors(sources.from_list(spark, points), SINGLE, 4)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 KEPT = {
 }
