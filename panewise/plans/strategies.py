@@ -33,14 +33,15 @@ def naive(points: DataFrame, q: QuerySet) -> DataFrame:
     is as many tasks' work.
     """
     low, high = widths(points)
-    panes, span = C.with_panes(points, q), q.max_window // q.pane
-    even = low == high and low <= 8
+    panes, span = C.together(points, q, (low, high)), q.max_window // q.pane
+    even, grouped = low == high and low <= 8, "n" in panes.columns
     values = lambda name: [F.col("value")[i].alias(f"{name}{i}") for i in range(low)] if even else [F.col("value").alias(name)]
     parts = panes.groupBy(F.col("pane").alias("other_pane")).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
     parts = bounded_broadcast(written(parts, "pane-parts"), PANES)
     own = panes.where("flag = 0").select("id", "pane", *values("_a"), F.explode(F.sequence(F.col("pane") - span + 1, F.col("pane") + span - 1)).alias("other_pane"))
     own = own.join(parts, "other_pane").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    other = panes.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), *values("_b"))
+    own = C.spread(own) if grouped else own
+    other = panes.select(F.col("id").alias("other"), F.col("pane").alias("other_pane"), *([F.col("n").alias("other_n")] if grouped else []), *values("_b"))
     other = other.join(parts, "other_pane").withColumn("_part", F.pmod(F.xxhash64("other"), F.col("_parts")).cast("int")).drop("_parts")
     distance = euclid(F.array(*[f"_a{i}" for i in range(low)]), F.array(*[f"_b{i}" for i in range(low)]), low) if even else euclid("_a", "_b", None)
     found = own.join(other, ["other_pane", "_part"]).where("id <> other").withColumn("distance", distance).where(F.col("distance") <= q.max_range)

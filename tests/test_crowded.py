@@ -55,6 +55,7 @@ DETECTED = {
     "rk_sop": (strategies.sop, RK),
     "rkws_psod": (strategies.psod, RKWS),
     "rkws_sop": (strategies.sop, RKWS),
+    "naive": (strategies.naive, SINGLE),
 }
 
 
