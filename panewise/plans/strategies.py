@@ -53,11 +53,14 @@ def advanced(points: DataFrame, q: QuerySet) -> DataFrame:
 
     A pair is found once, from its newer point, and counted for it (a preceding neighbour) and for the older one (a succeeding).
     """
-    shape, panes = widths(points), C.with_panes(points, q)
+    shape = widths(points)
+    panes = C.together(points, q, shape)
     found = C.pairs(panes, q, shape=shape, older_only=True).withColumn("layer", C.layer(F.col("distance"), q))
-    both = F.array(F.struct("id", "pane", "other_pane"), F.struct(F.col("other").alias("id"), F.col("other_pane").alias("pane"), F.col("pane").alias("other_pane")))
-    merged = found.select(F.explode(both).alias("e"), "layer").groupBy("e.id", "e.pane", "e.other_pane", "layer").agg(F.count("*").alias("n"))
-    copies = points.where("flag = 1").select("id").distinct()
+    n, other_n = (F.col(c) if c in found.columns else F.lit(1) for c in ("n", "other_n"))
+    preceding = F.struct("id", "pane", "other_pane", other_n.alias("n"))
+    succeeding = F.struct(F.col("other").alias("id"), F.col("other_pane").alias("pane"), F.col("pane").alias("other_pane"), n.alias("n"))
+    merged = found.select(F.explode(F.array(preceding, succeeding)).alias("e"), "layer").groupBy("e.id", "e.pane", "e.other_pane", "layer").agg(F.sum("e.n").alias("n"))
+    copies = panes.where("flag = 1").select("id").distinct()
     return C.outlier_counts(C.window_counts(panes, merged.join(copies, "id", "left_anti"), q), q)
 
 

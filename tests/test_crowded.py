@@ -56,6 +56,7 @@ DETECTED = {
     "rkws_psod": (strategies.psod, RKWS),
     "rkws_sop": (strategies.sop, RKWS),
     "naive": (strategies.naive, SINGLE),
+    "advanced": (strategies.advanced, SINGLE),
 }
 
 
