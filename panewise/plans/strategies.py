@@ -70,8 +70,11 @@ def advanced_extended(points: DataFrame, q: QuerySet, partition: Callable[[DataF
 
     shape = widths(points)
     own = points.where("flag = 0")
-    parted = (partition or (lambda df, r: even_grid(df, r).partition(df, r)))(own, q.max_range)
-    panes = C.with_panes(parted, q)
+    if partition is None:  # a grid goes by value: it deals whole rows of together()
+        rows = C.together(own, q, shape)
+        panes = even_grid(rows, q.max_range).partition(rows, q.max_range)
+    else:
+        panes = C.together(partition(own, q.max_range), q, shape, on=("partition",))
     found = C.pairs(panes, q, panes.where("flag = 0"), shape, on=("partition",))
     return C.outlier_counts(C.window_counts(panes, C.pane_counts(found, q), q), q)
 

@@ -57,6 +57,7 @@ DETECTED = {
     "rkws_sop": (strategies.sop, RKWS),
     "naive": (strategies.naive, SINGLE),
     "advanced": (strategies.advanced, SINGLE),
+    "advanced_extended": (strategies.advanced_extended, SINGLE),
 }
 
 
