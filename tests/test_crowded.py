@@ -103,6 +103,12 @@ def test_pane_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
     assert len(rows) == len(want) and {(r.id, r.pane, r.other_pane, r.layer): r.n for r in rows} == want and joined.few()
 
 
+def test_layer_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
+    joined, layers = Joined(monkeypatch), [p[4] for p in all_pairs(crowd(), RK)]
+    rows = counting.layer_counts(sources.from_list(spark, crowd()), RK).collect()
+    assert {r.layer: r.n for r in rows} == {i: layers.count(i) for i in set(layers)} and joined.few()
+
+
 def test_skyband_joins_points_of_a_value_and_pane_once(spark, monkeypatch):
     points = sources.from_list(spark, crowd())
     want = strategies.k_skyband(counting.pairs(counting.with_panes(points, RK), RK), RK).select("id", "other", "layer").collect()
