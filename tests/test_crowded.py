@@ -84,6 +84,14 @@ def test_users_detector_joins_points_of_a_value_and_pane_once(spark, monkeypatch
     assert counted(found) == brute([p for p in points if p[1][0] < 50], RKWS) and joined.few()
 
 
+def test_a_fitted_tree_joins_points_of_a_value_and_pane_once(spark, monkeypatch, tmp_path):
+    joined, points, file = Joined(monkeypatch), sources.from_list(spark, crowd()), f"{tmp_path}/sample"
+    points.selectExpr("cast(value[0] as string)").write.text(file)
+    config = chains._config("advanced_extended", SINGLE).tree_partitioned(file, 100, 4).build()
+    found = Pipeline.create(spark, config).read_from(points).partition().detect_outliers().aggregate()
+    assert counted(found) == brute(crowd(), SINGLE) and joined.few()
+
+
 def all_pairs(points, q):
     """(id, pane, other, other pane, layer) of neighbours that some window may hold."""
     out = []
