@@ -118,6 +118,16 @@ def test_layer_counts_join_points_of_a_value_and_pane_once(spark, monkeypatch):
     assert {r.layer: r.n for r in rows} == {i: layers.count(i) for i in set(layers)} and joined.few()
 
 
+def test_outlier_points_join_points_of_a_value_and_pane_once(spark, monkeypatch):
+    joined, points, want = Joined(monkeypatch), crowd(), {}
+    for e in sorted({e for _, _, t in points for e in range((t // 10 + 1) * 10, t + 21, 10)}):
+        live = [p for p in points if e - 20 <= p[2] < e]
+        n = {i: sum(j != i and abs(v[0] - u[0]) <= 1.0 for j, u, _ in live) for i, v, _ in live}
+        want.update({(e, i): c for i, c in n.items() if c < 9})
+    rows = counting.outlier_points(sources.from_list(spark, points), SINGLE).collect()
+    assert len(rows) == len(want) and {(r.window_end, r.id): r.neighbours for r in rows} == want and joined.few()
+
+
 def test_skyband_joins_points_of_a_value_and_pane_once(spark, monkeypatch):
     points = sources.from_list(spark, crowd())
     want = strategies.k_skyband(counting.pairs(counting.with_panes(points, RK), RK), RK).select("id", "other", "layer").collect()
