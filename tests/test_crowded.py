@@ -58,6 +58,7 @@ DETECTED = {
     "naive": (strategies.naive, SINGLE),
     "advanced": (strategies.advanced, SINGLE),
     "advanced_extended": (strategies.advanced_extended, SINGLE),
+    "slicing": (strategies.slicing, SINGLE),
     "users_partitioner": (lambda p, q: strategies.advanced_extended(p, q, chains.Bands()), SINGLE),
 }
 
