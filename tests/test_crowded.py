@@ -94,6 +94,12 @@ def test_a_fitted_tree_joins_points_of_a_value_and_pane_once(spark, monkeypatch,
     assert counted(found) == brute(crowd(), SINGLE) and joined.few()
 
 
+def test_text_sink_joins_points_of_a_value_and_pane_once(spark, monkeypatch, tmp_path):
+    joined, path = Joined(monkeypatch), f"{tmp_path}/text"
+    Pipeline.create(spark, chains._config("slicing", SINGLE).build()).read_from(sources.from_list(spark, crowd())).run(TextSink(path))
+    assert spark.read.text(path).count() == len(brute(crowd(), SINGLE)) and joined.few()
+
+
 def all_pairs(points, q):
     """(id, pane, other, other pane, layer) of neighbours that some window may hold."""
     out = []
