@@ -39,6 +39,58 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def neighbours_by_layer(ids: np.ndarray, values: np.ndarray, other_ids: np.ndarray, others: np.ndarray, ranges: tuple[float, ...]) -> tuple[np.ndarray, int]:
+    """For each point how many of the others, but those of its own id, are in each layer (the smallest range that holds them); how many pairs were compared.
+
+    Distances are taken between different values. On a line others within a range follow each other by value, so that they
+    are counted by their places and not one by one.
+    """
+    counts, reach = np.zeros((len(values), len(ranges)), dtype=np.int64), ranges[-1] * (1 + SLACK)
+    if not len(values) or not len(others):
+        return counts, 0
+    a, at = np.unique(values, axis=0, return_inverse=True) if values.shape[1] > 1 else np.unique(values[:, 0], return_inverse=True)
+    b, n = np.unique(others, axis=0, return_counts=True) if values.shape[1] > 1 else np.unique(others[:, 0], return_counts=True)
+    a, b = a.reshape(len(a), -1), b.reshape(len(b), -1)
+    found, x, at = np.zeros((len(a), len(ranges)), dtype=np.int64), b[:, 0], at.reshape(-1)
+    if values.shape[1] == 1:
+        real = int((~np.isnan(x)).sum())
+        x, total = x[:real], np.append(0, np.cumsum(n[:real]))
+        far = lambda i, r: np.sqrt((a[:, 0] - np.append(x, np.nan)[i]) ** 2) <= r
+        for i, r in enumerate(ranges):
+            low, high = np.searchsorted(x, a[:, 0] - r, "left"), np.searchsorted(x, a[:, 0] + r, "right")
+            # Rounding may put an end some values off.
+            while (more := (low > 0) & far(low - 1, r)).any():
+                low[more] -= 1
+            while (less := (low < high) & ~far(low, r)).any():
+                low[less] += 1
+            while (more := (high < real) & far(high, r)).any():
+                high[more] += 1
+            while (less := (low < high) & ~far(high - 1, r)).any():
+                high[less] -= 1
+            found[:, i] = total[high] - total[low]
+        found[:, 1:] -= found[:, :-1].copy()
+        compared = int(found[at].sum())
+    else:
+        low, high = np.searchsorted(x, a[:, 0] - reach, "left"), np.searchsorted(x, a[:, 0] + reach, "right")
+        sizes, start, compared = high - low, 0, int((high - low).sum())
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(BLOCK, sizes.sum() + BLOCK, BLOCK), "left")
+        for cut in np.unique(np.append(cuts + 1, len(a))):
+            i = np.repeat(np.arange(start, min(cut, len(a))), sizes[start:cut])
+            j = spread(low[start:cut], sizes[start:cut])
+            distance = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+            near = distance <= ranges[-1]
+            np.add.at(found, (i[near], np.searchsorted(ranges, distance[near], "left")), n[j[near]])
+            start = cut
+    counts += found[at]
+    order = np.argsort(other_ids, kind="stable")
+    low, high = (np.searchsorted(other_ids[order], ids, side) for side in ("left", "right"))
+    i, j = np.repeat(np.arange(len(ids)), high - low), order[spread(low, high - low)]
+    distance = np.sqrt(((values[i] - others[j]) ** 2).sum(axis=1))
+    near = distance <= ranges[-1]
+    np.subtract.at(counts, (i[near], np.searchsorted(ranges, distance[near], "left")), 1)
+    return counts, compared
+
+
 class Detector:
     """Live points of a key; subclasses keep evidence about them in `slide`."""
 
@@ -226,7 +278,7 @@ class Slicing(Detector):
 
 
 class Layers(Detector):
-    """Evidence by layer: for each undecided point its neighbours' panes and layers (the smallest range that holds them), newest first.
+    """Evidence by layer: for each undecided point how many neighbours it has by pane and layer (the smallest range that holds them), newest first.
 
     Of these only those are kept that a query can tell from none. `cumulative`: a neighbour goes when the largest k others
     are no older and in no larger layer (the skyband); else when they are no older and in its own layer. A point with the
@@ -245,12 +297,12 @@ class Layers(Detector):
         super().__init__(q)
         self.cumulative, self.lazy, self.clusters = cumulative, lazy, clusters
         self.cluster, self.safe = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-        self.who = self.at = np.zeros(0, dtype=np.int64)
+        self.who = self.at = self.n = np.zeros(0, dtype=np.int64)
         self.layer = np.zeros(0, dtype=np.int16)
         self.names, self.centres, self.next = np.zeros(0, dtype=np.int64), np.zeros((0, 1)), 0
 
     def evidence(self) -> Arrays:
-        return {"cluster": self.cluster, "safe": self.safe, "who": self.who, "at": self.at, "layer": self.layer, "names": self.names, "centres": self.centres, "next": np.array(self.next)}
+        return {"cluster": self.cluster, "safe": self.safe, "who": self.who, "at": self.at, "layer": self.layer, "n": self.n, "names": self.names, "centres": self.centres, "next": np.array(self.next)}
 
     def load(self, points, evidence):
         super().load(points, evidence)
@@ -258,29 +310,25 @@ class Layers(Detector):
             setattr(self, name, int(found) if name == "next" else found)
 
     def _keep(self, kept: np.ndarray) -> None:
-        self.who, self.at, self.layer = self.who[kept], self.at[kept], self.layer[kept]
+        self.who, self.at, self.layer, self.n = self.who[kept], self.at[kept], self.layer[kept], self.n[kept]
 
-    def _add(self, who: np.ndarray, other: np.ndarray, distance: np.ndarray) -> np.ndarray:
-        """Notes neighbours; their layers."""
-        layer = np.searchsorted(self.q.ranges, distance, "left").astype(np.int16)
-        self.who, self.at, self.layer = np.append(self.who, who), np.append(self.at, self.pane[other]), np.append(self.layer, layer)
-        return layer
+    def _add(self, who: np.ndarray, pane: int) -> np.ndarray:
+        """Notes how many neighbours some points have in a pane, by layer; how many are in the first."""
+        low, high = np.searchsorted(self.pane, [pane, pane + 1])
+        counts, compared = neighbours_by_layer(self.ids[who], self.value[who], self.ids[low:high], self.value[low:high], self.q.ranges)
+        self.compared += compared
+        i, layer = np.nonzero(counts)
+        self.who, self.at = np.append(self.who, who[i]), np.append(self.at, np.full(len(i), pane))
+        self.layer, self.n = np.append(self.layer, layer.astype(np.int16)), np.append(self.n, counts[i, layer])
+        return counts[:, 0]
 
     def _search(self, asking: np.ndarray) -> None:
         """All evidence that some points need, from all live points."""
-        if not self.lazy:
-            everything = np.arange(len(self))
-            for a, b, d in self.near(asking, everything, self.q.max_range):
-                self._add(asking[a], b, d)
-            return
-        first = np.zeros(len(self), dtype=np.int64)
+        first = np.zeros(len(asking), dtype=np.int64)
         for pane in np.unique(self.pane)[::-1].tolist():
-            low, high = np.searchsorted(self.pane, [pane, pane + 1])
-            there = np.arange(low, high)
-            for a, b, d in self.near(asking, there, self.q.max_range):
-                layer = self._add(asking[a], there[b], d)
-                first += np.bincount(asking[a[layer == 0]], minlength=len(self))
-            asking = asking[first[asking] < self.q.ks[-1]]
+            first += self._add(asking, pane)
+            if self.lazy:
+                asking, first = asking[first < self.q.ks[-1]], first[first < self.q.ks[-1]]
             if not len(asking):
                 return
 
@@ -288,14 +336,14 @@ class Layers(Detector):
         """Decides points and drops needless evidence."""
         k = self.q.ks[-1]
         later = (self.layer == 0) & (self.at >= self.pane[self.who])
-        self.safe |= np.bincount(self.who[later], minlength=len(self)) >= k
+        self.safe |= np.bincount(self.who[later], self.n[later], minlength=len(self)) >= k
         self._keep(~self.safe[self.who] & (self.cluster[self.who] < 0))
         order = np.lexsort((self.layer, -self.at, self.who))
         self._keep(order)
         kept = np.ones(len(self.who), dtype=bool)
         start = np.searchsorted(self.who, self.who, "left")
         for i in range(len(self.q.ranges)):
-            rivals = self.layer <= i if self.cumulative else self.layer == i
+            rivals = np.where(self.layer <= i if self.cumulative else self.layer == i, self.n, 0)
             before = np.cumsum(rivals) - rivals
             mine = self.layer == i
             kept[mine] = (before - before[start])[mine] < k if len(start) else kept[mine]
@@ -333,24 +381,27 @@ class Layers(Detector):
         """Clusters around points that have enough undecided ones near."""
         asking = asking[(self.cluster[asking] < 0) & (self.pane[asking] >= first)]
         free, half, k = np.flatnonzero((self.cluster < 0) & (self.pane >= first)), self.q.ranges[0] / 2 * (1 - SLACK), self.q.ks[-1]
-        pairs = [(a, free[b]) for a, b, _ in self.near(asking, free, half)]
-        if not pairs:
+        if not len(asking):
             return
-        a, b = (np.concatenate(c) for c in zip(*pairs))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        starts = np.searchsorted(a, np.arange(len(asking) + 1))
-        for i in np.flatnonzero(np.diff(starts) >= k).tolist():
-            if self.cluster[asking[i]] >= 0:
+        # Points of a value have the same points around: they found a cluster once.
+        values, at = np.unique(self.value[free], axis=0, return_inverse=True)
+        by_value = np.argsort(at.reshape(-1), kind="stable")
+        starts = np.searchsorted(at.reshape(-1)[by_value], np.arange(len(values) + 1))
+        left = np.diff(starts)
+        centres = np.unique(self.value[asking], axis=0)
+        low, high = np.searchsorted(values[:, 0], centres[:, 0] - half, "left"), np.searchsorted(values[:, 0], centres[:, 0] + half, "right")
+        for centre, i, j in zip(centres, low.tolist(), high.tolist()):
+            if left[i:j].sum() <= k:
                 continue
-            around = b[starts[i] : starts[i + 1]]
-            around = around[self.cluster[around] < 0]
-            if len(around) >= k:
-                self.cluster[asking[i]] = self.cluster[around] = self.next
-                self.names = np.append(self.names, self.next)
-                centre = self.value[asking[i]][None, :]
-                self.centres = np.concatenate([self.centres, centre]) if len(self.names) > 1 else centre
-                self.next += 1
+            self.compared += j - i
+            near = i + np.flatnonzero((np.sqrt(((values[i:j] - centre) ** 2).sum(axis=1)) <= half) & (left[i:j] > 0))
+            if left[near].sum() <= k or not (values[near] == centre).all(axis=1).any():
+                continue
+            left[near] = 0
+            self.cluster[free[by_value[spread(starts[near], starts[near + 1] - starts[near])]]] = self.next
+            self.names = np.append(self.names, self.next)
+            self.centres = np.concatenate([self.centres, centre[None, :]]) if len(self.names) > 1 else centre[None, :]
+            self.next += 1
 
     def slide(self, end, points, due):
         gone = self.expire(self.first_pane(end, self.q.max_window))
@@ -368,8 +419,8 @@ class Layers(Detector):
         if self.clusters == "report":
             again = self._dissolved(first)
             fresh = np.flatnonzero(np.isin(np.arange(len(self)), fresh))
-        for a, b, d in self.near(undecided, new, self.q.max_range):
-            self._add(undecided[a], new[b], d)
+        for pane in np.unique(self.pane[new]).tolist():
+            self._add(undecided, pane)
         fresh = np.union1d(fresh, again)
         self._search(fresh)
         if self.clusters:
@@ -379,7 +430,8 @@ class Layers(Detector):
             return None
 
         def neighbours(oldest: int, i: int) -> np.ndarray:
-            return np.bincount(self.who[(self.at >= oldest) & (self.layer <= i)], minlength=len(self))
+            near = (self.at >= oldest) & (self.layer <= i)
+            return np.bincount(self.who[near], self.n[near], minlength=len(self))
 
         return self.report(end, np.flatnonzero((self.cluster < 0) & ~self.safe), neighbours)
 

@@ -35,7 +35,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def columns_of(table: pd.DataFrame) -> Arrays:
     return {
         "ids": table["id"].to_numpy(dtype=np.int64), "arrival": table["arrival"].to_numpy(dtype=np.int64), "flag": table["flag"].to_numpy(dtype=np.int8),
-        "value": np.array([[float("nan") if x is None else x for x in v] for v in table["value"]], dtype=float),
+        "value": np.array(table["value"].tolist(), dtype=float),
     }
 
 

@@ -171,4 +171,19 @@ def test_latest_predecessors_do_not_make_all_pairs(spark, monkeypatch, width):
 
 
 KEPT = {
+    "psod": (Algorithm.PSOD, RKWS),
 }
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_evidence_of_a_stream_is_kept_by_pane_and_not_by_pair(monkeypatch, name):
+    algorithm, q = KEPT[name]
+    most, trim, n = [0], E.Layers._trim, 3_000
+    monkeypatch.setattr(E.Layers, "_trim", lambda self: (most.append(len(self.who)), trim(self))[1])
+    value = np.append(np.random.default_rng(1).integers(0, 40, n - 1) * 0.25, 500.0)[:, None]
+    points = {"ids": np.arange(n), "arrival": np.arange(n) * 10 // n, "flag": np.zeros(n, dtype=np.int8), "value": value}
+    found = E.detector(algorithm, q)
+    counts = found.slide(10, points, True)
+    assert counts[: len(q.ks)] == [1] * len(q.ks)
+    assert max(most) <= n * len(q.ranges)
+    assert found.compared <= n * n
