@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from panewise.config import QuerySet
 from panewise.plans.counting import reported
+from panewise.streaming.evidence import neighbours_by_layer
 
 
-def counts_of(ids: np.ndarray, arrivals: np.ndarray, flags: np.ndarray, values: np.ndarray, end: int, q: QuerySet, block: int = 1024) -> list[int | None]:
+def counts_of(ids: np.ndarray, arrivals: np.ndarray, flags: np.ndarray, values: np.ndarray, end: int, q: QuerySet) -> list[int | None]:
     """Outliers of flag 0 among the points of the longest window before `end`, for each window, range and k in this order.
 
     A window without points has None.
-
-    Distances are taken for some points against all at a time, so that memory grows with the points and not their square.
     """
     out = []
     for w in q.windows:
@@ -30,14 +29,10 @@ def counts_of(ids: np.ndarray, arrivals: np.ndarray, flags: np.ndarray, values:
         if not live.any():
             out += [None] * (len(q.ranges) * len(q.ks))
             continue
-        i, v, own = ids[live], values[live], flags[live] == 0
-        found = np.zeros((len(q.ranges), len(i)), dtype=np.int64)
-        for k in range(0, len(i), block):
-            distance = np.sqrt(((v[k : k + block, None, :] - v[None, :, :]) ** 2).sum(axis=2))
-            other = i[k : k + block, None] != i[None, :]
-            for j, r in enumerate(q.ranges):
-                found[j, k : k + block] = ((distance <= r) & other).sum(axis=1)
-        out += [int((own & (found[j] < k)).sum()) for j in range(len(q.ranges)) for k in q.ks]
+        own = live & (flags == 0)
+        layers, _ = neighbours_by_layer(ids[own], values[own], ids[live], values[live], q.ranges)
+        found = np.cumsum(layers, axis=1)
+        out += [int((found[:, j] < k).sum()) for j in range(len(q.ranges)) for k in q.ks]
     return out
 
 

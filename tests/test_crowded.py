@@ -188,3 +188,13 @@ def test_evidence_of_a_stream_is_kept_by_pane_and_not_by_pair(monkeypatch, name)
     assert counts[: len(q.ks)] == [1] * len(q.ks)
     assert max(most) <= n * len(q.ranges)
     assert found.compared <= n * n
+
+
+def test_spark_windows_count_crowds_without_all_distances():
+    n, rng = 60_000, np.random.default_rng(1)
+    quarters = np.append(rng.integers(0, 4_000, n - 500), 8_000 + 4 * np.arange(500))
+    began = time.perf_counter()
+    counts = counts_of(np.arange(n), np.arange(n) * 20 // n, np.zeros(n, dtype=np.int8), quarters[:, None] * 0.25, 20, SINGLE)
+    number = np.bincount(quarters, minlength=10_010)
+    near = np.convolve(number, np.ones(9, dtype=int), "same")[quarters] - 1
+    assert counts == [int((near < 9).sum())] and time.perf_counter() - began < 5
