@@ -173,6 +173,7 @@ def test_latest_predecessors_do_not_make_all_pairs(spark, monkeypatch, width):
 KEPT = {
     "psod": (Algorithm.PSOD, RKWS),
     "advanced_extended": (Algorithm.ADVANCED_EXTENDED, SINGLE),
+    "advanced": (Algorithm.ADVANCED, SINGLE),
 }
 
 
