@@ -174,6 +174,7 @@ KEPT = {
     "psod": (Algorithm.PSOD, RKWS),
     "advanced_extended": (Algorithm.ADVANCED_EXTENDED, SINGLE),
     "advanced": (Algorithm.ADVANCED, SINGLE),
+    "pmcsky": (Algorithm.PMCSKY, RKWS),
 }
 
 
