@@ -175,6 +175,7 @@ KEPT = {
     "advanced_extended": (Algorithm.ADVANCED_EXTENDED, SINGLE),
     "advanced": (Algorithm.ADVANCED, SINGLE),
     "pmcsky": (Algorithm.PMCSKY, RKWS),
+    "sop": (Algorithm.SOP, RKWS),
 }
 
 
