@@ -156,6 +156,17 @@ def test_range_limit_does_not_make_all_pairs_within_the_range(spark, monkeypatch
     assert sorted(map(tuple, neighbours.range_limit(table, 1.0, 3, table.where("id % 3 = 0")).collect())) == sorted(want)
 
 
+def test_all_pairs_within_a_range_are_dealt_to_all_cores(spark, monkeypatch):
+    """A few rows in few bytes make many pairs: Spark alone would join them in one task."""
+    monkeypatch.setattr(neighbours, "QUERIES", 10)
+    points = [(i, [float(i % 50)], i) for i in range(400)]
+    table = sources.from_list(spark, points)
+    found = neighbours.range_neighbours(table, 1.0, table.where("id % 2 = 0"))
+    want = sorted((i, j, abs(v[0] - u[0])) for i, v, _ in points for j, u, _ in points if i % 2 == 0 and i != j and abs(v[0] - u[0]) <= 1.0)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("width", [1, 2])
 def test_latest_predecessors_do_not_make_all_pairs(spark, monkeypatch, width):
     def never(*a, **k):
